@@ -49,7 +49,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import within
@@ -150,9 +150,16 @@ class Detection:
             F.col("pid").alias("p_pid"), *[F.col(f).alias(f"p_{f}") for f in self.F],
             *[F.col(c).alias(n) for c, n in zip(self.C, self.N)], "salt")
 
-    def _cells_salt0(self, cells: DataFrame) -> DataFrame:
-        """Non-hot cells keyed like the points (salt 0)."""
-        return cells.select(*self.C).withColumn("salt", F.lit(0))
+    def _cells_salted(self, cells: DataFrame) -> DataFrame:
+        """Cells keyed like the points: one row per salt bucket ``0..nb-1``.
+
+        The salt comes from the data (``nb``), never a literal: a literal 0
+        would be folded into a filter and drop ``salt`` from the join key,
+        and the persisted points would be shuffled again.
+        """
+        if "nb" not in cells.columns:
+            cells = cells.select(*self.C).join(self.cells.select(*self.C, "nb"), self.C)
+        return explode_salts(cells.select(*self.C, "nb"), "nb").drop("nb")
 
     def _choose_broadcast(self, side: DataFrame, what: str) -> bool:
         strat = self.cfg.strategy
@@ -183,19 +190,27 @@ class Detection:
 
     # ------------------------------------------------------------- partial core
     def candidate_cells(self) -> DataFrame:
-        """Adjacency of non-dense cells whose neighbourhood can reach min_pts."""
+        """Adjacency of non-dense cells whose neighbourhood can reach min_pts.
+
+        The upper bound (points in the whole neighbourhood) is a window sum
+        partitioned by the source cell, so the join of the query points on
+        that cell reuses the same shuffle.
+        """
         if "cand" not in self._cache:
-            adj = self.nonempty_neighbors(self.nondense_cells)
-            ub = adj.groupBy(*self.C).agg(F.sum("n_nb").alias("ub")).filter(
-                F.col("ub") >= F.lit(self.cfg.min_pts))
-            self._cache["cand"] = adj.join(ub.select(*self.C), self.C, "left_semi")
+            src = self.nondense_cells.select(*self.C, F.col("nb").alias("nb_src"))
+            dst = self.cells.select(*self.C, F.col("n").alias("n_nb"), F.col("nb").alias("nb_nb"))
+            adj = neighbor_cells(src, dst, self.cfg.dim, self.cfg.inclusive, ("n_nb", "nb_nb"),
+                                 self.cfg.max_offsets, src_cols=("nb_src",))
+            ub = F.sum("n_nb").over(Window.partitionBy(*self.C))
+            self._cache["cand"] = adj.withColumn("ub", ub).filter(
+                F.col("ub") >= F.lit(self.cfg.min_pts)).drop("ub")
         return self._cache["cand"]
 
     def query_pairs(self) -> DataFrame:
         """Query points of non-dense candidate cells, one row per neighbour salt bucket."""
         adj = self.candidate_cells()
-        q = self.points.join(self._cells_salt0(adj.select(*self.C).distinct()),
-                             [*self.C, "salt"], "left_semi")
+        cand = adj.select(*self.C, F.col("nb_src").alias("nb")).distinct()
+        q = self.points.join(self._cells_salted(cand), [*self.C, "salt"], "left_semi")
         qx = q.select(F.col("pid").alias("q_pid"), *[F.col(f).alias(f"q_{f}") for f in self.F],
                       *self.C).join(adj.select(*self.C, *self.N, "nb_nb"), self.C)
         return explode_salts(qx, "nb_nb").drop("nb_nb")
@@ -238,8 +253,8 @@ class Detection:
     def partial_core(self) -> DataFrame:
         """Core points found inside non-dense cells: (pid, f.., c..)."""
         if "partial" not in self._cache:
-            self._cache["partial"] = self.neighbor_counts().filter(
-                F.col("cnt") >= F.lit(self.cfg.min_pts)).drop("cnt")
+            self._cache["partial"] = self._persist(self.neighbor_counts().filter(
+                F.col("cnt") >= F.lit(self.cfg.min_pts)).drop("cnt"))
         return self._cache["partial"]
 
     # ------------------------------------------------------------- cell types
@@ -252,7 +267,7 @@ class Detection:
             t = t.withColumn("cell_type", F.when(
                 (F.col("cell_type") == "OTHER") & F.col("has_core").isNotNull(), F.lit("CORE")
             ).otherwise(F.col("cell_type"))).drop("has_core")
-            self._cache["typed"] = t
+            self._cache["typed"] = self._persist(t)
         return self._cache["typed"]
 
     def core_neighbors(self, src: DataFrame | None = None) -> DataFrame:
@@ -271,7 +286,7 @@ class Detection:
     @property
     def noncore_points(self) -> DataFrame:
         """Points of cells without any core point: (pid, f.., c..)."""
-        return self.points.join(self._cells_salt0(self.other_cells), [*self.C, "salt"],
+        return self.points.join(self._cells_salted(self.other_cells), [*self.C, "salt"],
                                 "left_semi").drop("salt")
 
     @property
@@ -347,7 +362,7 @@ class Detection:
         """Every point with ``label`` core / border / outlier (pid, f.., c.., label)."""
         if "labels" not in self._cache:
             dense = self.dense_points.withColumn("label", F.lit("core"))
-            nd = self.points.join(self._cells_salt0(self.nondense_cells), [*self.C, "salt"],
+            nd = self.points.join(self._cells_salted(self.nondense_cells), [*self.C, "salt"],
                                   "left_semi").drop("salt")
             tags = (self.partial_core.select("pid", F.lit("core").alias("tag"))
                     .unionByName(self.outliers_internal.select("pid", F.lit("outlier").alias("tag"))))

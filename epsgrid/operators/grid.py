@@ -91,7 +91,9 @@ def salted_points(g: DataFrame, hot: DataFrame | None, dim: int) -> DataFrame:
     map-side join with no shuffle.
     """
     if hot is None:
-        return g.withColumn("salt", F.lit(0))
+        # always 0, but computed from the data so that Catalyst cannot fold
+        # it into a constant and drop it from join keys
+        return g.withColumn("salt", F.pmod(F.xxhash64(F.col("pid")), F.lit(1)).cast("int"))
     j = g.join(F.broadcast(hot), ccols(dim), "left")
     return j.withColumn(
         "salt", F.pmod(F.xxhash64(F.col("pid")), F.coalesce(F.col("nb"), F.lit(1))).cast("int")
@@ -109,7 +111,8 @@ def adjacency_axes(dim: int, inclusive: bool, max_offsets: int) -> int:
 
 
 def neighbor_cells(src: DataFrame, dst: DataFrame, dim: int, inclusive: bool = False,
-                   dst_cols: tuple = (), max_offsets: int = DEFAULT_MAX_OFFSETS) -> DataFrame:
+                   dst_cols: tuple = (), max_offsets: int = DEFAULT_MAX_OFFSETS,
+                   src_cols: tuple = ()) -> DataFrame:
     """Pairs (cell of ``src``, occupied neighbour cell of ``dst``), self included.
 
     ``src`` and ``dst`` carry cells as ``c0..``; the result has ``c0..`` (the
@@ -123,11 +126,12 @@ def neighbor_cells(src: DataFrame, dst: DataFrame, dim: int, inclusive: bool = F
     C, N = ccols(dim), ccols(dim, "n")
     k = adjacency_axes(dim, inclusive, max_offsets)
     offs = neighbor_offsets(dim, axes=k, inclusive=inclusive)
-    ex = src.select(*C, F.explode(offsets_column(offs)).alias("o"))
-    ex = ex.select(*C, *[(F.col(f"c{i}") + F.col(f"o.o{i}")).alias(f"n{i}") for i in range(k)])
+    ex = src.select(*C, *src_cols, F.explode(offsets_column(offs)).alias("o"))
+    ex = ex.select(*C, *src_cols,
+                   *[(F.col(f"c{i}") + F.col(f"o.o{i}")).alias(f"n{i}") for i in range(k)])
     d = dst.select(*[F.col(f"c{i}").alias(f"n{i}") for i in range(dim)], *dst_cols)
     j = ex.join(d, N[:k])
     if k < dim:
         cond = cell_min_sq_dist(C, N)
         j = j.filter(cond <= F.lit(1.0) if inclusive else cond < F.lit(1.0))
-    return j.select(*C, *N, *dst_cols)
+    return j.select(*C, *src_cols, *N, *dst_cols)
