@@ -52,7 +52,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import within
+from ..functions import euclid_distance, within
 from .grid import (DEFAULT_MAX_OFFSETS, assign_cells, ccols, cell_counts, cell_types,
                    explode_salts, fcols, neighbor_cells, salted_points, to_points,
                    validate_params, with_buckets)
@@ -206,15 +206,41 @@ class Detection:
                 F.col("ub") >= F.lit(self.cfg.min_pts)).drop("ub")
         return self._cache["cand"]
 
-    def query_pairs(self) -> DataFrame:
-        """Query points of non-dense candidate cells, one row per neighbour salt bucket."""
-        adj = self.candidate_cells()
+    def query_pairs(self, prune: bool = True) -> DataFrame:
+        """Query points of non-dense cells, one row per neighbour salt bucket.
+
+        With ``prune`` only cells whose neighbourhood can reach ``min_pts``
+        are queried (the detector's plan); without it every non-dense cell.
+        """
+        if prune:
+            adj = self.candidate_cells()
+        else:
+            src = self.nondense_cells.select(*self.C, F.col("nb").alias("nb_src"))
+            dst = self.cells.select(*self.C, F.col("n").alias("n_nb"), F.col("nb").alias("nb_nb"))
+            adj = neighbor_cells(src, dst, self.cfg.dim, self.cfg.inclusive, ("n_nb", "nb_nb"),
+                                 self.cfg.max_offsets, src_cols=("nb_src",))
         cand = adj.select(*self.C, F.col("nb_src").alias("nb")).distinct()
         q = self.points.join(self._cells_salted(cand), [*self.C, "salt"], "left_semi")
         qx = q.select(F.col("pid").alias("q_pid"), *[F.col(f).alias(f"q_{f}") for f in self.F],
                       *self.C).join(adj.select(*self.C, *self.N, "nb_nb"), self.C)
         return explode_salts(qx, "nb_nb").drop("nb_nb")
 
+    def eps_pairs(self, prune: bool = False) -> DataFrame:
+        """(q_pid, p_pid, dist): every point within eps of a point of a non-dense cell.
+
+        The pair count is linear in the data: a non-dense cell holds fewer
+        than ``min_pts`` points and has a bounded number of neighbour cells.
+        """
+        qF = [f"q_{f}" for f in self.F]
+        pF = [f"p_{f}" for f in self.F]
+        qx = self.query_pairs(prune)
+        if self._choose_broadcast(qx, "pair query"):
+            qx = F.broadcast(qx)
+        d = euclid_distance(qF, pF)
+        pairs = qx.join(self._right(), [*self.N, "salt"]).withColumn("dist", d)
+        keep = F.col("dist") <= F.lit(self.cfg.eps) if self.cfg.inclusive else F.col("dist") < F.lit(self.cfg.eps)
+        return pairs.filter(keep).select("q_pid", "p_pid", "dist")
+
     def neighbor_counts(self) -> DataFrame:
         """Exact neighbour count (self included) of every candidate point of a non-dense cell."""
         if "counts" not in self._cache:
