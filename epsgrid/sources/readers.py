@@ -34,7 +34,7 @@ def parse_points(lines: DataFrame, dim: int, header_prefix: str | None = DEFAULT
     if header_prefix:
         df = df.filter(~v.startswith(header_prefix))
     tok = F.split(v, sep)
-    parsed = df.select(v.alias("line"), *[(F.trim(tok[i])).try_cast("double").alias(n)
+    parsed = df.select(v.alias("line"), *[F.trim(F.get(tok, i)).try_cast("double").alias(n)
                                           for i, n in enumerate(names)])
     ok = None
     for n in names:
@@ -70,8 +70,8 @@ def read_labeled_points(spark: SparkSession, path, dim: int, label_name: str = "
     v = F.col("value")
     tok = F.split(v, ",")
     df = spark.read.text(path).filter(F.length(F.trim(v)) > 0)
-    return df.select(*[(tok[i]).try_cast("double").alias(f"x{i + 1}") for i in range(dim)],
-                     label_to_sign(F.trim(tok[dim])).alias(label_name))
+    return df.select(*[F.get(tok, i).try_cast("double").alias(f"x{i + 1}") for i in range(dim)],
+                     label_to_sign(F.trim(F.get(tok, dim))).alias(label_name))
 
 
 def read_predictions(spark: SparkSession, path, dim: int = 2) -> DataFrame:
@@ -79,9 +79,9 @@ def read_predictions(spark: SparkSession, path, dim: int = 2) -> DataFrame:
     v = F.col("value")
     tok = F.split(v, ",")
     df = spark.read.text(path).filter(F.length(F.trim(v)) > 0)
-    return df.select(*[(tok[i]).try_cast("double").alias(f"x{i + 1}") for i in range(dim)],
-                     (tok[dim]).try_cast("int").alias("label"),
-                     (tok[dim + 1]).try_cast("int").alias("prediction"))
+    return df.select(*[F.get(tok, i).try_cast("double").alias(f"x{i + 1}") for i in range(dim)],
+                     F.get(tok, dim).try_cast("int").alias("label"),
+                     F.get(tok, dim + 1).try_cast("int").alias("prediction"))
 
 
 def read_ds(spark: SparkSession, path, dim: int | None = None, as_text: bool = False) -> DataFrame:
@@ -93,10 +93,10 @@ def read_ds(spark: SparkSession, path, dim: int | None = None, as_text: bool = F
     v = F.col("value")
     tok = F.split(v, " ")
     df = spark.read.text(path).filter(F.length(F.trim(v)) > 0)
-    idx = (F.element_at(tok, 1)).try_cast("bigint").alias("row_idx")
+    idx = (F.try_element_at(tok, F.lit(1))).try_cast("bigint").alias("row_idx")
     if as_text or dim is None:
         return df.select(idx, F.slice(tok, 2, F.size(tok) - 1).alias("features"), v.alias("line"))
-    return df.select(idx, *[(F.element_at(tok, i + 2)).try_cast("double").alias(f"x{i + 1}")
+    return df.select(idx, *[(F.try_element_at(tok, F.lit(i + 2))).try_cast("double").alias(f"x{i + 1}")
                             for i in range(dim)])
 
 
@@ -104,7 +104,7 @@ def read_id_list(spark: SparkSession, path) -> DataFrame:
     """An id file: the first space-separated token of each line is a 0-based row index."""
     v = F.col("value")
     return spark.read.text(path).select(
-        (F.element_at(F.split(v, " "), 1)).try_cast("bigint").alias("row_idx"), v.alias("line"))
+        (F.try_element_at(F.split(v, " "), F.lit(1))).try_cast("bigint").alias("row_idx"), v.alias("line"))
 
 
 def read_trajectories(spark: SparkSession, path, glob: str = "*.plt", header_lines: int = 6) -> DataFrame:
@@ -122,9 +122,9 @@ def read_trajectories(spark: SparkSession, path, glob: str = "*.plt", header_lin
     body = lines.filter((F.col("line_no") >= header_lines) & (F.length(F.trim(F.col("line"))) > 0))
     tok = F.split(F.col("line"), ",")
     return body.select("file", "line_no",
-                       (tok[0]).try_cast("double").alias("lat"),
-                       (tok[1]).try_cast("double").alias("long"),
-                       (tok[3]).try_cast("double").alias("alt"))
+                       F.get(tok, 0).try_cast("double").alias("lat"),
+                       F.get(tok, 1).try_cast("double").alias("long"),
+                       F.get(tok, 3).try_cast("double").alias("alt"))
 
 
 def read_timings(spark: SparkSession, path) -> DataFrame:
