@@ -219,10 +219,12 @@ class Detection:
             dst = self.cells.select(*self.C, F.col("n").alias("n_nb"), F.col("nb").alias("nb_nb"))
             adj = neighbor_cells(src, dst, self.cfg.dim, self.cfg.inclusive, ("n_nb", "nb_nb"),
                                  self.cfg.max_offsets, src_cols=("nb_src",))
-        cand = adj.select(*self.C, F.col("nb_src").alias("nb")).distinct()
-        q = self.points.join(self._cells_salted(cand), [*self.C, "salt"], "left_semi")
-        qx = q.select(F.col("pid").alias("q_pid"), *[F.col(f).alias(f"q_{f}") for f in self.F],
-                      *self.C).join(adj.select(*self.C, *self.N, "nb_nb"), self.C)
+        # non-dense cells are never hot: their one salt bucket comes from nb_src
+        # (0), and the join runs on the points' own (cell, salt) partitioning
+        a = explode_salts(adj.select(*self.C, "nb_src", *self.N, "nb_nb"), "nb_src").drop("nb_src")
+        qx = self.points.join(a, [*self.C, "salt"]).select(
+            F.col("pid").alias("q_pid"), *[F.col(f).alias(f"q_{f}") for f in self.F], *self.C,
+            *self.N, "nb_nb")
         return explode_salts(qx, "nb_nb").drop("nb_nb")
 
     def eps_pairs(self, prune: bool = False) -> DataFrame:
@@ -296,13 +298,13 @@ class Detection:
             self._cache["typed"] = self._persist(t)
         return self._cache["typed"]
 
-    def core_neighbors(self, src: DataFrame | None = None) -> DataFrame:
+    def core_neighbors(self, src: DataFrame | None = None, src_cols: tuple = ()) -> DataFrame:
         """(cell, neighbour core cell, its type, its nb) for ``src`` cells (default OTHER cells)."""
         src = self.other_cells if src is None else src
         dst = self.typed_cells.filter(F.col("cell_type") != "OTHER").select(
             *self.C, F.col("cell_type").alias("type_nb"), F.col("nb").alias("nb_nb"))
         return neighbor_cells(src, dst, self.cfg.dim, self.cfg.inclusive,
-                              ("type_nb", "nb_nb"), self.cfg.max_offsets)
+                              ("type_nb", "nb_nb"), self.cfg.max_offsets, src_cols=src_cols)
 
     @property
     def other_cells(self) -> DataFrame:
@@ -324,12 +326,14 @@ class Detection:
     def near_core(self) -> DataFrame:
         """Ids of non-core-cell points with at least one core point near them."""
         if "near" not in self._cache:
-            R = self.noncore_points
-            adj2 = self.core_neighbors()
+            src = self.other_cells.select(*self.C, F.col("nb").alias("nb_src"))
+            adj2 = self.core_neighbors(src, src_cols=("nb_src",))
             qF = [f"q_{f}" for f in self.F]
             pF = [f"p_{f}" for f in self.F]
-            rx = R.select(F.col("pid").alias("q_pid"), *[F.col(f).alias(f"q_{f}") for f in self.F],
-                          *self.C).join(adj2, self.C)
+            a = explode_salts(adj2, "nb_src").drop("nb_src")
+            rx = self.points.join(a, [*self.C, "salt"]).select(
+                F.col("pid").alias("q_pid"), *[F.col(f).alias(f"q_{f}") for f in self.F], *self.C,
+                *self.N, "type_nb", "nb_nb")
             # neighbours in DENSE cells: every point there is core
             rd = explode_salts(rx.filter(F.col("type_nb") == "DENSE"), "nb_nb").drop("nb_nb", "type_nb")
             if self.cfg.strategy == "grouped":
