@@ -42,9 +42,10 @@ def run(spark, eps=EPS, min_pts=MIN_PTS, strategy="shuffle", fraction=None, part
 
 
 def main():
-    spark = get_spark(f"local[{CPUS}]", app="epsgrid-bench", shuffle_partitions=CPUS * 2,
+    spark = get_spark(f"local[{CPUS}]", app="epsgrid-bench", shuffle_partitions=CPUS,
                       conf={"spark.driver.memory": "16g"})
-    run(spark)  # warm-up: JIT and file listing
+    for s in ("shuffle", "grouped", "broadcast"):  # warm-up: JIT and file listing
+        run(spark, strategy=s)
     q, checks = {}, {}
     for s in ("shuffle", "broadcast", "grouped"):
         q[f"detect_{s}"], checks[f"detect_{s}"], _ = run(spark, strategy=s)

@@ -161,11 +161,14 @@ class Detection:
             cells = cells.select(*self.C).join(self.cells.select(*self.C, "nb"), self.C)
         return explode_salts(cells.select(*self.C, "nb"), "nb").drop("nb")
 
-    def _choose_broadcast(self, side: DataFrame, what: str) -> bool:
+    def _choose_broadcast(self, adj: DataFrame, what: str) -> bool:
+        """Broadcast the replicated query side only if its exact row count
+        (from the cell tables: points of the source cell x salt buckets of the
+        neighbour, summed over adjacency rows) is within the limit."""
         strat = self.cfg.strategy
         if strat not in ("broadcast", "auto"):
             return False
-        rows = side.count()
+        rows = adj.agg(F.coalesce(F.sum(F.col("n_src") * F.col("nb_nb")), F.lit(0))).first()[0]
         ok = rows <= self.cfg.max_broadcast_rows
         if not ok:
             log.warning("%s side has %d rows > %d: using the shuffle join", what, rows,
@@ -197,28 +200,30 @@ class Detection:
         that cell reuses the same shuffle.
         """
         if "cand" not in self._cache:
-            src = self.nondense_cells.select(*self.C, F.col("nb").alias("nb_src"))
+            src = self.nondense_cells.select(*self.C, F.col("nb").alias("nb_src"), F.col("n").alias("n_src"))
             dst = self.cells.select(*self.C, F.col("n").alias("n_nb"), F.col("nb").alias("nb_nb"))
             adj = neighbor_cells(src, dst, self.cfg.dim, self.cfg.inclusive, ("n_nb", "nb_nb"),
-                                 self.cfg.max_offsets, src_cols=("nb_src",))
+                                 self.cfg.max_offsets, src_cols=("nb_src", "n_src"))
             ub = F.sum("n_nb").over(Window.partitionBy(*self.C))
             self._cache["cand"] = adj.withColumn("ub", ub).filter(
                 F.col("ub") >= F.lit(self.cfg.min_pts)).drop("ub")
         return self._cache["cand"]
 
+    def query_adjacency(self, prune: bool = True) -> DataFrame:
+        if prune:
+            return self.candidate_cells()
+        src = self.nondense_cells.select(*self.C, F.col("nb").alias("nb_src"), F.col("n").alias("n_src"))
+        dst = self.cells.select(*self.C, F.col("n").alias("n_nb"), F.col("nb").alias("nb_nb"))
+        return neighbor_cells(src, dst, self.cfg.dim, self.cfg.inclusive, ("n_nb", "nb_nb"),
+                              self.cfg.max_offsets, src_cols=("nb_src", "n_src"))
+
     def query_pairs(self, prune: bool = True) -> DataFrame:
         """Query points of non-dense cells, one row per neighbour salt bucket.
 
         With ``prune`` only cells whose neighbourhood can reach ``min_pts``
         are queried (the detector's plan); without it every non-dense cell.
         """
-        if prune:
-            adj = self.candidate_cells()
-        else:
-            src = self.nondense_cells.select(*self.C, F.col("nb").alias("nb_src"))
-            dst = self.cells.select(*self.C, F.col("n").alias("n_nb"), F.col("nb").alias("nb_nb"))
-            adj = neighbor_cells(src, dst, self.cfg.dim, self.cfg.inclusive, ("n_nb", "nb_nb"),
-                                 self.cfg.max_offsets, src_cols=("nb_src",))
+        adj = self.query_adjacency(prune)
         # non-dense cells are never hot: their one salt bucket comes from nb_src
         # (0), and the join runs on the points' own (cell, salt) partitioning
         a = explode_salts(adj.select(*self.C, "nb_src", *self.N, "nb_nb"), "nb_src").drop("nb_src")
@@ -236,7 +241,7 @@ class Detection:
         qF = [f"q_{f}" for f in self.F]
         pF = [f"p_{f}" for f in self.F]
         qx = self.query_pairs(prune)
-        if self._choose_broadcast(qx, "pair query"):
+        if self._choose_broadcast(self.query_adjacency(prune), "pair query"):
             qx = F.broadcast(qx)
         d = euclid_distance(qF, pF)
         pairs = qx.join(self._right(), [*self.N, "salt"]).withColumn("dist", d)
@@ -259,7 +264,7 @@ class Detection:
                 counts = per.groupBy("q_pid", *qF, *self.C).agg(F.sum("k").alias("cnt"))
             else:
                 right = self._right()
-                if self._choose_broadcast(qx, "partial-core query"):
+                if self._choose_broadcast(self.candidate_cells(), "partial-core query"):
                     qx = F.broadcast(qx)
                 pairs = qx.join(right, [*self.N, "salt"]).filter(self._within(qF, pF))
                 counts = pairs.groupBy("q_pid", *qF, *self.C).agg(F.count(F.lit(1)).alias("cnt"))
@@ -326,11 +331,11 @@ class Detection:
     def near_core(self) -> DataFrame:
         """Ids of non-core-cell points with at least one core point near them."""
         if "near" not in self._cache:
-            src = self.other_cells.select(*self.C, F.col("nb").alias("nb_src"))
-            adj2 = self.core_neighbors(src, src_cols=("nb_src",))
+            src = self.other_cells.select(*self.C, F.col("nb").alias("nb_src"), F.col("n").alias("n_src"))
+            adj2 = self.core_neighbors(src, src_cols=("nb_src", "n_src"))
             qF = [f"q_{f}" for f in self.F]
             pF = [f"p_{f}" for f in self.F]
-            a = explode_salts(adj2, "nb_src").drop("nb_src")
+            a = explode_salts(adj2, "nb_src").drop("nb_src", "n_src")
             rx = self.points.join(a, [*self.C, "salt"]).select(
                 F.col("pid").alias("q_pid"), *[F.col(f).alias(f"q_{f}") for f in self.F], *self.C,
                 *self.N, "type_nb", "nb_nb")
@@ -343,7 +348,7 @@ class Detection:
                                                          self.cfg.eps, self.cfg.inclusive))
                 near_d = j.filter(hit).select("q_pid")
             else:
-                if self._choose_broadcast(rd, "border query"):
+                if self._choose_broadcast(adj2.filter(F.col("type_nb") == "DENSE"), "border query"):
                     rd = F.broadcast(rd)
                 near_d = rd.join(self._right(), [*self.N, "salt"]).filter(
                     self._within(qF, pF)).select("q_pid")
