@@ -1,15 +1,30 @@
 """Exact k-nearest neighbours and k-distance curves on the grid.
 
-Round ``i`` uses a search radius ``r_i = r_0 * 2^i``: points are put on a grid
-of side ``r_i / sqrt(dim)``, every unresolved query point is joined with the
-points of its neighbour cells (the same per-cell offset expansion as the
-outlier detector) and the pairs closer than ``r_i`` are kept.  A query with
-at least ``k`` such pairs is resolved exactly: any point it has not seen is
-at distance ``>= r_i``, farther than its k-th candidate.  The others move to
-the next round with a doubled radius; once the radius exceeds the data's
-diameter every point is a candidate and all queries resolve.  Ties are
-broken by neighbour id.  Each round's result is checkpointed to the shared
-checkpoint folder, so the loop has a short lineage.
+Neighbours are ordered by ``(distance, neighbour id)``; with ``include_self``
+the point itself is a candidate (distance 0), as when a fitted set is queried
+with itself.
+
+Plan:
+
+1. **Duplicates.** Points with identical coordinates tie at distance 0, and
+   ties go to the smaller id, so no query ever uses more than
+   ``cap = k (+1 without self)`` copies of one coordinate.  Coordinates with
+   more copies are reduced to their ``cap`` smallest ids (a two-phase top-k:
+   per hash bucket, then per coordinate; no group is sorted whole in one
+   task).  Their points are answered directly from that list; the other
+   queries see only the kept copies.  Pair work can then no longer be
+   quadratic in a pile of identical points.
+2. **Radius per density.** A density estimate gives a base radius ``r0``
+   (about ``k`` points per ``r0``-ball on average).  Cells of the ``r0`` grid
+   holding many more points start their queries at ``r0 / 2^level``, so the
+   candidate lists stay near ``k`` in dense regions too.
+3. **Rounds.** Round ``j`` uses radius ``r_j = r0 * 2^j``: a grid of side
+   ``r_j / sqrt(dim)``, the per-cell neighbour offsets, an equi-join with the
+   candidate points and the distance filter ``< r_j``.  A query with at least
+   ``k`` candidates is resolved exactly (anything unseen is ``>= r_j`` away).
+   Unresolved queries continue with a doubled radius; once the radius exceeds
+   the data's diameter every point is a candidate.  Each round's result and
+   the remaining queries are checkpointed to the shared checkpoint folder.
 """
 
 from __future__ import annotations
@@ -24,6 +39,8 @@ from ..functions import euclid_distance, grid_coord
 from ..session import checkpoint_dir
 from .grid import ccols, fcols, neighbor_cells, to_points
 
+DUP_BUCKETS = 64  # hash buckets of the first top-k phase over duplicate coordinates
+
 
 def _initial_radius(pts: DataFrame, dim: int, k: int, n: int) -> tuple[float, float]:
     aggs = []
@@ -42,39 +59,76 @@ def _initial_radius(pts: DataFrame, dim: int, k: int, n: int) -> tuple[float, fl
     return max(r0, diam * 1e-9, 1e-12), diam
 
 
+def _top_ids(points: DataFrame, keys: list[str], cap: int) -> DataFrame:
+    """The ``cap`` smallest ids per key, in two bounded phases."""
+    b = points.withColumn("_b", F.pmod(F.xxhash64("pid"), F.lit(DUP_BUCKETS)))
+    w1 = Window.partitionBy(*keys, "_b").orderBy("pid")
+    part = b.withColumn("_r", F.row_number().over(w1)).filter(F.col("_r") <= F.lit(cap)).drop("_r", "_b")
+    w2 = Window.partitionBy(*keys).orderBy("pid")
+    return part.withColumn("_r", F.row_number().over(w2)).filter(F.col("_r") <= F.lit(cap)).drop("_r")
+
+
 def knn(df: DataFrame, features: list[str], k: int, id_col: str | None = None,
         include_self: bool = True, radius: float | None = None,
-        max_rounds: int = 64) -> DataFrame:
-    """The ``k`` nearest neighbours of every point.
-
-    Returns ``(id, nbr_id, dist, rank)`` with ``rank`` 1..k.  With
-    ``include_self`` the point itself is a candidate (rank 1 at distance 0),
-    as when a fitted set is queried with itself.
-    """
+        max_rounds: int = 96) -> DataFrame:
+    """The ``k`` nearest neighbours of every point: ``(id, nbr_id, dist, rank)``, rank 1..k."""
     if k < 1:
         raise ValueError("k must be >= 1")
     dim = len(features)
     spark = df.sparkSession
     checkpoint_dir(spark)
+    idn = id_col or "point_id"
+    schema = f"`{idn}` bigint, nbr_id bigint, dist double, rank int"
     pts, _ = to_points(df, features, id_col)
     pts = pts.persist(StorageLevel.MEMORY_AND_DISK)
     n = pts.count()
-    idn = id_col or "point_id"
     if n == 0:
-        return spark.createDataFrame([], f"`{idn}` bigint, nbr_id bigint, dist double, rank int")
-    r, diam = _initial_radius(pts, dim, k, n) if radius is None else (float(radius), None)
-    if diam is None:
-        _, diam = _initial_radius(pts, dim, k, n)
+        return spark.createDataFrame([], schema)
     F_, C, N = fcols(dim), ccols(dim), ccols(dim, "n")
     pF = [f"p_{f}" for f in F_]
-    queries = pts.select("pid", *F_)
-    parts = []
-    for rnd in range(max_rounds):
+    cap = k if include_self else k + 1
+    parts: list[DataFrame] = []
+
+    # 1. coordinates with more copies than any query can use
+    heavy = pts.groupBy(*F_).agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > F.lit(cap)).select(*F_)
+    if not heavy.isEmpty():
+        hp = pts.join(heavy, F_, "left_semi")
+        top = _top_ids(hp, F_, cap).checkpoint()
+        lists = top.groupBy(*F_).agg(F.array_sort(F.collect_list("pid")).alias("ids"))  # <= cap ids
+        ans = hp.join(lists, F_)
+        ids = F.col("ids") if include_self else F.filter("ids", lambda x: x != F.col("pid"))
+        ans = ans.select("pid", F.posexplode(F.slice(ids, 1, k)).alias("_pos", "nbr_id"))
+        parts.append(ans.select(F.col("pid").alias(idn), "nbr_id", F.lit(0.0).alias("dist"),
+                                (F.col("_pos") + 1).cast("int").alias("rank")).checkpoint())
+        cand_pts = pts.join(heavy, F_, "left_anti").unionByName(top.select("pid", *F_))
+        queries = pts.join(heavy, F_, "left_anti")
+    else:
+        cand_pts, queries = pts, pts
+    cand_pts = cand_pts.persist(StorageLevel.MEMORY_AND_DISK)
+
+    r0, diam = _initial_radius(pts, dim, k, n)
+    if radius is not None:
+        r0 = float(radius)
+
+    # 2. starting level per r0-cell: dense cells start with a smaller radius
+    g0 = cand_pts.withColumns({c: grid_coord(f, r0, dim) for c, f in zip(C, F_)})
+    lvl = g0.groupBy(*C).agg(F.count(F.lit(1)).alias("nc")).select(
+        *C, F.greatest(F.lit(0), F.ceil(F.log2(F.col("nc") / F.lit(float(k + 1))) / F.lit(float(dim))))
+        .cast("int").alias("level"))
+    queries = (queries.withColumns({c: grid_coord(f, r0, dim) for c, f in zip(C, F_)})
+               .join(lvl, C, "left").select("pid", *F_, F.coalesce("level", F.lit(0)).alias("level"))
+               .checkpoint())
+    max_level = queries.agg(F.max("level")).first()[0] or 0
+
+    # 3. rounds with a doubling radius
+    j = -int(max_level)
+    for _ in range(max_rounds):
+        r = r0 * (2.0 ** j)
         final = r > diam
-        g = pts.withColumns({c: grid_coord(f, r, dim) for c, f in zip(C, F_)})
-        cells = g.select(*C).distinct()
-        q = queries.withColumns({c: grid_coord(f, r, dim) for c, f in zip(C, F_)})
-        adj = neighbor_cells(q.select(*C).distinct(), cells, dim)
+        active = queries.filter(F.col("level") >= F.lit(-j)) if j < 0 else queries
+        g = cand_pts.withColumns({c: grid_coord(f, r, dim) for c, f in zip(C, F_)})
+        q = active.withColumns({c: grid_coord(f, r, dim) for c, f in zip(C, F_)})
+        adj = neighbor_cells(q.select(*C).distinct(), g.select(*C).distinct(), dim)
         cand = g.select(F.col("pid").alias("p_pid"), *[F.col(f).alias(p) for f, p in zip(F_, pF)],
                         *[F.col(c).alias(m) for c, m in zip(C, N)])
         pairs = (q.join(adj, C).join(cand, N)
@@ -83,13 +137,13 @@ def knn(df: DataFrame, features: list[str], k: int, id_col: str | None = None,
         if not include_self:
             pairs = pairs.filter(F.col("p_pid") != F.col("pid"))
         w = Window.partitionBy("pid")
-        ranked = (pairs.select("pid", *F_, "p_pid", "dist")
+        ranked = (pairs.select("pid", "p_pid", "dist")
                   .withColumn("cnt", F.count(F.lit(1)).over(w))
                   .withColumn("rank", F.row_number().over(w.orderBy("dist", "p_pid"))))
         done = ranked if final else ranked.filter(F.col("cnt") >= F.lit(k))
         res = done.filter(F.col("rank") <= F.lit(k)).select(
-            F.col("pid").alias(idn), F.col("p_pid").alias("nbr_id"), "dist", F.col("rank").cast("int"))
-        res = res.checkpoint()
+            F.col("pid").alias(idn), F.col("p_pid").alias("nbr_id"), "dist",
+            F.col("rank").cast("int")).checkpoint()
         parts.append(res)
         if final:
             break
@@ -97,7 +151,7 @@ def knn(df: DataFrame, features: list[str], k: int, id_col: str | None = None,
         queries = queries.join(resolved, "pid", "left_anti").checkpoint()
         if queries.isEmpty():
             break
-        r *= 2.0
+        j += 1
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

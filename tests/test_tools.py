@@ -217,3 +217,21 @@ def test_trajectories_roundtrip(spark):
     writers.write_trajectories(df, path, "t", "o", "lat", "lon", "alt")
     got = readers.read_trajectories(spark, path, glob="*.txt").select("lat", "long", "alt").collect()
     assert sorted(tuple(r) for r in got) == [(39.9, 116.0, 50.0), (40.1, 116.3, 100.0), (40.2, 116.4, 110.0)]
+
+
+def test_knn_with_heavy_duplicates_and_dense_cluster(spark):
+    rng = np.random.default_rng(11)
+    pile = np.tile([[1.0, 1.0]], (40, 1))                 # 40 identical points
+    tight = 1.0 + 1e-3 * rng.random((60, 2))               # a very dense cluster next to it
+    rest = rng.uniform(-20, 20, (60, 2))
+    X = np.round(np.vstack([pile, tight, rest]), 6)
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(X)], "pid long, a double, b double")
+    for self_too in (True, False):
+        nn = neighbors.knn(df, ["a", "b"], 5, "pid", include_self=self_too)
+        got = {}
+        for r in nn.collect():
+            got.setdefault(r.pid, []).append((r["rank"], r.nbr_id))
+        want = _np_knn(X, 5, self_too)
+        assert len(got) == len(X)
+        for i in range(len(X)):
+            assert [j for _, j in sorted(got[i])] == [j for j, _ in want[i]], i
