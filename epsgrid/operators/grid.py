@@ -12,8 +12,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import (cell_min_sq_dist, count_offsets, grid_coord, is_finite,
-                         neighbor_offsets, offsets_column)
+from ..functions import cell_min_sq_dist, count_offsets, grid_coord, is_finite, neighbor_delta
 
 DEFAULT_MAX_OFFSETS = 1000
 
@@ -117,18 +116,28 @@ def neighbor_cells(src: DataFrame, dst: DataFrame, dim: int, inclusive: bool = F
 
     ``src`` and ``dst`` carry cells as ``c0..``; the result has ``c0..`` (the
     source cell), ``n0..`` (the neighbour) and ``dst_cols``.  Up to
-    ``max_offsets`` candidate offsets, each source cell is expanded with a
-    literal array (``explode``, no join) and equi-joined with ``dst``.  In
+    ``max_offsets`` candidate offsets, each source cell is expanded axis by
+    axis (``explode(sequence(c - delta, c + delta))``, no join), keeping only
+    offsets whose running cell gap stays below eps, and equi-joined with
+    ``dst``.  In
     higher dimensions only the leading axes are expanded; the join then
     matches on those axes and the exact cell distance is checked afterwards.
     Work is per cell, never per point.
     """
     C, N = ccols(dim), ccols(dim, "n")
     k = adjacency_axes(dim, inclusive, max_offsets)
-    offs = neighbor_offsets(dim, axes=k, inclusive=inclusive)
-    ex = src.select(*C, *src_cols, F.explode(offsets_column(offs)).alias("o"))
-    ex = ex.select(*C, *src_cols,
-                   *[(F.col(f"c{i}") + F.col(f"o.o{i}")).alias(f"n{i}") for i in range(k)])
+    delta = neighbor_delta(dim)
+    ex = src.select(*C, *src_cols)
+    gap = None
+    for i in range(k):
+        # one explode per axis; the running gap prunes offsets as early as possible
+        c = F.col(f"c{i}")
+        ex = ex.withColumn(f"n{i}", F.explode(F.sequence(c - F.lit(delta), c + F.lit(delta))))
+        g = F.greatest(F.abs(F.col(f"n{i}") - c) - F.lit(1), F.lit(0))
+        gap = g * g if gap is None else F.col("_gap") + g * g
+        ex = ex.withColumn("_gap", gap)
+        ex = ex.filter(F.col("_gap") <= F.lit(dim) if inclusive else F.col("_gap") < F.lit(dim))
+    ex = ex.drop("_gap")
     d = dst.select(*[F.col(f"c{i}").alias(f"n{i}") for i in range(dim)], *dst_cols)
     j = ex.join(d, N[:k])
     if k < dim:

@@ -649,6 +649,16 @@ _fixture_query("label_points_lineitems3d", fx.lineitems3d, fx.LINEITEMS3D_SQL, f
                ["x1", "x2", "x3"], 2.57, 5, fx.LINEITEM_KEY)
 _fixture_query("label_points_emb3d", lambda s, d: fx.emb(s, d, 3), fx.emb_sql(3), ["vec_id"],
                ["x1", "x2", "x3"], 0.083, 5, ["vec_id"])
+_fixture_query("label_points_parts2d_b", fx.parts2d, fx.PARTS2D_SQL, ["p_partkey"], ["x1", "x2"], 2.63, 8,
+               ["p_partkey"])
+_fixture_query("label_points_lineitems3d_b", fx.lineitems3d, fx.LINEITEMS3D_SQL, fx.LINEITEM_KEY,
+               ["x1", "x2", "x3"], 2.03, 5, fx.LINEITEM_KEY)
+_fixture_query("label_points_lineitems3d_c", fx.lineitems3d, fx.LINEITEMS3D_SQL, fx.LINEITEM_KEY,
+               ["x1", "x2", "x3"], 3.13, 12, fx.LINEITEM_KEY)
+_fixture_query("label_points_emb3d_b", lambda s, d: fx.emb(s, d, 3), fx.emb_sql(3), ["vec_id"],
+               ["x1", "x2", "x3"], 0.061, 4, ["vec_id"])
+_fixture_query("label_points_emb4d", lambda s, d: fx.emb(s, d, 4), fx.emb_sql(4), ["vec_id"],
+               ["x1", "x2", "x3", "x4"], 0.113, 5, ["vec_id"])
 _fixture_query("label_points_emb5d", lambda s, d: fx.emb(s, d, 5), fx.emb_sql(5), ["vec_id"],
                ["x1", "x2", "x3", "x4", "x5"], 0.137, 5, ["vec_id"])
 
