@@ -4,11 +4,11 @@ id joins, tagging and removal of detected outliers, exact quantiles.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import uniform_hash
+from ..session import checkpoint_dir
 
 
 def with_row_index(df: DataFrame, order_by: list, name: str = "row_idx") -> DataFrame:
@@ -18,13 +18,15 @@ def with_row_index(df: DataFrame, order_by: list, name: str = "row_idx") -> Data
     Two passes instead of a global window: a range-partitioned sort, then
     per-partition row counts (one row per partition, bounded by the
     partition count) turned into offsets that are broadcast back.  The
-    sorted frame is persisted so both passes see the same partitions.
+    sorted frame with its partition ids is checkpointed (shared checkpoint
+    folder), so both passes see the same rows even if an executor is lost.
     """
+    checkpoint_dir(df.sparkSession)
     cols = [F.col(c) if isinstance(c, str) else c for c in order_by]
     s = (df.orderBy(*cols)
          .withColumn("_part", F.spark_partition_id())
          .withColumn("_mono", F.monotonically_increasing_id())
-         .persist(StorageLevel.MEMORY_AND_DISK))
+         .checkpoint())
     counts = s.groupBy("_part").agg(F.count(F.lit(1)).alias("_cnt"))
     w = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_part", F.coalesce(F.sum("_cnt").over(w), F.lit(0)).alias("_off"))

@@ -155,6 +155,9 @@ def knn(df: DataFrame, features: list[str], k: int, id_col: str | None = None,
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
+    # every part is checkpointed: the working frames are no longer needed
+    cand_pts.unpersist()
+    pts.unpersist()
     return out
 
 

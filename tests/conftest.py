@@ -14,10 +14,19 @@ SF_MID = "/root/testdata/sf0.01"
 
 @pytest.fixture(scope="session")
 def spark():
-    s = get_spark("local[4]", app="epsgrid-tests", shuffle_partitions=4)
+    s = get_spark("local[4]", app="epsgrid-tests", shuffle_partitions=4,
+                  conf={"spark.driver.memory": "6g"})
     yield s
 
 
+@pytest.fixture(autouse=True, scope="module")
+def _clear_cache(spark):
+    yield
+    from epsgrid.plans import catalog
+    catalog.release_all()
+    spark.catalog.clearCache()
+
+
 def brute_labels(X: np.ndarray, eps: float, min_pts: int, inclusive: bool = False) -> list[str]:
     """Reference definition by exhaustive pairwise distances (small inputs only)."""
     X = np.asarray(X, dtype=float)
