@@ -10,8 +10,8 @@ Plan:
    ties go to the smaller id, so no query ever uses more than
    ``cap = k (+1 without self)`` copies of one coordinate.  Coordinates with
    more copies are reduced to their ``cap`` smallest ids (a two-phase top-k:
-   per hash bucket, then per coordinate; no group is sorted whole in one
-   task).  Their points are answered directly from that list; the other
+   per hash bucket sized from the group's count, then per coordinate; no
+   group is sorted whole in one task).  Their points are answered directly from that list; the other
    queries see only the kept copies.  Pair work can then no longer be
    quadratic in a pile of identical points.
 2. **Radius per density.** A density estimate gives a base radius ``r0``
@@ -39,7 +39,8 @@ from ..functions import euclid_distance, grid_coord
 from ..session import checkpoint_dir
 from .grid import ccols, fcols, neighbor_cells, to_points
 
-DUP_BUCKETS = 64  # hash buckets of the first top-k phase over duplicate coordinates
+ROWS_PER_TASK = 1 << 20        # most points of one coordinate ranked in one task
+MAX_BROADCAST_ROWS = 2_000_000  # bound on the hot-coordinate list
 
 
 def _initial_radius(pts: DataFrame, dim: int, k: int, n: int) -> tuple[float, float]:
@@ -59,9 +60,21 @@ def _initial_radius(pts: DataFrame, dim: int, k: int, n: int) -> tuple[float, fl
     return max(r0, diam * 1e-9, 1e-12), diam
 
 
-def _top_ids(points: DataFrame, keys: list[str], cap: int) -> DataFrame:
-    """The ``cap`` smallest ids per key, in two bounded phases."""
-    b = points.withColumn("_b", F.pmod(F.xxhash64("pid"), F.lit(DUP_BUCKETS)))
+def _top_ids(points: DataFrame, groups: DataFrame, keys: list[str], cap: int, n: int) -> DataFrame:
+    """The ``cap`` smallest ids per key, in two bounded phases.
+
+    ``groups`` holds the size ``m`` of every key.  A key with more than
+    ``rows`` points is split into ``ceil(m / rows)`` hash buckets; those keys
+    number at most ``n / rows`` (kept under the broadcast limit), so the
+    bucket count reaches the points by a broadcast join.  Phase one ranks
+    inside a bucket (at most about ``rows`` points), phase two inside a key
+    over at most ``buckets * cap`` survivors.
+    """
+    rows = max(ROWS_PER_TASK, math.ceil(n / MAX_BROADCAST_ROWS), cap)
+    hot = groups.filter(F.col("m") > F.lit(rows)).select(
+        *keys, F.ceil(F.col("m") / F.lit(float(rows))).cast("int").alias("_nb"))
+    b = (points.join(F.broadcast(hot), keys, "left")
+         .withColumn("_b", F.pmod(F.xxhash64("pid"), F.coalesce(F.col("_nb"), F.lit(1)))).drop("_nb"))
     w1 = Window.partitionBy(*keys, "_b").orderBy("pid")
     part = b.withColumn("_r", F.row_number().over(w1)).filter(F.col("_r") <= F.lit(cap)).drop("_r", "_b")
     w2 = Window.partitionBy(*keys).orderBy("pid")
@@ -90,10 +103,11 @@ def knn(df: DataFrame, features: list[str], k: int, id_col: str | None = None,
     parts: list[DataFrame] = []
 
     # 1. coordinates with more copies than any query can use
-    heavy = pts.groupBy(*F_).agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > F.lit(cap)).select(*F_)
+    groups = pts.groupBy(*F_).agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > F.lit(cap))
+    heavy = groups.select(*F_)
     if not heavy.isEmpty():
         hp = pts.join(heavy, F_, "left_semi")
-        top = _top_ids(hp, F_, cap).checkpoint()
+        top = _top_ids(hp, groups, F_, cap, n).checkpoint()
         lists = top.groupBy(*F_).agg(F.array_sort(F.collect_list("pid")).alias("ids"))  # <= cap ids
         ans = hp.join(lists, F_)
         ids = F.col("ids") if include_self else F.filter("ids", lambda x: x != F.col("pid"))

@@ -235,3 +235,17 @@ def test_knn_with_heavy_duplicates_and_dense_cluster(spark):
         assert len(got) == len(X)
         for i in range(len(X)):
             assert [j for _, j in sorted(got[i])] == [j for j, _ in want[i]], i
+
+
+def test_knn_duplicate_pile_split_into_buckets(spark, monkeypatch):
+    monkeypatch.setattr(neighbors, "ROWS_PER_TASK", 7)
+    X = np.vstack([np.tile([[2.0, -1.0]], (50, 1)), np.random.default_rng(2).uniform(-5, 5, (30, 2))])
+    X = np.round(X, 5)
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(X)], "pid long, a double, b double")
+    nn = neighbors.knn(df, ["a", "b"], 3, "pid", include_self=False)
+    got = {}
+    for r in nn.collect():
+        got.setdefault(r.pid, []).append((r["rank"], r.nbr_id))
+    want = _np_knn(X, 3, self_too=False)
+    for i in range(len(X)):
+        assert [j for _, j in sorted(got[i])] == [j for j, _ in want[i]], i
