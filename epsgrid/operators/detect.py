@@ -62,6 +62,7 @@ log = logging.getLogger(__name__)
 STRATEGIES = ("shuffle", "broadcast", "grouped", "auto")
 DEFAULT_ROWS_PER_TASK = 1 << 20
 DEFAULT_MAX_BROADCAST_ROWS = 2_000_000
+ROWS_PER_PARTITION = 4_000_000  # points per partition of the persisted, salted point set
 
 
 @dataclass
@@ -121,6 +122,9 @@ class Detection:
         # (at most n_points / rows_per_task rows) always fits a broadcast
         self.rows_per_task = max(cfg.rows_per_task, cfg.min_pts,
                                  math.ceil(self.n_points / max(cfg.max_broadcast_rows, 1)))
+        if num_partitions is None:
+            # enough partitions that none holds more than ROWS_PER_PARTITION points
+            cfg.num_partitions = max(cfg.num_partitions, math.ceil(self.n_points / ROWS_PER_PARTITION))
         self.cells = with_buckets(cells, self.rows_per_task)
         hot = self.cells.filter(F.col("nb") > 1).select(*self.C, "nb")
         self.n_hot = hot.count()
