@@ -46,7 +46,6 @@ from __future__ import annotations
 import logging
 import math
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window

@@ -9,7 +9,6 @@ from __future__ import annotations
 import time
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..operators.dataset import sample_by_hash, sample_points
 from ..operators.detect import detect

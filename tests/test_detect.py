@@ -1,6 +1,5 @@
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from conftest import SF_SMALL, brute_labels, labels_of
 from epsgrid.operators.detect import dbscan_noise, detect, detect_outliers

@@ -2,7 +2,6 @@ import itertools
 import math
 
 import pytest
-from pyspark.sql import functions as F
 
 from epsgrid.functions import (cell_min_sq_dist, count_offsets, grid_coord, neighbor_offsets,
                                uniform_hash)
