@@ -52,6 +52,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import euclid_distance, within
+from ..session import checkpoint_dir
 from .grid import (DEFAULT_MAX_OFFSETS, assign_cells, ccols, cell_counts, cell_types,
                    explode_salts, fcols, neighbor_cells, salted_points, to_points,
                    validate_params, with_buckets)
@@ -81,8 +82,9 @@ class DetectConfig:
 class Detection:
     """Lazily built results of one detection run.
 
-    Persisted intermediates: the salted, partitioned points and the cell
-    table.  ``release()`` unpersists them.
+    The salted, hash-partitioned points are persisted (their partitioning is
+    reused by every later join); the cell table, the partial core points and
+    the typed cells are small and checkpointed.  ``release()`` unpersists.
     """
 
     def __init__(self, df: DataFrame, features: list[str], eps: float, min_pts: int,
@@ -113,7 +115,7 @@ class Detection:
         g = assign_cells(pts, cfg.eps, dim)
 
         # cell table (small relative to the points; persisted, never collected)
-        cells = self._persist(cell_counts(g, dim))
+        cells = self._materialize(cell_counts(g, dim))
         tot = cells.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"),
                         F.count(F.lit(1)).alias("k")).first()
         self.n_points, self.n_cells = int(tot["n"]), int(tot["k"])
@@ -139,6 +141,14 @@ class Detection:
         self._persisted.append(df)
         return df
 
+    def _materialize(self, df: DataFrame) -> DataFrame:
+        """Small cell-level results are written as reliable checkpoints to the
+        shared checkpoint folder: they survive executor loss without
+        recomputation, and later plans start from a leaf instead of the
+        whole lineage (which keeps planning cheap)."""
+        checkpoint_dir(self.spark)
+        return df.checkpoint(eager=True)
+
     def release(self) -> None:
         for df in self._persisted:
             df.unpersist()
@@ -289,7 +299,7 @@ class Detection:
     def partial_core(self) -> DataFrame:
         """Core points found inside non-dense cells: (pid, f.., c..)."""
         if "partial" not in self._cache:
-            self._cache["partial"] = self._persist(self.neighbor_counts().filter(
+            self._cache["partial"] = self._materialize(self.neighbor_counts().filter(
                 F.col("cnt") >= F.lit(self.cfg.min_pts)).drop("cnt"))
         return self._cache["partial"]
 
@@ -303,7 +313,7 @@ class Detection:
             t = t.withColumn("cell_type", F.when(
                 (F.col("cell_type") == "OTHER") & F.col("has_core").isNotNull(), F.lit("CORE")
             ).otherwise(F.col("cell_type"))).drop("has_core")
-            self._cache["typed"] = self._persist(t)
+            self._cache["typed"] = self._materialize(t)
         return self._cache["typed"]
 
     def core_neighbors(self, src: DataFrame | None = None, src_cols: tuple = ()) -> DataFrame:
