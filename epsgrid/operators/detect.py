@@ -133,6 +133,9 @@ class Detection:
         gs = salted_points(g, hot if self.n_hot else None, dim)
         gs = gs.select("pid", *self.F, *self.C, "salt").repartition(cfg.num_partitions, *self.C, "salt")
         self.points = self._persist(gs)
+        # materialize now: only a materialized cache reports its hash partitioning
+        # to later plans (otherwise the first join would shuffle the points again)
+        self.points.count()
         self._cache: dict = {}
 
     # ------------------------------------------------------------------ helpers
@@ -217,7 +220,10 @@ class Detection:
             dst = self.cells.select(*self.C, F.col("n").alias("n_nb"), F.col("nb").alias("nb_nb"))
             adj = neighbor_cells(src, dst, self.cfg.dim, self.cfg.inclusive, ("n_nb", "nb_nb"),
                                  self.cfg.max_offsets, src_cols=("nb_src", "n_src"))
-            ub = F.sum("n_nb").over(Window.partitionBy(*self.C))
+            # the source's salt (a non-dense cell has one bucket) joins the window
+            # key, so the window's shuffle already matches the points' (cell, salt)
+            adj = explode_salts(adj, "nb_src")
+            ub = F.sum("n_nb").over(Window.partitionBy(*self.C, "salt"))
             self._cache["cand"] = adj.withColumn("ub", ub).filter(
                 F.col("ub") >= F.lit(self.cfg.min_pts)).drop("ub")
         return self._cache["cand"]
@@ -239,7 +245,9 @@ class Detection:
         adj = self.query_adjacency(prune)
         # non-dense cells are never hot: their one salt bucket comes from nb_src
         # (0), and the join runs on the points' own (cell, salt) partitioning
-        a = explode_salts(adj.select(*self.C, "nb_src", *self.N, "nb_nb"), "nb_src").drop("nb_src")
+        if "salt" not in adj.columns:
+            adj = explode_salts(adj, "nb_src")
+        a = adj.select(*self.C, "salt", *self.N, "nb_nb")
         qx = self.points.join(a, [*self.C, "salt"]).select(
             F.col("pid").alias("q_pid"), *[F.col(f).alias(f"q_{f}") for f in self.F], *self.C,
             *self.N, "nb_nb")
