@@ -357,9 +357,11 @@ class Detection:
             qF = [f"q_{f}" for f in self.F]
             pF = [f"p_{f}" for f in self.F]
             a = explode_salts(adj2, "nb_src").drop("nb_src", "n_src")
-            rx = self.points.join(a, [*self.C, "salt"]).select(
+            # points of OTHER cells x their core neighbour cells: small, read by
+            # both branches below, so it is computed once
+            rx = self._materialize(self.points.join(a, [*self.C, "salt"]).select(
                 F.col("pid").alias("q_pid"), *[F.col(f).alias(f"q_{f}") for f in self.F], *self.C,
-                *self.N, "type_nb", "nb_nb")
+                *self.N, "type_nb", "nb_nb"))
             # neighbours in DENSE cells: every point there is core
             rd = explode_salts(rx.filter(F.col("type_nb") == "DENSE"), "nb_nb").drop("nb_nb", "type_nb")
             if self.cfg.strategy == "grouped":
