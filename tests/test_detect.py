@@ -187,12 +187,13 @@ def exchanged_scans(frame) -> int:
     return bad
 
 
-def test_plan_reuses_point_partitioning(spark):
+@pytest.mark.parametrize("strategy", ["shuffle", "grouped"])
+def test_plan_reuses_point_partitioning(spark, strategy):
     """The persisted points are shuffled once; later joins on (cell, salt) reuse that partitioning."""
     df, idc, feats = fx.events2d(spark, SF_SMALL)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        det = detect(df, feats, 23.1, 8, idc)
+        det = detect(df, feats, 23.1, 8, idc, strategy=strategy)
         assert exchanged_scans(det.neighbor_counts()) == 0
         assert exchanged_scans(det.near_core()) == 0
         # a join on the cell alone (salt dropped) must re-shuffle the points: the check sees it
