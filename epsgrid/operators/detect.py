@@ -82,16 +82,22 @@ class DetectConfig:
 class Detection:
     """Lazily built results of one detection run.
 
-    The salted, hash-partitioned points are persisted (their partitioning is
-    reused by every later join); the cell table, the partial core points and
-    the typed cells are small and checkpointed.  ``release()`` unpersists.
+    The salted, hash-partitioned points are persisted and materialized (their
+    partitioning is reused by every later join); the cell table, the partial
+    core points, the typed cells and the border-test query side are small and
+    materialized once (``materialize``: persist or checkpoint).
+    ``release()`` unpersists.
     """
 
     def __init__(self, df: DataFrame, features: list[str], eps: float, min_pts: int,
                  id_col: str | None = None, strategy: str = "shuffle", inclusive: bool = False,
                  num_partitions: int | None = None, rows_per_task: int | None = None,
-                 max_broadcast_rows: int | None = None, max_offsets: int | None = None):
+                 max_broadcast_rows: int | None = None, max_offsets: int | None = None,
+                 materialize: str = "persist"):
         features = list(features)
+        if materialize not in ("persist", "checkpoint"):
+            raise ValueError("materialize must be 'persist' or 'checkpoint'")
+        self.materialize = materialize
         dim = len(features)
         validate_params(eps, min_pts, dim)
         if strategy not in STRATEGIES:
@@ -145,12 +151,21 @@ class Detection:
         return df
 
     def _materialize(self, df: DataFrame) -> DataFrame:
-        """Small cell-level results are written as reliable checkpoints to the
-        shared checkpoint folder: they survive executor loss without
-        recomputation, and later plans start from a leaf instead of the
-        whole lineage (which keeps planning cheap)."""
-        checkpoint_dir(self.spark)
-        return df.checkpoint(eager=True)
+        """Compute a small cell-level result once.
+
+        ``persist`` (default): cached and materialized; later plans see a
+        materialized cache (exact sizes, cheap planning).  Executor loss
+        recomputes lost blocks from the fixed-depth lineage.
+        ``checkpoint``: written to the shared checkpoint folder; no
+        recomputation after executor loss, at the price of a write and of
+        size statistics (joins against it are planned as shuffles).
+        """
+        if self.materialize == "checkpoint":
+            checkpoint_dir(self.spark)
+            return df.checkpoint(eager=True)
+        df = self._persist(df)
+        df.count()
+        return df
 
     def release(self) -> None:
         for df in self._persisted:
@@ -357,11 +372,11 @@ class Detection:
             qF = [f"q_{f}" for f in self.F]
             pF = [f"p_{f}" for f in self.F]
             a = explode_salts(adj2, "nb_src").drop("nb_src", "n_src")
-            # points of OTHER cells x their core neighbour cells: small, read by
-            # both branches below, so it is computed once
-            rx = self._materialize(self.points.join(a, [*self.C, "salt"]).select(
+            # points of OTHER cells x their core neighbour cells (small); each branch
+            # below reads it with its own neighbour type
+            rx = self.points.join(a, [*self.C, "salt"]).select(
                 F.col("pid").alias("q_pid"), *[F.col(f).alias(f"q_{f}") for f in self.F], *self.C,
-                *self.N, "type_nb", "nb_nb"))
+                *self.N, "type_nb", "nb_nb")
             # neighbours in DENSE cells: every point there is core
             rd = explode_salts(rx.filter(F.col("type_nb") == "DENSE"), "nb_nb").drop("nb_nb", "type_nb")
             if self.cfg.strategy == "grouped":

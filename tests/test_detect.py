@@ -175,11 +175,12 @@ PASS_THROUGH = ("Project", "Filter", "ColumnarToRow", "InputAdapter", "WholeStag
 
 
 def exchanged_scans(frame) -> int:
-    """How many scans of a cached relation sit under a new exchange (through projections/filters)."""
+    """How many scans of the cached point set (the only cached relation with a
+    ``salt`` column) sit under a new exchange (through projections/filters)."""
     lines = [ln.strip(" :+-*") for ln in frame._jdf.queryExecution().executedPlan().toString().splitlines()]
     bad = 0
     for i, ln in enumerate(lines):
-        if ln.startswith("InMemoryTableScan"):
+        if ln.startswith("InMemoryTableScan") and "salt#" in ln.split("]")[0]:
             j = i - 1
             while j >= 0 and lines[j].lstrip("()0123456789 ").startswith(PASS_THROUGH):
                 j -= 1
@@ -200,3 +201,13 @@ def test_plan_reuses_point_partitioning(spark, strategy):
         assert exchanged_scans(det.points.join(det.cells.select(*det.C), det.C)) > 0
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_checkpoint_materialization_same_result(spark):
+    X = clustered(12, 200, 2)
+    df, cols = frame(spark, X)
+    a = labels_of(detect(df, cols, 0.9, 5, "point_id").labels)
+    b = labels_of(detect(df, cols, 0.9, 5, "point_id", materialize="checkpoint").labels)
+    assert a == b == dict(enumerate(brute_labels(X, 0.9, 5)))
+    with pytest.raises(ValueError):
+        detect(df, cols, 0.9, 5, "point_id", materialize="nope")
