@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import uniform_hash
+from ..session import ship_package
 from .dataset import exact_quantile
 from .grid import fcols, to_points
 from .neighbors import knn
@@ -219,6 +220,7 @@ def isolation_forest_scores(df: DataFrame, features: list[str], id_col: str | No
     """
     dim = len(features)
     idn = id_col or "point_id"
+    ship_package(df.sparkSession)
     pts, _ = to_points(df, features, id_col)
     n = pts.count()
     psi = max(1, min(max_samples, n))

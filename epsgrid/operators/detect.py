@@ -62,7 +62,8 @@ log = logging.getLogger(__name__)
 STRATEGIES = ("shuffle", "broadcast", "grouped", "auto")
 DEFAULT_ROWS_PER_TASK = 1 << 20
 DEFAULT_MAX_BROADCAST_ROWS = 2_000_000
-ROWS_PER_PARTITION = 4_000_000  # points per partition of the persisted, salted point set
+ROWS_PER_PARTITION = 4_000_000  # most points per partition of the persisted, salted point set
+MIN_ROWS_PER_PARTITION = 50_000  # below this, more partitions than cores only add overhead
 
 
 @dataclass
@@ -130,8 +131,11 @@ class Detection:
         self.rows_per_task = max(cfg.rows_per_task, cfg.min_pts,
                                  math.ceil(self.n_points / max(cfg.max_broadcast_rows, 1)))
         if num_partitions is None:
-            # enough partitions that none holds more than ROWS_PER_PARTITION points
-            cfg.num_partitions = max(cfg.num_partitions, math.ceil(self.n_points / ROWS_PER_PARTITION))
+            # the partition count follows the data: enough that none holds more than
+            # ROWS_PER_PARTITION points, no more than useful for small inputs
+            par = spark.sparkContext.defaultParallelism
+            small = min(cfg.num_partitions, max(par, math.ceil(self.n_points / MIN_ROWS_PER_PARTITION)))
+            cfg.num_partitions = max(math.ceil(self.n_points / ROWS_PER_PARTITION), small, 1)
         self.cells = with_buckets(cells, self.rows_per_task)
         hot = self.cells.filter(F.col("nb") > 1).select(*self.C, "nb")
         self.n_hot = hot.count()

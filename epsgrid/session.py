@@ -78,3 +78,33 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path under the shared checkpoint folder."""
     base = checkpoint_dir(spark)
     return os.path.join(base, "epsgrid-scratch", f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``epsgrid`` importable in Python workers (once per application).
+
+    Operators that run Python on executors (``applyInPandas``,
+    ``mapInPandas``) pickle functions of this package by reference.  The
+    package is zipped on the driver and registered with ``addPyFile``; Spark
+    serves the file to every executor, which puts it on the workers' path.
+    """
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    import zipfile
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg)
+    out_dir = tempfile.mkdtemp(prefix="epsgrid-pyfiles-")
+    zpath = os.path.join(out_dir, "epsgrid.zip")
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+        for base, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(base, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(zpath)
+    _SHIPPED.add(app)
