@@ -122,14 +122,17 @@ class Detection:
         g = assign_cells(pts, cfg.eps, dim)
 
         # cell table (small relative to the points; persisted, never collected)
-        cells = self._materialize(cell_counts(g, dim))
-        tot = cells.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"),
-                        F.count(F.lit(1)).alias("k")).first()
+        if self.materialize == "checkpoint":
+            cells = self._materialize(cell_counts(g, dim))
+        else:
+            cells = self._persist(cell_counts(g, dim))  # filled by the totals job below
+        base_rows = max(cfg.rows_per_task, cfg.min_pts)
+        tot = cells.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("k"),
+                        F.count_if(F.col("n") > F.lit(base_rows)).alias("hot")).first()
         self.n_points, self.n_cells = int(tot["n"]), int(tot["k"])
         # rows_per_task grows with the data so that the hot-cell list
         # (at most n_points / rows_per_task rows) always fits a broadcast
-        self.rows_per_task = max(cfg.rows_per_task, cfg.min_pts,
-                                 math.ceil(self.n_points / max(cfg.max_broadcast_rows, 1)))
+        self.rows_per_task = max(base_rows, math.ceil(self.n_points / max(cfg.max_broadcast_rows, 1)))
         if num_partitions is None:
             # the partition count follows the data: enough that none holds more than
             # ROWS_PER_PARTITION points, no more than useful for small inputs
@@ -138,7 +141,7 @@ class Detection:
             cfg.num_partitions = max(math.ceil(self.n_points / ROWS_PER_PARTITION), small, 1)
         self.cells = with_buckets(cells, self.rows_per_task)
         hot = self.cells.filter(F.col("nb") > 1).select(*self.C, "nb")
-        self.n_hot = hot.count()
+        self.n_hot = int(tot["hot"]) if self.rows_per_task == base_rows else hot.count()
 
         gs = salted_points(g, hot if self.n_hot else None, dim)
         gs = gs.select("pid", *self.F, *self.C, "salt").repartition(cfg.num_partitions, *self.C, "salt")
