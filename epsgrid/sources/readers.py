@@ -130,3 +130,14 @@ def read_trajectories(spark: SparkSession, path, glob: str = "*.plt", header_lin
 def read_timings(spark: SparkSession, path) -> DataFrame:
     """Timing log ``alg,x,y`` (algorithm, parameter value, seconds)."""
     return spark.read.schema("alg STRING, x DOUBLE, y DOUBLE").csv(path)
+
+
+def array_features(df: DataFrame, col: str, dim: int, prefix: str = "x",
+                   keep: list[str] | None = None) -> DataFrame:
+    """Expand an ``array<double>`` (or ``array<float>``) column into scalar
+    ``x1..xd`` feature columns (scalar columns keep the distance expressions in
+    whole-stage codegen).  Missing elements become NULL and are quarantined
+    by the detector."""
+    keep = list(keep) if keep is not None else [c for c in df.columns if c != col]
+    return df.select(*keep, *[F.get(F.col(col), i).cast("double").alias(f"{prefix}{i + 1}")
+                              for i in range(dim)])

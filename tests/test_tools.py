@@ -249,3 +249,14 @@ def test_knn_duplicate_pile_split_into_buckets(spark, monkeypatch):
     want = _np_knn(X, 3, self_too=False)
     for i in range(len(X)):
         assert [j for _, j in sorted(got[i])] == [j for j, _ in want[i]], i
+
+
+def test_array_features_feed_the_detector(spark):
+    from epsgrid import detect
+    emb = fx.table(spark, SF_SMALL, "embeddings").select("vec_id", "embedding")
+    pts = readers.array_features(emb, "embedding", 3)
+    assert pts.columns == ["vec_id", "x1", "x2", "x3"]
+    a = detect(pts, ["x1", "x2", "x3"], 0.083, 5, "vec_id").labels.select("vec_id", "label").collect()
+    df, idc, feats = fx.emb(spark, SF_SMALL, 3)
+    b = detect(df, feats, 0.083, 5, idc).labels.select("vec_id", "label").collect()
+    assert sorted(a) == sorted(b)
