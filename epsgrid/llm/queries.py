@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from epsgrid.llm import bpe, langid, quality, toxicity
+from epsgrid.llm import bpe, decontaminate, exact_dedup, langid, quality, simhash, toxicity
 from epsgrid.llm.common import read
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -41,3 +41,27 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return langid.identify(docs, langid.train(docs)).drop("rejected", "cross_entropy")
+
+
+@query
+def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.find_duplicates(read(spark, sf_dir, "documents"))
+
+
+ORACLE["op5_exact_dedup"] = r"""
+WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS n_chars,
+                  regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
+       row_number() OVER w = 1 AS kept, sha256(norm) AS text_sha256
+FROM n WINDOW w AS (PARTITION BY norm ORDER BY n_chars DESC, doc_id)
+"""
+
+
+@query
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read(spark, sf_dir, "documents"), shingle=4, radius=4).drop("n_links")
+
+
+@query
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
