@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from epsgrid.llm import bpe, decontaminate, exact_dedup, langid, quality, simhash, toxicity
+from epsgrid.llm import (
+    bpe, decontaminate, exact_dedup, langid, pii, quality, simhash, token_counts, tool_calls, toxicity)
 from epsgrid.llm.common import read
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -65,3 +67,95 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@query
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_spans(read(spark, sf_dir, "documents"))
+
+
+def derived_edits(docs: DataFrame) -> DataFrame:
+    """Three edits a document, made from its other columns: places and lengths from hashes of
+    its id, the inserted text from its language and source."""
+    place = lambda k: F.pmod(F.xxhash64("doc_id", F.lit(k)), F.coalesce("n_chars", F.lit(0)) + 1)
+    edits = [F.struct(F.lit(k).alias("seq"), place(k).cast("int").alias("pos"),
+                      F.pmod(F.xxhash64("doc_id", F.lit(k + 10)), F.lit(30)).cast("int").alias("n_del"), ins.alias("ins"))
+             for k, ins in enumerate((F.concat_ws(" ", F.lit(""), "lang", "source"), F.lit(""), F.col("lang")))]
+    return docs.select("doc_id", F.explode(F.array(*edits)).alias("e")).select("doc_id", "e.*")
+
+
+@query
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    out = token_counts.edit_and_count(docs, derived_edits(docs), public_tokenizers.path(VOCABULARY),
+                                      public_tokenizers.PATTERN)
+    return out.select("doc_id", "tokens_before", "tokens_after", "chars_encoded", "n_edits")
+
+
+SCHEMAS = {
+    "search": {"type": "object", "required": ["query", "limit"], "additionalProperties": False,
+               "properties": {"query": {"type": "string", "minLength": 1},
+                              "limit": {"type": "integer", "minimum": 1, "maximum": 60}}},
+    "note": {"type": "object", "required": ["text"], "properties": {"text": {"type": "string"}}},
+}
+
+
+def derived_calls(conv: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Calls from the assistant's turns and results from the others: the call of turn t waits
+    for the call of turn t - 2 and is answered by turn t + 1.  The tool, its limit and a left-out
+    argument follow from the length of the text."""
+    n = F.length("text")
+    query_arg = F.col("text").alias("query")
+    said = conv.where((F.col("role") == "assistant") & F.col("text").isNotNull())
+    calls = said.select(
+        "conv_id", F.concat(F.lit("c"), F.col("turn").cast("string")).alias("call_id"), "turn",
+        F.when(n % 3 == 0, "note").otherwise("search").alias("name"),
+        F.when(n % 3 == 0, F.to_json(F.struct("text"))).when(n % 7 == 0, F.to_json(F.struct(query_arg)))
+        .otherwise(F.to_json(F.struct(query_arg, (n % 80).alias("limit")))).alias("arguments"),
+        F.when(F.col("turn") >= 2, F.concat(F.lit("c"), (F.col("turn") - 2).cast("string"))).alias("after_id"))
+    results = conv.where((F.col("role") != "assistant") & (F.col("turn") >= 1)).select(
+        "conv_id", F.concat(F.lit("c"), (F.col("turn") - 1).cast("string")).alias("call_id"), "turn",
+        F.col("text").alias("content"))
+    return calls, results
+
+
+@query
+def op4_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = derived_calls(read(spark, sf_dir, "conversations"))
+    return tool_calls.link(calls, results, SCHEMAS)
+
+
+ORACLE["op4_tool_calls"] = r"""
+WITH RECURSIVE c AS (
+  SELECT conv_id, 'c' || turn AS call_id, turn, text, length(text) AS n,
+         CASE WHEN turn >= 2 THEN 'c' || (turn - 2) END AS after_id,
+         CASE WHEN length(text) % 3 = 0 THEN 'note' ELSE 'search' END AS name
+  FROM conversations WHERE role = 'assistant' AND text IS NOT NULL),
+k AS (SELECT DISTINCT conv_id, call_id, after_id FROM c),
+d AS (
+  SELECT conv_id, call_id, 0::BIGINT AS depth FROM k
+  WHERE after_id IS NULL OR NOT EXISTS (SELECT 1 FROM k p WHERE p.conv_id = k.conv_id AND p.call_id = k.after_id)
+  UNION ALL
+  SELECT k.conv_id, k.call_id, d.depth + 1 FROM k JOIN d ON k.conv_id = d.conv_id AND k.after_id = d.call_id),
+r AS (
+  SELECT conv_id, 'c' || (turn - 1) AS call_id, min(turn) AS result_turn, count(*) AS n_results,
+         arg_min(text, struct_pack(t := turn, x := text)) AS content
+  FROM conversations WHERE role <> 'assistant' AND turn >= 1 GROUP BY ALL),
+j AS (
+  SELECT c.*, d.depth, r.result_turn, coalesce(r.n_results, 0) AS n_results, r.content,
+         CASE WHEN name = 'note' THEN ''
+              WHEN n % 7 = 0 THEN concat_ws(';', CASE WHEN n = 0 THEN '$.query: length' END, '$.limit: required')
+              ELSE concat_ws(';', CASE WHEN n % 80 NOT BETWEEN 1 AND 60 THEN '$.limit: range' END,
+                             CASE WHEN n = 0 THEN '$.query: length' END) END AS problems
+  FROM c LEFT JOIN d USING (conv_id, call_id) LEFT JOIN r USING (conv_id, call_id))
+SELECT conv_id, call_id, name, turn, depth, result_turn, n_results,
+       CASE WHEN problems <> '' THEN 'invalid' WHEN n_results = 0 THEN 'unanswered' ELSE 'ok' END AS status,
+       problems,
+       '{' || CASE WHEN after_id IS NULL THEN '' ELSE '"after":"' || after_id || '",' END || '"arguments":'
+       || CASE WHEN name = 'note' THEN '{"text":' || to_json(text)::VARCHAR || '}'
+               WHEN n % 7 = 0 THEN '{"query":' || to_json(text)::VARCHAR || '}'
+               ELSE '{"limit":' || (n % 80) || ',"query":' || to_json(text)::VARCHAR || '}' END
+       || ',"id":"' || call_id || '","name":"' || name || '","result":'
+       || coalesce(to_json(content)::VARCHAR, 'null') || '}' AS json
+FROM j
+"""
