@@ -76,7 +76,7 @@ class Transducer:
 
     ROOT = 0
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 60_000, max_words: int = 200_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 120_000, max_words: int = 400_000):
         self.ranks, self.max_states, self.max_words = ranks, max_states, max_words
         self.vocab = {r: t for t, r in ranks.items()}
         self.child: dict[int, int] = {}
