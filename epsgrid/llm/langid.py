@@ -153,6 +153,7 @@ class Model:
                     o = np.argsort(ks)
                     self.tables[x, k, i] = (ks[o], vs[o])
         self.mean = np.full(len(self.langs), math.log(SYMBOLS))
+        self.noise = np.full(len(self.langs), math.log(SYMBOLS))
         self.sd_doc = np.full(len(self.langs), 1.0)
         self.sd_char = np.full(len(self.langs), 1.0)
         self.words: dict[str, int] = {}
@@ -230,17 +231,22 @@ class Model:
             post = np.exp(-(h - h[k]) * min(n[i], sharp))
             z = (h[k] - self.mean[k]) / math.sqrt(self.sd_doc[k] ** 2 + self.sd_char[k] ** 2 / n[i])
             lang.append(self.langs[k]), score.append(float(1 / post.sum()))
-            rejected.append(bool(z > self.reject_z)), entropy.append(float(h[k]))
+            limit = self.mean[k] + self.noise_share * (self.noise[k] - self.mean[k])
+            rejected.append(bool(z > self.reject_z and h[k] > limit)), entropy.append(float(h[k]))
         return lang, score, rejected, entropy
 
-    reject_z = 8.0
+    reject_z, noise_share = 8.0, 0.8
 
 
 def train(docs: DataFrame, order: int = 4, max_entries: int = 2_000_000,
-          calibration_rows: int = 4000, reject_z: float = 8.0) -> Model:
+          calibration_rows: int = 4000, reject_z: float = 8.0, noise_share: float = 0.8) -> Model:
     """Fit on the texts with a language whose fold is 2, 3 or 4 (all of them, whole); fold
     1 calibrates on at most ``calibration_rows``; fold 0 is held out.
 
+    A text is rejected if its cross-entropy lies over ``reject_z`` deviations above its
+    language's mean and beyond ``noise_share`` of the way to that of noise, for which the
+    calibration texts read backwards stand: mixed languages or codes in a text don't suffice.
+
     ``max_entries`` bounds the model, so also what the driver collects and broadcasts.
     """
     prepare(docs.sparkSession)
@@ -251,7 +257,7 @@ def train(docs: DataFrame, order: int = 4, max_entries: int = 2_000_000,
     rows = bounded(table, max_entries).select("kind", "n", "lang", "key", "value").toArrow()
     cols = [rows.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
     model = Model(order, (cols[0].astype(str), cols[1], cols[2].astype(str), cols[3], cols[4]))
-    model.reject_z = reject_z
+    model.reject_z, model.noise_share = reject_z, noise_share
     if not model.langs:
         return model
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -262,22 +268,26 @@ def train(docs: DataFrame, order: int = 4, max_entries: int = 2_000_000,
             s = m.texts([t.as_py() or "" for t in batch.column(1)])
             lang = np.array([m.langs.index(x) if x in m.langs else -1 for x in batch.column(0).to_pylist()])
             ok = (s[:, -1] >= 20) & (lang >= 0)
-            h = s[np.arange(len(s)), np.maximum(lang, 0)] / np.maximum(s[:, -1], 1)
+            at = np.arange(len(s)), np.maximum(lang, 0)
+            h = s[at] / np.maximum(s[:, -1], 1)
+            back = m.texts([(t.as_py() or "")[::-1] for t in batch.column(1)])
+            noise = back[at] / np.maximum(back[:, -1], 1)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(lang[ok].astype(np.int32)), pa.array(h[ok]), pa.array(s[ok, -1])], ["k", "h", "n"])
+                [pa.array(lang[ok].astype(np.int32)), pa.array(h[ok]), pa.array(noise[ok])], ["k", "h", "noise"])
 
     fold1 = src.where(fold() == 1)
     n = max(fold1.count(), 1)
     share = min(1_000_000, int(1_000_000 * calibration_rows / n))
     some = fold1.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) < share)
-    stats = (map_arrow(some.select("lang", "text"), run, "k int, h double, n double")
+    stats = (map_arrow(some.select("lang", "text"), run, "k int, h double, noise double")
              .groupBy("k").agg(F.avg("h").alias("mean"), F.stddev_pop("h").alias("sd"),
-                               F.avg("n").alias("n"), F.count("*").alias("m")).collect())
+                               F.avg("noise").alias("noise"), F.count("*").alias("m")).collect())
     for r in stats:
         if r.m >= 5:
             model.mean[r.k] = r.mean
             model.sd_doc[r.k] = max(r.sd, 0.02)
             model.sd_char[r.k] = 1.5
+            model.noise[r.k] = max(r.noise, r.mean)
     return model
 
 
