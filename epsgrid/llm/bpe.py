@@ -17,8 +17,8 @@ import base64
 import gc
 import hashlib
 import re
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -76,9 +76,10 @@ class Transducer:
 
     ROOT = 0
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 120_000, max_words: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 70_000, max_words: int = 300_000):
         self.ranks, self.max_states, self.max_words = ranks, max_states, max_words
         self.vocab = {r: t for t, r in ranks.items()}
+        self.dtype = np.dtype(np.uint16 if max(self.vocab, default=0) < 1 << 16 else np.uint32)
         self.child: dict[int, int] = {}
         self.ends, self.below = [-1], [[]]
         for token, rank in ranks.items():
@@ -208,13 +209,12 @@ class Transducer:
         ids += state.rest
         return tuple(ids)
 
-    def word(self, piece: str) -> tuple:
-        """(ids, their decimal text) of one pre-token, remembered in two generations:
+    def word(self, piece: str) -> bytes:
+        """Ids of one pre-token as packed numbers (``dtype``), remembered in two generations:
         when the younger is full it becomes the older, and words in use move back."""
         got = self.words.get(piece) or self.older.get(piece)
         if got is None:
-            ids = self.encode_bytes(piece.encode("utf-8", "replace"))
-            got = (ids, ",".join(map(str, ids)))
+            got = np.array(self.encode_bytes(piece.encode("utf-8", "replace")), dtype=self.dtype).tobytes()
         if len(piece) <= 64:
             if len(self.words) >= self.max_words:
                 self.older, self.words = self.words, {}
@@ -255,15 +255,19 @@ class Codec:
     def __init__(self, raw: bytes, pattern: str, **limits):
         self.fst = Transducer(parse_ranks(raw), **limits)
         self.pre = PreTokens(pattern)
+        self.decimal = {r: str(r) for r in self.fst.vocab}
 
-    def encode_pairs(self, text: str) -> list[tuple]:
+    def packed(self, pieces: list[str]) -> list[bytes]:
         fst, out = self.fst, []
-        for piece in self.pre.split(text):
+        for piece in pieces:
             out.append(fst.words.get(piece) or fst.word(piece))
         return out
 
+    def count(self, pieces: list[str]) -> int:
+        return sum(map(len, self.packed(pieces))) // self.fst.dtype.itemsize
+
     def encode(self, text: str) -> list[int]:
-        return [i for ids, _ in self.encode_pairs(text) for i in ids]
+        return np.frombuffer(b"".join(self.packed(self.pre.split(text))), dtype=self.fst.dtype).tolist()
 
     def decode_bytes(self, ids) -> bytes:
         return b"".join(map(self.fst.vocab.__getitem__, ids))
@@ -308,14 +312,13 @@ def encode_documents(docs: DataFrame, vocab_path: str, pattern: str, with_ids: b
         for batch in batches:
             ids_col, out = batch.column(0), {"n": [], "i": [], "d": [], "ids": []}
             for text in batch.column(1):
-                pairs = c.encode_pairs(text.as_py() or "")
-                ids = list(chain.from_iterable([p[0] for p in pairs]))
+                ids = c.encode(text.as_py() or "")
                 digest, utf = hashlib.sha256(), Utf8Stream()
                 for k in range(0, len(ids), 65_536):
                     digest.update(utf.push(c.decode_bytes(ids[k:k + 65_536])).encode())
                 digest.update(utf.close().encode())
                 out["n"].append(len(ids))
-                out["i"].append(hashlib.sha256(",".join([p[1] for p in pairs]).encode()).hexdigest())
+                out["i"].append(hashlib.sha256(",".join(map(c.decimal.__getitem__, ids)).encode()).hexdigest())
                 out["d"].append(digest.hexdigest())
                 if with_ids:
                     out["ids"].append(ids)

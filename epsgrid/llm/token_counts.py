@@ -9,7 +9,6 @@ the text is never encoded again.
 
 from __future__ import annotations
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,15 +25,14 @@ STATE = ("text string, leaf_chars array<int>, leaf_tokens array<int>, tokens_bef
 
 
 class Tree:
-    """Segment tree over leaves, as two arrays in heap order (node 1 is the root)."""
+    """Segment tree over leaves, as two lists in heap order (node 1 is the root)."""
 
     def __init__(self, chars: list[int], toks: list[int]):
         self.n = len(chars)
         self.size = 1 << max(0, (self.n - 1).bit_length())
-        self.chars = np.zeros(2 * self.size, dtype=np.int64)
-        self.toks = np.zeros(2 * self.size, dtype=np.int64)
-        self.chars[self.size:self.size + self.n] = chars
-        self.toks[self.size:self.size + self.n] = toks
+        rest = [0] * (self.size - self.n)
+        self.chars = [0] * self.size + list(chars) + rest
+        self.toks = [0] * self.size + list(toks) + rest
         for k in range(self.size - 1, 0, -1):
             self._sum(k)
 
@@ -44,7 +42,7 @@ class Tree:
 
     @property
     def tokens(self) -> int:
-        return int(self.toks[1])
+        return self.toks[1]
 
     def leaf(self, pos: int) -> tuple[int, int]:
         """(leaf, start) of the leaf that holds character ``pos``; past the end the last."""
@@ -52,7 +50,7 @@ class Tree:
         while k < self.size:
             k *= 2
             if pos - start >= self.chars[k] and self.chars[k + 1] > 0:
-                start += int(self.chars[k])
+                start += self.chars[k]
                 k += 1
         return k - self.size, start
 
@@ -65,39 +63,39 @@ class Tree:
 
     def leaves(self) -> tuple[list[int], list[int]]:
         at = slice(self.size, self.size + self.n)
-        return self.chars[at].tolist(), self.toks[at].tolist()
+        return self.chars[at], self.toks[at]
 
 
 def build(c, text: str, leaf: int = LEAF) -> tuple[list[int], list[int]]:
     """Characters and tokens of the leaves of a whole text (one empty leaf for no text)."""
     parts = c.pre.split(text)
-    known, word = c.fst.words, c.fst.word
     chars, toks = [], []
     for k in range(0, len(parts), leaf):
         some = parts[k:k + leaf]
         chars.append(sum(map(len, some)))
-        toks.append(sum([len((known.get(p) or word(p))[0]) for p in some]))
+        toks.append(c.count(some))
     return chars or [0], toks or [0]
 
 
-def apply_edit(c, text: str, tree: Tree, pos: int, n_del: int, ins: str) -> tuple[str, int]:
+def apply_edit(c, text: str, tree: Tree, pos: int, n_del: int, ins: str, engine=None) -> tuple[str, int]:
     """Replace ``n_del`` characters at ``pos`` by ``ins``; the tree follows.  Returns the new
-    text and the number of characters encoded again.  A place beyond the text is its end."""
+    text and the number of characters encoded again.  A place beyond the text is its end;
+    ``engine`` is one that splits both text and ``ins`` (default: found from them)."""
     pos = min(max(pos, 0), len(text))
     n_del = min(max(n_del, 0), len(text) - pos)
     new, shift = text[:pos] + ins + text[pos + n_del:], len(ins) - n_del
     first, start = tree.leaf(max(pos - LOOKAHEAD, 0))
-    last, end = first, start + int(tree.chars[first + tree.size])
+    last, end = first, start + tree.chars[first + tree.size]
     while end < pos + n_del and last + 1 < tree.n:
         last += 1
-        end += int(tree.chars[last + tree.size])
-    toks, at = 0, start
-    for m in c.pre.engine(new).finditer(new, start):
+        end += tree.chars[last + tree.size]
+    pieces, at = [], start
+    for m in (engine or c.pre.engine(new)).finditer(new, start):
         at = m.end()
-        toks += len(c.fst.word(m.group())[0])
+        pieces.append(m.group())
         while end + shift < at and last + 1 < tree.n:
             last += 1
-            end += int(tree.chars[last + tree.size])
+            end += tree.chars[last + tree.size]
         if at == end + shift and at >= pos + len(ins):
             break
     else:  # to the end of the text
@@ -105,7 +103,7 @@ def apply_edit(c, text: str, tree: Tree, pos: int, n_del: int, ins: str) -> tupl
     for k in range(first + 1, last + 1):
         if tree.chars[k + tree.size]:
             tree.put(k, 0, 0)
-    tree.put(first, at - start, toks)
+    tree.put(first, at - start, c.count(pieces))
     return new, at - start
 
 
@@ -140,8 +138,10 @@ def edit_round(state: DataFrame, vocab_path: str, pattern: str) -> DataFrame:
             out = []
             for r in batch.select(["text", "leaf_chars", "leaf_tokens", "chars_encoded", "edits"]).to_pylist():
                 text, tree, redone = r["text"] or "", Tree(r["leaf_chars"], r["leaf_tokens"]), r["chars_encoded"]
-                for e in r["edits"] or ():
-                    text, n = apply_edit(c, text, tree, e["pos"] or 0, e["n_del"] or 0, e["ins"] or "")
+                edits = r["edits"] or ()
+                engine = c.pre.engine(text + "".join([e["ins"] or "" for e in edits])) if edits else None
+                for e in edits:
+                    text, n = apply_edit(c, text, tree, e["pos"] or 0, e["n_del"] or 0, e["ins"] or "", engine)
                     redone += n
                 out.append((text, *tree.leaves(), redone, tree.tokens))
             cols = list(zip(*out)) or [()] * 5
