@@ -75,9 +75,10 @@ def cell_min_sq_dist(a: list, b: list) -> Column:
     return reduce(lambda s, t: s + t, terms) / F.lit(float(dim))
 
 
-def neighbor_delta(dim: int) -> int:
-    """Largest per-axis offset a neighbour cell can have: ceil(sqrt(dim))."""
-    return int(math.ceil(math.sqrt(dim)))
+def neighbor_delta(dim: int, inclusive: bool = False) -> int:
+    """Largest per-axis offset a neighbour cell can have: ceil(sqrt(dim)); with pairs at
+    exactly eps floor(sqrt(dim)) + 1, which is one more where dim is a square."""
+    return math.isqrt(dim) + 1 if inclusive else int(math.ceil(math.sqrt(dim)))
 
 
 def neighbor_offsets(dim: int, axes: int | None = None, inclusive: bool = False) -> list[tuple]:
@@ -90,7 +91,7 @@ def neighbor_offsets(dim: int, axes: int | None = None, inclusive: bool = False)
     keeps the boundary (``<= dim``) for the ``distance <= eps`` variant.
     """
     axes = dim if axes is None else axes
-    delta = neighbor_delta(dim)
+    delta = neighbor_delta(dim, inclusive)
     gaps = {o: max(abs(o) - 1, 0) ** 2 for o in range(-delta, delta + 1)}
     out = []
     for off in itertools.product(range(-delta, delta + 1), repeat=axes):
@@ -103,7 +104,7 @@ def neighbor_offsets(dim: int, axes: int | None = None, inclusive: bool = False)
 def count_offsets(dim: int, axes: int | None = None, inclusive: bool = False) -> int:
     """Number of offsets ``neighbor_offsets`` would return, without listing them."""
     axes = dim if axes is None else axes
-    delta = neighbor_delta(dim)
+    delta = neighbor_delta(dim, inclusive)
     # distribution of the gap sum over the axes, by dynamic programming
     per_axis = {}
     for o in range(-delta, delta + 1):

@@ -78,10 +78,6 @@ def _moments(pts: DataFrame, dim: int):
 
 
 def _inverse(cov: np.ndarray) -> np.ndarray:
-    if cov.shape == (2, 2):
-        a, b, d = cov[0, 0], cov[0, 1], cov[1, 1]
-        det = a * d - b * b
-        return np.array([[d / det, -b / det], [-b / det, a / det]])
     return np.linalg.pinv(cov)
 
 
@@ -225,15 +221,9 @@ def isolation_forest_scores(df: DataFrame, features: list[str], id_col: str | No
     n = pts.count()
     psi = max(1, min(max_samples, n))
     max_depth = int(math.ceil(math.log2(max(psi, 2))))
-    u = uniform_hash("pid", seed)
-    frac = min(1.0, n_trees * psi / max(n, 1))
-    per_tree = frac / n_trees
-    samp = (pts.filter(u < F.lit(frac))
-            .withColumn("tree", F.least(F.floor(u / F.lit(per_tree)), F.lit(n_trees - 1)).cast("long")))
-    if frac >= 1.0:
-        # small data: every tree draws its own sample (replicated per tree id)
-        samp = (pts.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1)).cast("array<long>")))
-                .filter(uniform_hash(F.struct("pid", "tree"), seed) < F.lit(psi / max(n, 1))))
+    # every tree draws its own sample, by one rule at every size (rows in no sample stay narrow)
+    samp = (pts.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1)).cast("array<long>")))
+            .filter(uniform_hash(F.struct("pid", "tree"), seed) < F.lit(psi / max(n, 1))))
     forest_df = samp.groupBy("tree").applyInPandas(
         lambda pdf: _grow_tree(pdf, dim, max_depth, seed), TREE_SCHEMA)
     forest = forest_df.toPandas()  # bounded by n_trees * (2 * max_samples - 1) rows

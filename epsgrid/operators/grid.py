@@ -126,7 +126,7 @@ def neighbor_cells(src: DataFrame, dst: DataFrame, dim: int, inclusive: bool = F
     """
     C, N = ccols(dim), ccols(dim, "n")
     k = adjacency_axes(dim, inclusive, max_offsets)
-    delta = neighbor_delta(dim)
+    delta = neighbor_delta(dim, inclusive)
     ex = src.select(*C, *src_cols)
     gap = None
     for i in range(k):

@@ -82,8 +82,7 @@ def _top_ids(points: DataFrame, groups: DataFrame, keys: list[str], cap: int, n:
 
 
 def knn(df: DataFrame, features: list[str], k: int, id_col: str | None = None,
-        include_self: bool = True, radius: float | None = None,
-        max_rounds: int = 96) -> DataFrame:
+        include_self: bool = True, radius: float | None = None) -> DataFrame:
     """The ``k`` nearest neighbours of every point: ``(id, nbr_id, dist, rank)``, rank 1..k."""
     if k < 1:
         raise ValueError("k must be >= 1")
@@ -136,7 +135,7 @@ def knn(df: DataFrame, features: list[str], k: int, id_col: str | None = None,
 
     # 3. rounds with a doubling radius
     j = -int(max_level)
-    for _ in range(max_rounds):
+    while True:  # ends once the radius passes the diameter or every query is answered
         r = r0 * (2.0 ** j)
         final = r > diam
         active = queries.filter(F.col("level") >= F.lit(-j)) if j < 0 else queries

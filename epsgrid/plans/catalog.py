@@ -773,26 +773,21 @@ def _base(spark, sf_dir):
     return fx.table(spark, sf_dir, "events").select(F.col("event_id").alias("id"))
 
 
-@register("gen_blobs")
 def q_gen_blobs(spark, sf_dir):
     return generate.blobs(_base(spark, sf_dir))
 
 
-@register("gen_blobs_varied")
 def q_gen_blobs_varied(spark, sf_dir):
     return generate.blobs_varied(_base(spark, sf_dir))
 
 
-@register("gen_blobs_dim")
 def q_gen_blobs_dim(spark, sf_dir):
     return generate.blobs_dim(_base(spark, sf_dir), 5)
 
 
-@register("gen_circles")
 def q_gen_circles(spark, sf_dir):
     return generate.circles(_base(spark, sf_dir))
 
 
-@register("gen_moons")
 def q_gen_moons(spark, sf_dir):
     return generate.moons(_base(spark, sf_dir))
