@@ -71,12 +71,16 @@ class _State:
 
 
 class Transducer:
-    """Encodes pre-tokens; ``max_states`` and ``max_words`` bound its memory: a full table
-    is emptied and grows again, results do not depend on it."""
+    """Encodes pre-tokens; ``max_states`` and ``max_words`` bound its memory, results do not
+    depend on them.  A full state table is kept, and further states are used without being
+    remembered; it is emptied only after ``RENEW`` tables' worth of those, when the text has
+    become another one."""
 
     ROOT = 0
+    RENEW = 8
+    MAX_FITS = 400_000
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 70_000, max_words: int = 300_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 150_000, max_words: int = 300_000):
         self.ranks, self.max_states, self.max_words = ranks, max_states, max_words
         self.vocab = {r: t for t, r in ranks.items()}
         self.dtype = np.dtype(np.uint16 if max(self.vocab, default=0) < 1 << 16 else np.uint32)
@@ -104,6 +108,7 @@ class Transducer:
     def _reset(self):
         self.states: dict[tuple, _State] = {}
         self.start = _State(((-1, self.ROOT, ()),), ())
+        self.unkept = 0
 
     def _parts(self, token: bytes, stop: int) -> list[bytes]:
         """Merge the token's own bytes; stops early at two parts if ``stop`` is 2."""
@@ -151,7 +156,7 @@ class Transducer:
                 right = vocab[y]
             else:
                 break
-        if len(self.fit) > 1_000_000:
+        if len(self.fit) >= self.MAX_FITS:
             self.fit.clear()
         self.fit[key] = ok
         return ok
@@ -188,7 +193,11 @@ class Transducer:
         configs = tuple([(a, n, o[k:]) for a, n, o in live]) if k else tuple(live)
         nxt = self.states.get(configs)
         if nxt is None:
-            nxt = self.states[configs] = _State(configs, done[2][k:])
+            nxt = _State(configs, done[2][k:])
+            if len(self.states) >= self.max_states:
+                self.unkept += 1
+                return nxt, sure
+            self.states[configs] = nxt
         out = state.next[byte] = (nxt, sure)
         return out
 
@@ -196,7 +205,7 @@ class Transducer:
         whole = self.ranks.get(piece)
         if whole is not None:
             return (whole,)
-        if len(self.states) > self.max_states:
+        if self.unkept > self.RENEW * self.max_states:
             self._reset()
         state, ids = self.start, []
         for b in piece:
