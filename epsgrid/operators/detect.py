@@ -54,7 +54,7 @@ from pyspark.sql import functions as F
 from ..functions import euclid_distance, within
 from ..session import checkpoint_dir
 from .grid import (DEFAULT_MAX_OFFSETS, assign_cells, ccols, cell_counts, cell_types,
-                   explode_salts, fcols, neighbor_cells, salted_points, to_points,
+                   explode_salts, fcols, neighbor_cells, number_points, salted_points,
                    validate_params, with_buckets)
 
 log = logging.getLogger(__name__)
@@ -87,11 +87,15 @@ class Detection:
     partitioning is reused by every later join); the cell table, the partial
     core points, the typed cells and the border-test query side are small and
     materialized once (``materialize``: persist or checkpoint).
-    ``release()`` unpersists.
+    ``release()`` unpersists, as does leaving a ``with`` block.
+
+    Points are told apart by a generated ``pid``; ``id_col`` (a column or several, of any
+    type, NULL and repeated values included) is carried through to the results.  Without
+    it the results have the generated id as ``point_id``.
     """
 
     def __init__(self, df: DataFrame, features: list[str], eps: float, min_pts: int,
-                 id_col: str | None = None, strategy: str = "shuffle", inclusive: bool = False,
+                 id_col: str | list[str] | None = None, strategy: str = "shuffle", inclusive: bool = False,
                  num_partitions: int | None = None, rows_per_task: int | None = None,
                  max_broadcast_rows: int | None = None, max_offsets: int | None = None,
                  materialize: str = "persist"):
@@ -106,7 +110,8 @@ class Detection:
         spark = df.sparkSession
         self.spark = spark
         self.features = features
-        self.id_name = id_col or "point_id"
+        self.ids = [id_col] if isinstance(id_col, str) else list(id_col or [])
+        self.I = [f"id{i}" for i in range(len(self.ids))]
         self.cfg = DetectConfig(
             eps=float(eps), min_pts=int(min_pts), dim=dim, inclusive=bool(inclusive),
             strategy=strategy,
@@ -118,7 +123,8 @@ class Detection:
         self.C, self.N, self.F = ccols(dim), ccols(dim, "n"), fcols(dim)
         self._persisted: list[DataFrame] = []
 
-        pts, self.quarantine = to_points(df, features, id_col)
+        pts, bad = number_points(df, features, self.ids)
+        self.quarantine = self._user(bad)
         g = assign_cells(pts, cfg.eps, dim)
 
         # cell table (small relative to the points; persisted, never collected)
@@ -144,7 +150,7 @@ class Detection:
         self.n_hot = int(tot["hot"]) if self.rows_per_task == base_rows else hot.count()
 
         gs = salted_points(g, hot if self.n_hot else None, dim)
-        gs = gs.select("pid", *self.F, *self.C, "salt").repartition(cfg.num_partitions, *self.C, "salt")
+        gs = gs.select("pid", *self.F, *self.I, *self.C, "salt").repartition(cfg.num_partitions, *self.C, "salt")
         self.points = self._persist(gs)
         # materialize now: only a materialized cache reports its hash partitioning
         # to later plans (otherwise the first join would shuffle the points again)
@@ -179,6 +185,24 @@ class Detection:
             df.unpersist()
         self._persisted = []
 
+    def __enter__(self) -> Detection:
+        return self
+
+    def __exit__(self, *exc) -> None:
+        self.release()
+
+    def once(self, df: DataFrame) -> DataFrame:
+        """Write a result to the shared checkpoint folder and release everything else."""
+        with self:
+            checkpoint_dir(self.spark)
+            return df.checkpoint(eager=True)
+
+    def with_ids(self, df: DataFrame, pid: str = "pid", names: list[str] | None = None) -> DataFrame:
+        """Add the caller's id columns (as ``names``, default ``id0..``) of the points in ``pid``."""
+        ids = self.points.select(F.col("pid").alias(pid),
+                                 *[F.col(i).alias(n) for i, n in zip(self.I, names or self.I)])
+        return df.join(ids, pid)
+
     def _within(self, a: list, b: list):
         return within(a, b, self.cfg.eps, self.cfg.inclusive)
 
@@ -415,8 +439,8 @@ class Detection:
 
     # ------------------------------------------------------------- user output
     def _user(self, df: DataFrame, extra: tuple = ()) -> DataFrame:
-        return df.select(F.col("pid").alias(self.id_name),
-                         *[F.col(f).alias(n) for f, n in zip(self.F, self.features)], *extra)
+        ids = [F.col(i).alias(n) for i, n in zip(self.I, self.ids)] or [F.col("pid").alias("point_id")]
+        return df.select(*ids, *[F.col(f).alias(n) for f, n in zip(self.F, self.features)], *extra)
 
     @property
     def outliers(self) -> DataFrame:
@@ -428,25 +452,30 @@ class Detection:
         d = explode_salts(self.dense_cells.select(*self.C, "nb"), "nb").drop("nb")
         return self.points.join(d, [*self.C, "salt"], "left_semi").drop("salt")
 
+    @property
+    def nondense_points(self) -> DataFrame:
+        return self.points.join(self._cells_salted(self.nondense_cells), [*self.C, "salt"],
+                                "left_semi").drop("salt")
+
     @property
     def core_points_internal(self) -> DataFrame:
-        return self.dense_points.unionByName(self.partial_core)
+        """(pid, f.., c..) of all core points."""
+        return self.dense_points.drop(*self.I).unionByName(self.partial_core)
 
     @property
     def core_points(self) -> DataFrame:
         """All core points, as (id, features...)."""
-        return self._user(self.core_points_internal)
+        part = self.nondense_points.join(self.partial_core.select("pid"), "pid", "left_semi")
+        return self._user(self.dense_points.unionByName(part))
 
     @property
     def labels_internal(self) -> DataFrame:
         """Every point with ``label`` core / border / outlier (pid, f.., c.., label)."""
         if "labels" not in self._cache:
             dense = self.dense_points.withColumn("label", F.lit("core"))
-            nd = self.points.join(self._cells_salted(self.nondense_cells), [*self.C, "salt"],
-                                  "left_semi").drop("salt")
             tags = (self.partial_core.select("pid", F.lit("core").alias("tag"))
                     .unionByName(self.outliers_internal.select("pid", F.lit("outlier").alias("tag"))))
-            nd = nd.join(tags, "pid", "left").withColumn(
+            nd = self.nondense_points.join(tags, "pid", "left").withColumn(
                 "label", F.coalesce(F.col("tag"), F.lit("border"))).drop("tag")
             self._cache["labels"] = dense.unionByName(nd)
         return self._cache["labels"]
@@ -456,7 +485,7 @@ class Detection:
         return self._user(self.labels_internal, ("label",))
 
 
-def detect(df: DataFrame, features: list[str], eps: float, min_pts: int, id_col: str | None = None,
+def detect(df: DataFrame, features: list[str], eps: float, min_pts: int, id_col: str | list[str] | None = None,
            strategy: str = "shuffle", inclusive: bool = False, **kw) -> Detection:
     """Run the detection plan and return the :class:`Detection` holding all results."""
     return Detection(df, features, eps, min_pts, id_col=id_col, strategy=strategy,
@@ -464,32 +493,36 @@ def detect(df: DataFrame, features: list[str], eps: float, min_pts: int, id_col:
 
 
 def detect_outliers(df: DataFrame, features: list[str], eps: float, min_pts: int,
-                    id_col: str | None = None, strategy: str = "shuffle",
+                    id_col: str | list[str] | None = None, strategy: str = "shuffle",
                     inclusive: bool = False, **kw) -> DataFrame:
-    """The outliers of ``df`` as (id, features...)."""
-    return detect(df, features, eps, min_pts, id_col, strategy, inclusive, **kw).outliers
+    """The outliers of ``df`` as (id, features...); like the other one-call functions, it
+    writes the result to the checkpoint folder and keeps nothing cached."""
+    det = detect(df, features, eps, min_pts, id_col, strategy, inclusive, **kw)
+    return det.once(det.outliers)
 
 
 def core_points(df: DataFrame, features: list[str], eps: float, min_pts: int,
-                id_col: str | None = None, **kw) -> DataFrame:
-    return detect(df, features, eps, min_pts, id_col, **kw).core_points
+                id_col: str | list[str] | None = None, **kw) -> DataFrame:
+    det = detect(df, features, eps, min_pts, id_col, **kw)
+    return det.once(det.core_points)
 
 
 def label_points(df: DataFrame, features: list[str], eps: float, min_pts: int,
-                 id_col: str | None = None, **kw) -> DataFrame:
+                 id_col: str | list[str] | None = None, **kw) -> DataFrame:
     """Every point with its label: core, border or outlier."""
-    return detect(df, features, eps, min_pts, id_col, **kw).labels
+    det = detect(df, features, eps, min_pts, id_col, **kw)
+    return det.once(det.labels)
 
 
 def dbscan_noise(df: DataFrame, features: list[str], eps: float, min_pts: int,
-                 id_col: str | None = None, **kw) -> DataFrame:
+                 id_col: str | list[str] | None = None, **kw) -> DataFrame:
     """DBSCAN noise flag as +-1 (-1 = noise), with DBSCAN's ``distance <= eps``.
 
     Clusters are collapsed to 1, exactly as the comparison runs do; noise in
     DBSCAN is precisely the outlier set under the inclusive distance test.
     """
     det = detect(df, features, eps, min_pts, id_col, inclusive=True, **kw)
-    lab = det.labels
+    lab = det.once(det.labels)
     return lab.select(*[c for c in lab.columns if c != "label"],
                       F.when(F.col("label") == "outlier", F.lit(-1)).otherwise(F.lit(1))
                       .cast("int").alias("prediction"))

@@ -1,6 +1,6 @@
 """Grid operators: points -> cells, cell counts, hot-cell salting, adjacency.
 
-Internal column names: ``pid`` (point id), ``f0..f{d-1}`` (features as
+Internal column names: ``pid`` (generated point id), ``id0..`` (the caller's ids), ``f0..f{d-1}`` (features as
 double), ``c0..c{d-1}`` (cell), ``n0..n{d-1}`` (a neighbour cell), ``salt``
 (sub-bucket of a hot cell).
 """
@@ -8,6 +8,7 @@ double), ``c0..c{d-1}`` (cell), ``n0..n{d-1}`` (a neighbour cell), ``salt``
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -53,6 +54,19 @@ def to_points(df: DataFrame, features: list[str], id_col: str | None = None,
     return sel.filter(ok), sel.filter(~ok)
 
 
+def number_points(df: DataFrame, features: list[str], ids: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Points as ``(pid, f0.., id0..)`` and the rows with a NULL, NaN or infinite coordinate.
+
+    ``pid`` is generated (unique, not consecutive).  The caller's id columns are only
+    carried along: they may be NULL, repeated and of any type.
+    """
+    sel = df.select(F.monotonically_increasing_id().alias("pid"),
+                    *[F.col(c).cast("double").alias(f"f{i}") for i, c in enumerate(features)],
+                    *[F.col(c).alias(f"id{i}") for i, c in enumerate(ids)])
+    ok = reduce(lambda a, b: a & b, [is_finite(f"f{i}") for i in range(len(features))])
+    return sel.filter(ok), sel.filter(~ok)
+
+
 def assign_cells(points: DataFrame, eps: float, dim: int) -> DataFrame:
     """Add ``c0..c{d-1}``: the grid cell (side ``eps/sqrt(dim)``) of each point."""
     return points.withColumns({f"c{i}": grid_coord(f"f{i}", eps, dim) for i in range(dim)})

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import euclid_distance, grid_coord, label_to_sign, neighbor_offsets, offsets_column
 from ..operators import baselines, dataset, evaluate, generate, neighbors, stats
-from ..operators.detect import Detection, detect
+from ..operators.detect import Detection, detect, label_points
 from ..session import scratch_path
 from ..sources import readers, writers
 from . import fixtures as fx
@@ -303,7 +303,7 @@ GRID = BF.ctes(grid=True)
                                               f"ON g.c0 = c.c0 AND g.c1 = c.c1 WHERE c.n >= {MIN_PTS}"))
 def q_filter_cell_type(spark, sf_dir):
     det = ev_detection(spark, sf_dir)
-    return det.dense_points.select(F.col("pid").alias("event_id"))
+    return det.dense_points.select(F.col("id0").alias("event_id"))
 
 
 # ================================================================ joins
@@ -324,15 +324,18 @@ PAIRS_SQL = with_ctes(GRID, f"SELECT p.aid AS q_id, p.bid AS p_id FROM pairs p J
                             f"JOIN cells c ON g.c0 = c.c0 AND g.c1 = c.c1 WHERE c.n < {MIN_PTS}")
 
 
+def _pair_ids(det: Detection) -> DataFrame:
+    return det.with_ids(det.with_ids(det.eps_pairs(), "q_pid", ["q_id"]), "p_pid", ["p_id"]).select("q_id", "p_id")
+
+
 @register("eps_join", PAIRS_SQL)
 def q_eps_join(spark, sf_dir):
-    return ev_detection(spark, sf_dir).eps_pairs().select(F.col("q_pid").alias("q_id"), F.col("p_pid").alias("p_id"))
+    return _pair_ids(ev_detection(spark, sf_dir))
 
 
 @register("eps_join_broadcast", PAIRS_SQL)
 def q_eps_join_broadcast(spark, sf_dir):
-    det = ev_detection(spark, sf_dir, strategy="broadcast")
-    return det.eps_pairs().select(F.col("q_pid").alias("q_id"), F.col("p_pid").alias("p_id"))
+    return _pair_ids(ev_detection(spark, sf_dir, strategy="broadcast"))
 
 
 @register("eps_join_grouped", with_ctes(BF.ctes(grid=True) + [
@@ -343,8 +346,8 @@ def q_eps_join_broadcast(spark, sf_dir):
     f"JOIN g USING (pid) JOIN ub ON g.c0 = ub.c0 AND g.c1 = ub.c1 WHERE ub.ub >= {MIN_PTS}"))
 def q_eps_join_grouped(spark, sf_dir):
     det = ev_detection(spark, sf_dir, strategy="grouped")
-    return det.neighbor_counts().select(
-        F.col("pid").alias("q_id"), F.least(F.col("cnt"), F.lit(MIN_PTS)).cast("bigint").alias("capped_count"))
+    return det.with_ids(det.neighbor_counts()).select(
+        F.col("id0").alias("q_id"), F.least(F.col("cnt"), F.lit(MIN_PTS)).cast("bigint").alias("capped_count"))
 
 
 NO_CORE_NB_SQL = with_ctes(GRID + [
@@ -356,7 +359,7 @@ NO_CORE_NB_SQL = with_ctes(GRID + [
 
 @register("no_core_neighbor", NO_CORE_NB_SQL)
 def q_no_core_neighbor(spark, sf_dir):
-    return ev_detection(spark, sf_dir).no_core_neighbor.select(F.col("pid").alias("event_id"))
+    return ev_detection(spark, sf_dir).no_core_neighbor.select(F.col("id0").alias("event_id"))
 
 
 @register("merge_ids", with_ctes(BF.ctes() + [
@@ -399,14 +402,16 @@ def q_dense_cells(spark, sf_dir):
 @register("neighbor_count", with_ctes(GRID, f"SELECT g.pid AS event_id, k.cnt FROM cnt k JOIN g ON k.pid = g.pid "
                                             f"JOIN cells c ON g.c0 = c.c0 AND g.c1 = c.c1 WHERE c.n < {MIN_PTS}"))
 def q_neighbor_count(spark, sf_dir):
-    pairs = ev_detection(spark, sf_dir).eps_pairs()
-    return pairs.groupBy(F.col("q_pid").alias("event_id")).agg(F.count(F.lit(1)).alias("cnt"))
+    det = ev_detection(spark, sf_dir)
+    counts = det.eps_pairs().groupBy("q_pid").agg(F.count(F.lit(1)).alias("cnt"))
+    return det.with_ids(counts, "q_pid", ["event_id"]).select("event_id", "cnt")
 
 
 @register("partial_core_points", with_ctes(GRID, f"SELECT g.pid AS event_id FROM core k JOIN g ON k.pid = g.pid "
                                                  f"JOIN cells c ON g.c0 = c.c0 AND g.c1 = c.c1 WHERE c.n < {MIN_PTS}"))
 def q_partial_core_points(spark, sf_dir):
-    return ev_detection(spark, sf_dir).partial_core.select(F.col("pid").alias("event_id"))
+    det = ev_detection(spark, sf_dir)
+    return det.with_ids(det.partial_core).select(F.col("id0").alias("event_id"))
 
 
 @register("core_cells", with_ctes(GRID, "SELECT c0, c1, n, cell_type FROM typed"))
@@ -422,7 +427,7 @@ def q_core_cells(spark, sf_dir):
 def q_all_core_reject(spark, sf_dir):
     det = ev_detection(spark, sf_dir)
     tested = det.outliers_internal.join(det.no_core_neighbor.select("pid"), "pid", "left_anti")
-    return tested.select(F.col("pid").alias("event_id"))
+    return tested.select(F.col("id0").alias("event_id"))
 
 
 @register("distinct_cells", with_ctes(GRID, "SELECT c0, c1 FROM cells"))
@@ -571,7 +576,7 @@ CORE_SQL = with_ctes(BF.ctes(), "SELECT event_id, x1, x2 FROM lab WHERE label =
 @register("union_core", CORE_SQL)
 def q_union_core(spark, sf_dir):
     det = ev_detection(spark, sf_dir)
-    return det._user(det.dense_points.unionByName(det.partial_core))
+    return det._user(det.dense_points.unionByName(det.with_ids(det.partial_core)))
 
 
 @register("union_outliers", OUTLIERS_SQL)
@@ -620,7 +625,7 @@ def q_detect_outliers_grouped(spark, sf_dir):
 
 @register("detect_outliers_salted", OUTLIERS_SQL)
 def q_detect_outliers_salted(spark, sf_dir):
-    # every cell above 4 points is split into hashed salt buckets
+    # every cell above 8 points is split into hashed salt buckets
     return ev_detection(spark, sf_dir, rows_per_task=8).outliers
 
 
@@ -630,12 +635,7 @@ def _fixture_query(name, fixture, point_sql, keys, feats, eps, min_pts, out_cols
 
     def q(spark, sf_dir):
         df, idc, fts = fixture(spark, sf_dir)
-        if idc is None:
-            df = df.withColumn("pid", F.monotonically_increasing_id()).persist()
-            det = detect(df, fts, eps, min_pts, "pid")
-            return det.labels.join(df.select("pid", *[c for c in out_cols if c not in fts]), "pid") \
-                .select(*out_cols, "label")
-        return detect(df, fts, eps, min_pts, idc).labels.select(*out_cols, "label")
+        return label_points(df, fts, eps, min_pts, idc or keys).select(*out_cols, "label")
     register(name, sql)(q)
 
 

@@ -166,7 +166,7 @@ def test_dbscan_noise_is_inclusive(spark):
 def test_dense_cells_are_core(spark):
     df, idc, feats = fx.events2d(spark, SF_SMALL)
     det = detect(df, feats, 23.1, 8, idc)
-    dense_ids = {r[0] for r in det.dense_points.select("pid").collect()}
+    dense_ids = {r[0] for r in det.dense_points.select("id0").collect()}
     core_ids = {r[0] for r in det.core_points.collect()}
     assert dense_ids <= core_ids
 
