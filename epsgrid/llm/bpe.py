@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import gc
 import hashlib
+import marshal
 import re
 
 import numpy as np
@@ -64,10 +65,18 @@ class PreTokens:
 
 
 class _State:
-    __slots__ = ("configs", "next", "rest")
+    """A state: its configurations packed into bytes (also its key in the state table), the
+    transitions known so far, and the tokens still owed if the text ends here."""
 
-    def __init__(self, configs, rest):
-        self.configs, self.next, self.rest = configs, {}, rest
+    __slots__ = ("packed", "next", "rest")
+
+    def __init__(self, packed, rest):
+        self.packed, self.next, self.rest = packed, {}, rest
+
+
+def pack(configs: tuple) -> bytes:
+    """Equal configurations give equal bytes: version 2 writes values only, no references."""
+    return marshal.dumps(configs, 2)
 
 
 class Transducer:
@@ -80,7 +89,7 @@ class Transducer:
     RENEW = 8
     MAX_FITS = 400_000
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 150_000, max_words: int = 300_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 150_000, max_words: int = 200_000):
         self.ranks, self.max_states, self.max_words = ranks, max_states, max_words
         self.vocab = {r: t for t, r in ranks.items()}
         self.dtype = np.dtype(np.uint16 if max(self.vocab, default=0) < 1 << 16 else np.uint32)
@@ -106,8 +115,8 @@ class Transducer:
         self._reset()
 
     def _reset(self):
-        self.states: dict[tuple, _State] = {}
-        self.start = _State(((-1, self.ROOT, ()),), ())
+        self.states: dict[bytes, _State] = {}
+        self.start = _State(pack(((-1, self.ROOT, ()),)), ())
         self.unkept = 0
 
     def _parts(self, token: bytes, stop: int) -> list[bytes]:
@@ -169,7 +178,7 @@ class Transducer:
         """
         child, ends, below = self.child, self.ends, self.below
         live, done = [], None
-        for last, node, owed in state.configs:
+        for last, node, owed in marshal.loads(state.packed):
             nxt = child.get(node * 256 + byte)
             if nxt is None:
                 continue
@@ -190,14 +199,14 @@ class Transducer:
                 if not n:
                     break
         k = len(sure)
-        configs = tuple([(a, n, o[k:]) for a, n, o in live]) if k else tuple(live)
-        nxt = self.states.get(configs)
+        packed = pack(tuple([(a, n, o[k:]) for a, n, o in live]) if k else tuple(live))
+        nxt = self.states.get(packed)
         if nxt is None:
-            nxt = _State(configs, done[2][k:])
+            nxt = _State(packed, done[2][k:])
             if len(self.states) >= self.max_states:
                 self.unkept += 1
                 return nxt, sure
-            self.states[configs] = nxt
+            self.states[packed] = nxt
         out = state.next[byte] = (nxt, sure)
         return out
 

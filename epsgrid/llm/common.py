@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from epsgrid.session import checkpoint_dir, ship_package
 
-#: Rows of one Arrow batch sent to a Python worker; bounds the worker's memory.
-ROWS_PER_BATCH = 1000
+#: Rows and bytes of one Arrow batch sent to a Python worker; bound the worker's memory (a
+#: longer text makes a batch of its own).
+ROWS_PER_BATCH, BYTES_PER_BATCH = 1000, 8 << 20
 #: Characters of text that a worker turns into words at a time.
 CHARS_PER_CHUNK = 2_000_000
 
@@ -21,6 +22,7 @@ def prepare(spark: SparkSession) -> None:
     checkpoint_dir(spark)
     ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BYTES_PER_BATCH))
 
 
 def pick(df: DataFrame, *names: str) -> DataFrame:
