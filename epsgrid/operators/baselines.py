@@ -69,11 +69,11 @@ def _moments(pts: DataFrame, dim: int):
             aggs.append(F.covar_pop(F_[i], F_[j]).alias(f"c{i}_{j}"))
     aggs.append(F.count(F.lit(1)).alias("n"))
     r = pts.agg(*aggs).first()
-    mean = [float(r[f"m{i}"]) for i in range(dim)]
+    mean = [float(r[f"m{i}"] or 0.0) for i in range(dim)]  # an empty input has no moments: zeros
     cov = np.zeros((dim, dim))
     for i in range(dim):
         for j in range(i, dim):
-            cov[i, j] = cov[j, i] = float(r[f"c{i}_{j}"])
+            cov[i, j] = cov[j, i] = float(r[f"c{i}_{j}"] or 0.0)
     return mean, cov, int(r["n"])
 
 

@@ -50,3 +50,9 @@ def test_several_id_columns_and_nothing_left_cached(spark):
     got = {(r["k"], r["s"]): r["label"] for r in label_points(df, ["x"], 0.5, 2, ["k", "s"]).collect()}
     assert got == {(1, "a"): "core", (1, "b"): "core", (None, "b"): "outlier"}
     assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
+
+
+def test_mahalanobis_of_an_empty_input(spark):
+    empty = spark.createDataFrame([], "id long, a double, b double")
+    assert baselines.mahalanobis(empty, ["a", "b"], id_col="id").count() == 0
+    assert baselines.robust_mahalanobis(empty, ["a", "b"], id_col="id").count() == 0
