@@ -301,11 +301,11 @@ class Codec:
 _CODECS: dict = {}
 
 
-def codec(raw: bytes, pattern: str) -> Codec:
-    """One codec a worker process and vocabulary."""
-    key = (hash(raw), pattern)
+def codec(raw: bytes, pattern: str, **limits) -> Codec:
+    """One codec a worker process, vocabulary and table sizes."""
+    key = (hash(raw), pattern, *sorted(limits.items()))
     if key not in _CODECS:
-        _CODECS[key] = Codec(raw, pattern)
+        _CODECS[key] = Codec(raw, pattern, **limits)
         gc.collect()
         gc.freeze()  # the tables live as long as the worker
         gc.set_threshold(200_000, 20, 100)

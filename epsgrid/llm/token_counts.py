@@ -23,6 +23,8 @@ EDITS_A_ROUND = 1000
 STATE = ("text string, leaf_chars array<int>, leaf_tokens array<int>, tokens_before long, "
          "chars_encoded long")
 
+WORDS_HELD = 300_000   # pre-tokens a worker remembers in each of two generations
+
 
 class Tree:
     """Segment tree over leaves, as two lists in heap order (node 1 is the root)."""
@@ -114,7 +116,7 @@ def build_trees(docs: DataFrame, vocab_path: str, pattern: str, leaf: int = LEAF
     shared = docs.sparkSession.sparkContext.broadcast(load_ranks(vocab_path))
 
     def run(batches):
-        c = codec(shared.value, pattern)
+        c = codec(shared.value, pattern, max_words=WORDS_HELD)
         for batch in batches:
             made = [build(c, t.as_py() or "", leaf) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
@@ -133,7 +135,7 @@ def edit_round(state: DataFrame, vocab_path: str, pattern: str) -> DataFrame:
     shared = state.sparkSession.sparkContext.broadcast(load_ranks(vocab_path))
 
     def run(batches):
-        c = codec(shared.value, pattern)
+        c = codec(shared.value, pattern, max_words=WORDS_HELD)
         for batch in batches:
             out = []
             for r in batch.select(["text", "leaf_chars", "leaf_tokens", "chars_encoded", "edits"]).to_pylist():
