@@ -141,6 +141,22 @@ def test_language_held_out_and_edges(spark, odd_docs):
     assert langid.identify(odd_docs.where("score = 'y'"), model).count() == 0
 
 
+def test_large_language_model_stays_whole(spark, odd_docs):
+    """A model beyond the broadcast bound gives the scores of the whole model."""
+    docs = read(spark, SF, "documents")
+    whole, large = langid.train(docs), langid.train(docs, max_entries=500)
+    assert np.allclose(whole.mean, large.mean) and np.allclose(whole.noise, large.noise)
+    for some in (docs, odd_docs, odd_docs.where("score = 'y'")):
+        rows = [sorted(langid.identify(some, m, keep=("text",)).collect(),
+                       key=lambda r: (r.doc_id is None, r.doc_id, r.text or "")) for m in (whole, large)]
+        assert len(rows[0]) == len(rows[1]) == some.count()
+        for a, b in zip(*rows):
+            assert a[:3] == b[:3] and a.text == b.text and a.rejected == b.rejected
+            assert abs(a.score - b.score) < 1e-6
+            assert (a.cross_entropy is None) == (b.cross_entropy is None)
+            assert a.cross_entropy is None or abs(a.cross_entropy - b.cross_entropy) < 1e-9
+
+
 @pytest.mark.parametrize("module,label,floor", [(quality, "quality", 0.95), (toxicity, "toxic", 0.85)])
 def test_classifiers(spark, odd_docs, module, label, floor):
     docs, labels = read(spark, SF, "documents"), read(spark, SF, "labels")
