@@ -392,10 +392,28 @@ def entropies(rows: DataFrame, model: Languages) -> DataFrame:
     return map_arrow(rows.select("lang", "text"), run, "k int, h double, noise double")
 
 
+def calibrate(model: Languages, rows: DataFrame) -> None:
+    """Mean, deviation and noise of each language over all rows.  A language with fewer than
+    five takes those of all rows together; only without any row do the defaults stay."""
+    stats = (entropies(rows, model)
+             .groupBy("k").agg(F.avg("h").alias("mean"), F.stddev_pop("h").alias("sd"),
+                               F.avg("noise").alias("noise"), F.count("*").alias("m")).collect())  # a row a language
+    if not stats:
+        return
+    m, mean, sd, noise = (np.array([r[c] for r in stats], dtype=float) for c in ("m", "mean", "sd", "noise"))
+    share = m / m.sum()
+    middle = float(share @ mean)
+    spread = math.sqrt(float(share @ (sd ** 2 + (mean - middle) ** 2)))
+    every = range(len(model.langs))
+    for k, a, b, c in [*((k, middle, spread, float(share @ noise)) for k in every),
+                       *((r.k, r.mean, r.sd, r.noise) for r in stats if r.m >= 5)]:
+        model.mean[k], model.sd_doc[k], model.sd_char[k], model.noise[k] = a, max(b, 0.02), 1.5, max(c, a)
+
+
 def train(docs: DataFrame, order: int = 4, max_entries: int = 2_000_000,
-          calibration_rows: int = 4000, reject_z: float = 8.0, noise_share: float = 0.8) -> Languages:
-    """Fit on the texts with a language whose fold is 2, 3 or 4 (all of them, whole); fold
-    1 calibrates on at most ``calibration_rows``; fold 0 is held out.
+          reject_z: float = 8.0, noise_share: float = 0.8) -> Languages:
+    """Fit on the texts with a language whose fold is 2, 3 or 4 (all of them, whole); all of
+    fold 1 calibrates; fold 0 is held out.
 
     A text is rejected if its cross-entropy lies over ``reject_z`` deviations above its
     language's mean and beyond ``noise_share`` of the way to that of noise, for which the
@@ -419,19 +437,7 @@ def train(docs: DataFrame, order: int = 4, max_entries: int = 2_000_000,
     model.reject_z, model.noise_share = reject_z, noise_share
     if not model.langs:
         return model
-    fold1 = src.where(fold() == 1)
-    n = max(fold1.count(), 1)
-    share = min(1_000_000, int(1_000_000 * calibration_rows / n))
-    some = fold1.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) < share)
-    stats = (entropies(some, model)
-             .groupBy("k").agg(F.avg("h").alias("mean"), F.stddev_pop("h").alias("sd"),
-                               F.avg("noise").alias("noise"), F.count("*").alias("m")).collect())
-    for r in stats:
-        if r.m >= 5:
-            model.mean[r.k] = r.mean
-            model.sd_doc[r.k] = max(r.sd, 0.02)
-            model.sd_char[r.k] = 1.5
-            model.noise[r.k] = max(r.noise, r.mean)
+    calibrate(model, src.where(fold() == 1))
     return model
 
 

@@ -157,6 +157,22 @@ def test_large_language_model_stays_whole(spark, odd_docs):
             assert a.cross_entropy is None or abs(a.cross_entropy - b.cross_entropy) < 1e-9
 
 
+def test_language_calibration_covers_rare_languages(spark, make_docs):
+    """All of fold 1 counts, and a language without rows there can still reject."""
+    docs = read(spark, SF, "documents").select("doc_id", "text", "lang")
+    fold1 = docs.where(langid.fold() == 1)
+    copies = fold1.crossJoin(spark.range(30)).drop("id")
+    rare = [(i, "ᚠᚢᚦᚨᚱᚲ ᚷᚹᚺᚾ ᛁᛃᛇᛈ ᛉᛊᛏᛒ ᛖᛗᛚᛜ", "rune") for i in range(10**9, 10**9 + 40)]
+    rare = make_docs(rare).where(langid.fold() > 1).select("doc_id", "text", "lang")
+    model = langid.train(docs.where(langid.fold() != 1).unionByName(copies).unionByName(rare))
+    got = langid.entropies(copies, model).toPandas().groupby("k").h.mean()
+    assert copies.count() > 4000 and all(abs(model.mean[k] - h) < 1e-9 for k, h in got.items())
+    k = model.langs.index("rune")
+    assert k not in got.index and model.mean[k] < 5 and model.noise[k] < 6
+    odd = make_docs([(1, "ᛜᚠᛗᚢᛖᚦ ᛒᚱᛏᚨᛊ ᛉᚲᛈ ᚷᛇᚹᛃ ᛁᚺᚾᛚ " * 8)])
+    assert langid.identify(odd, model).first().rejected
+
+
 @pytest.mark.parametrize("module,label,floor", [(quality, "quality", 0.95), (toxicity, "toxic", 0.85)])
 def test_classifiers(spark, odd_docs, module, label, floor):
     docs, labels = read(spark, SF, "documents"), read(spark, SF, "labels")
