@@ -162,6 +162,37 @@ def test_robust_mahalanobis_flags_planted_outliers(spark):
     assert flagged == set(range(300, 312))
 
 
+def test_robust_mahalanobis_with_clustered_contamination(spark):
+    """40 % of the rows in a second cluster: the fit is that of the clean rows, reweighted."""
+    rng = np.random.default_rng(3)
+    X = np.vstack([rng.normal(size=(600, 2)), rng.normal((7, 7), 1.5, (400, 2))])
+    df = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(X)], "pid long, a double, b double")
+    r = {t.pid: t for t in baselines.robust_mahalanobis(df, ["a", "b"], 0.4, "pid").collect()}
+    score = np.array([r[i].score for i in range(1000)])
+    flagged = np.array([r[i].prediction == -1 for i in range(1000)])
+    assert flagged[600:].mean() > 0.98 and flagged[:600].mean() < 0.02
+    # reweighted: the fit of the rows within the 97.5 % quantile, so the clean rows have chi-squared distances
+    good = X[:600]
+    inv = np.linalg.inv(np.cov(good.T))
+    want = -np.einsum("ij,jk,ik->i", good - good.mean(0), inv, good - good.mean(0))
+    assert np.corrcoef(score[:600], want)[0, 1] > 0.99 and abs(np.median(score[:600] / want) - 1) < 0.25
+
+
+def test_kth_distances_are_exact(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    X = rng.normal(size=(500, 2))
+    X[100:200] = X[0]
+    df = spark.createDataFrame([(float(x), float(y)) for x, y in X], "f0 double, f1 double")
+    fits = [(np.zeros(2), np.eye(2)), (X[0], 2 * np.eye(2))]
+    want = [np.sort(((X - m) @ v * (X - m)).sum(1)) for m, v in fits]
+    for gather in (100_000, 20):
+        monkeypatch.setattr(baselines, "GATHER_ROWS", gather)
+        for k in (1, 120, 251, 500):
+            assert baselines._kth_distances(df, fits, [k, k], 2) == [w[k - 1] for w in want]
+    assert abs(baselines._chi2_quantile(0.975, 2) - 7.377758908) < 1e-6
+    assert abs(baselines._chi2_quantile(0.5, 5) - 4.351460191) < 1e-6
+
+
 def test_isolation_forest_ranks_planted_outliers(spark):
     rng = np.random.default_rng(8)
     X = np.vstack([rng.normal(0, 1, (2000, 2)), [[9.0, 9.0], [-9.0, 8.0], [10.0, -9.0]]])
