@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from ..functions import uniform_hash
 from ..session import ship_package
 from .dataset import exact_quantile
-from .grid import fcols, to_points
-from .neighbors import knn
+from .grid import fcols, number_points
+from .neighbors import caller_ids, knn_points, ordered_points
 
 LRD_EPS = 1e-10  # added to the mean reachability distance, as in the usual LOF definition
 
@@ -34,6 +34,12 @@ def _threshold(scored: DataFrame, idn: str, contamination: float) -> DataFrame:
     return scored.select(idn, "score", pred.cast("int").alias("prediction"))
 
 
+def _points(df: DataFrame, features: list[str], id_col: str | None) -> tuple[DataFrame, str]:
+    """Points with a generated ``pid``, and the column that names them in the result: the
+    caller's id, which may be NULL, repeated and of any type, or the ``pid``."""
+    return number_points(df, features, [id_col] if id_col else [])[0], "id0" if id_col else "pid"
+
+
 # ---------------------------------------------------------------- LOF
 def lof_scores(df: DataFrame, features: list[str], n_neighbors: int = 20,
                id_col: str | None = None, radius: float | None = None) -> DataFrame:
@@ -44,16 +50,16 @@ def lof_scores(df: DataFrame, features: list[str], n_neighbors: int = 20,
     -> LOF = mean of ``lrd(o) / lrd(p)`` over the neighbours.  Three joins on
     the k-NN table (n * k rows), keyed by point id.
     """
-    idn = id_col or "point_id"
-    nn = knn(df, features, n_neighbors, id_col, include_self=False, radius=radius)
-    kd = nn.groupBy(idn).agg(F.max("dist").alias("kdist"))
-    reach = nn.join(kd.select(F.col(idn).alias("nbr_id"), F.col("kdist").alias("nbr_kdist")), "nbr_id") \
+    pts, ids = ordered_points(df, features, id_col)
+    nn = knn_points(pts, len(features), n_neighbors, include_self=False, radius=radius)
+    kd = nn.groupBy("pid").agg(F.max("dist").alias("kdist"))
+    reach = nn.join(kd.select(F.col("pid").alias("nbr_id"), F.col("kdist").alias("nbr_kdist")), "nbr_id") \
         .withColumn("rd", F.greatest(F.col("dist"), F.col("nbr_kdist")))
-    lrd = reach.groupBy(idn).agg((F.lit(1.0) / (F.avg("rd") + F.lit(LRD_EPS))).alias("lrd"))
-    ratio = (nn.join(lrd, idn)
-             .join(lrd.select(F.col(idn).alias("nbr_id"), F.col("lrd").alias("nbr_lrd")), "nbr_id")
+    lrd = reach.groupBy("pid").agg((F.lit(1.0) / (F.avg("rd") + F.lit(LRD_EPS))).alias("lrd"))
+    ratio = (nn.join(lrd, "pid")
+             .join(lrd.select(F.col("pid").alias("nbr_id"), F.col("lrd").alias("nbr_lrd")), "nbr_id")
              .withColumn("ratio", F.col("nbr_lrd") / F.col("lrd")))
-    return ratio.groupBy(idn).agg((-F.avg("ratio")).alias("score"))
+    return caller_ids(ratio.groupBy("pid").agg((-F.avg("ratio")).alias("score")), ids, pid=id_col or "point_id")
 
 
 def lof(df: DataFrame, features: list[str], contamination: float = 0.01, n_neighbors: int = 20,
@@ -104,9 +110,9 @@ def mahalanobis(df: DataFrame, features: list[str], contamination: float = 0.01,
     """
     dim = len(features)
     idn = id_col or "point_id"
-    pts, _ = to_points(df, features, id_col)
+    pts, own = _points(df, features, id_col)
     mean, cov, _ = _moments(pts, dim)
-    scored = pts.select(F.col("pid").alias(idn), (-_sq_mahalanobis(mean, _inverse(cov), dim)).alias("score"))
+    scored = pts.select(F.col(own).alias(idn), (-_sq_mahalanobis(mean, _inverse(cov), dim)).alias("score"))
     return _threshold(scored, idn, contamination)
 
 
@@ -239,13 +245,13 @@ def robust_mahalanobis(df: DataFrame, features: list[str], contamination: float
     dim = len(features)
     idn = id_col or "point_id"
     ship_package(df.sparkSession)
-    pts, _ = to_points(df, features, id_col)
+    pts, own = _points(df, features, id_col)
     pts = pts.persist()
     center, cov, n = _moments(pts, dim)
     mean = np.asarray(center)
     if n > 0:
         mean, cov = _mcd(pts, dim, center, cov, n, n_starts, max_steps, seed)
-    scored = pts.select(F.col("pid").alias(idn),
+    scored = pts.select(F.col(own).alias(idn),
                         (-_sq_mahalanobis([float(m) for m in mean], _inverse(cov), dim)).alias("score"))
     return _threshold(scored, idn, contamination)
 
@@ -335,17 +341,17 @@ def isolation_forest_scores(df: DataFrame, features: list[str], id_col: str | No
                             n_trees: int = 100, max_samples: int = 256, seed: int = 100) -> DataFrame:
     """``(id, score)`` with score = -(anomaly score) in [-1, 0].
 
-    Trees: each row joins at most one tree's sample, chosen by a hash of its
-    id (about ``max_samples`` rows per tree); the trees are grown in
+    Trees: each tree draws its sample by a hash of the generated point number, so rows that
+    share an id are drawn one by one (about ``max_samples`` rows per tree); the trees are grown in
     ``applyInPandas`` per tree id.  The forest is bounded by
     ``n_trees * (2 * max_samples - 1)`` nodes, whatever the data size, and is
     shipped with the scoring function; rows are scored in Arrow batches with
-    ``mapInPandas``.
+    ``mapInArrow``.
     """
     dim = len(features)
     idn = id_col or "point_id"
     ship_package(df.sparkSession)
-    pts, _ = to_points(df, features, id_col)
+    pts, own = _points(df, features, id_col)
     n = pts.count()
     psi = max(1, min(max_samples, n))
     max_depth = int(math.ceil(math.log2(max(psi, 2))))
@@ -364,7 +370,7 @@ def isolation_forest_scores(df: DataFrame, features: list[str], id_col: str | No
 
     def score(batches):
         for b in batches:
-            X = b[F_].to_numpy(dtype=float)
+            X = np.column_stack([b.column(f).to_numpy(zero_copy_only=False) for f in F_])
             total = np.zeros(len(X))
             for feat, thr, left, right, size, depth in trees:
                 node = np.zeros(len(X), dtype=np.int64)
@@ -378,9 +384,10 @@ def isolation_forest_scores(df: DataFrame, features: list[str], id_col: str | No
                     node = np.where(inner, nxt, node)
                 total += depth[node] + _avg_path(size[node])
             mean_h = total / max(len(trees), 1)
-            yield pd.DataFrame({idn: b["pid"].to_numpy(), "score": -np.power(2.0, -mean_h / c_psi)})
+            yield pa.RecordBatch.from_arrays([b.column(own), pa.array(-np.power(2.0, -mean_h / c_psi))],
+                                             [idn, "score"])
 
-    return pts.mapInPandas(score, f"`{idn}` bigint, score double")
+    return pts.mapInArrow(score, f"`{idn}` {dict(pts.dtypes)[own]}, score double")
 
 
 def isolation_forest(df: DataFrame, features: list[str], contamination: float = 0.01,

@@ -1,7 +1,9 @@
 """Exact k-nearest neighbours and k-distance curves on the grid.
 
-Neighbours are ordered by ``(distance, neighbour id)``; with ``include_self``
-the point itself is a candidate (distance 0), as when a fitted set is queried
+Points are told apart by a generated number that follows the order of the caller's
+ids, which are joined back at the end: they may be NULL, repeated and of any type
+that sorts.  Neighbours are ordered by ``(distance, neighbour id)``, points with equal
+ids in no set order; with ``include_self`` the point itself is a candidate (distance 0), as when a fitted set is queried
 with itself.
 
 Plan:
@@ -37,7 +39,8 @@ from pyspark.sql import functions as F
 
 from ..functions import euclid_distance, grid_coord
 from ..session import checkpoint_dir
-from .grid import ccols, fcols, neighbor_cells, to_points
+from .dataset import with_row_index
+from .grid import ccols, fcols, neighbor_cells, number_points
 
 ROWS_PER_TASK = 1 << 20        # most points of one coordinate ranked in one task
 MAX_BROADCAST_ROWS = 2_000_000  # bound on the hot-coordinate list
@@ -81,17 +84,44 @@ def _top_ids(points: DataFrame, groups: DataFrame, keys: list[str], cap: int, n:
     return part.withColumn("_r", F.row_number().over(w2)).filter(F.col("_r") <= F.lit(cap)).drop("_r")
 
 
+def ordered_points(df: DataFrame, features: list[str], id_col: str | None) -> tuple[DataFrame, DataFrame | None]:
+    """``(pid, f0..)`` with ``pid`` in the order of the caller's ids, and ``(pid, id0)`` to
+    join these back (None without ``id_col``).  The numbers are checkpointed, not generated
+    again; equal ids are spread by a second sort key."""
+    if id_col is None:
+        return number_points(df, features, [])[0], None
+    checkpoint_dir(df.sparkSession)
+    pts, _ = number_points(df, features, [id_col])
+    pts = with_row_index(pts, ["id0", "pid"], "_n").drop("pid").withColumnRenamed("_n", "pid")
+    return pts.select("pid", *fcols(len(features))), pts.select("pid", "id0")
+
+
+def caller_ids(df: DataFrame, ids: DataFrame | None, **names: str) -> DataFrame:
+    """Replace each number column ``old`` by the caller's id under the name ``new``
+    (``old=new``), in front of the other columns."""
+    rest = [c for c in df.columns if c not in names]
+    for old in names:
+        df = (df.withColumnRenamed(old, f"_{old}") if ids is None else
+              df.join(ids.select(F.col("pid").alias(old), F.col("id0").alias(f"_{old}")), old).drop(old))
+    return df.select(*[F.col(f"_{old}").alias(new) for old, new in names.items()], *rest)
+
+
 def knn(df: DataFrame, features: list[str], k: int, id_col: str | None = None,
         include_self: bool = True, radius: float | None = None) -> DataFrame:
     """The ``k`` nearest neighbours of every point: ``(id, nbr_id, dist, rank)``, rank 1..k."""
+    pts, ids = ordered_points(df, features, id_col)
+    nn = knn_points(pts, len(features), k, include_self, radius)
+    return caller_ids(nn, ids, pid=id_col or "point_id", nbr_id="nbr_id")
+
+
+def knn_points(pts: DataFrame, dim: int, k: int, include_self: bool = True,
+               radius: float | None = None) -> DataFrame:
+    """k-NN of numbered points ``(pid, f0..)``: ``(pid, nbr_id, dist, rank)``."""
     if k < 1:
         raise ValueError("k must be >= 1")
-    dim = len(features)
-    spark = df.sparkSession
+    spark = pts.sparkSession
     checkpoint_dir(spark)
-    idn = id_col or "point_id"
-    schema = f"`{idn}` bigint, nbr_id bigint, dist double, rank int"
-    pts, _ = to_points(df, features, id_col)
+    schema = "pid bigint, nbr_id bigint, dist double, rank int"
     pts = pts.persist(StorageLevel.MEMORY_AND_DISK)
     n = pts.count()
     if n == 0:
@@ -111,7 +141,7 @@ def knn(df: DataFrame, features: list[str], k: int, id_col: str | None = None,
         ans = hp.join(lists, F_)
         ids = F.col("ids") if include_self else F.filter("ids", lambda x: x != F.col("pid"))
         ans = ans.select("pid", F.posexplode(F.slice(ids, 1, k)).alias("_pos", "nbr_id"))
-        parts.append(ans.select(F.col("pid").alias(idn), "nbr_id", F.lit(0.0).alias("dist"),
+        parts.append(ans.select("pid", "nbr_id", F.lit(0.0).alias("dist"),
                                 (F.col("_pos") + 1).cast("int").alias("rank")).checkpoint())
         cand_pts = pts.join(heavy, F_, "left_anti").unionByName(top.select("pid", *F_))
         queries = pts.join(heavy, F_, "left_anti")
@@ -155,12 +185,12 @@ def knn(df: DataFrame, features: list[str], k: int, id_col: str | None = None,
                   .withColumn("rank", F.row_number().over(w.orderBy("dist", "p_pid"))))
         done = ranked if final else ranked.filter(F.col("cnt") >= F.lit(k))
         res = done.filter(F.col("rank") <= F.lit(k)).select(
-            F.col("pid").alias(idn), F.col("p_pid").alias("nbr_id"), "dist",
+            "pid", F.col("p_pid").alias("nbr_id"), "dist",
             F.col("rank").cast("int")).checkpoint()
         parts.append(res)
         if final:
             break
-        resolved = res.select(F.col(idn).alias("pid")).distinct()
+        resolved = res.select("pid").distinct()
         queries = queries.join(resolved, "pid", "left_anti").checkpoint()
         if queries.isEmpty():
             break
@@ -177,9 +207,9 @@ def knn(df: DataFrame, features: list[str], k: int, id_col: str | None = None,
 def k_distance(df: DataFrame, features: list[str], k: int, id_col: str | None = None,
                include_self: bool = True, radius: float | None = None) -> DataFrame:
     """Distance of every point to its k-th nearest neighbour (self counts as the 1st)."""
-    nn = knn(df, features, k, id_col, include_self, radius)
-    idn = id_col or "point_id"
-    return nn.groupBy(idn).agg(F.max("dist").alias("k_dist"))
+    pts, ids = ordered_points(df, features, id_col)
+    nn = knn_points(pts, len(features), k, include_self, radius)
+    return caller_ids(nn.groupBy("pid").agg(F.max("dist").alias("k_dist")), ids, pid=id_col or "point_id")
 
 
 def k_distance_curve(df: DataFrame, features: list[str], k: int, id_col: str | None = None,

@@ -291,3 +291,30 @@ def test_array_features_feed_the_detector(spark):
     df, idc, feats = fx.emb(spark, SF_SMALL, 3)
     b = detect(df, feats, 0.083, 5, idc).labels.select("vec_id", "label").collect()
     assert sorted(a) == sorted(b)
+
+
+@pytest.mark.parametrize("ids", [[None] * 30, [7] * 30, [1.2, 1.7, 1.9] * 10, ["a", None, "b"] * 10])
+def test_ids_are_payload(spark, ids):
+    """NULL, repeated, fractional and text ids change no result."""
+    rng = np.random.default_rng(5)
+    X = np.vstack([rng.normal(size=(24, 2)), np.zeros((6, 2))])
+    kind = "double" if isinstance(ids[0], float) else "string" if "a" in ids else "long"
+    df = spark.createDataFrame([(i, n, float(x), float(y)) for n, (i, (x, y)) in enumerate(zip(ids, X))],
+                               f"id {kind}, n long, a double, b double")
+    for self_too in (True, False):
+        got = neighbors.knn(df, ["a", "b"], 3, "id", include_self=self_too)
+        assert dict(got.dtypes)["id"] == dict(got.dtypes)["nbr_id"] == dict(df.dtypes)["id"]
+        want = neighbors.knn(df, ["a", "b"], 3, "n", include_self=self_too)
+        rows = [sorted((str(r[0]), round(r.dist, 12), r["rank"]) for r in x.collect())
+                for x in (got, want.join(df.select("n", "id"), "n").select("id", "dist", "rank"))]
+        assert len(rows[0]) == 90 and rows[0] == rows[1]
+    for fn in (baselines.lof_scores, baselines.isolation_forest_scores, baselines.mahalanobis,
+               baselines.robust_mahalanobis):
+        extra = {"n_neighbors": 8} if fn is baselines.lof_scores else {}
+        got, want = fn(df, ["a", "b"], id_col="id", **extra), fn(df, ["a", "b"], id_col="n", **extra)
+        rows = [sorted((str(r.id), round(r.score, 9)) for r in x.collect())
+                for x in (got, want.join(df.select("n", "id"), "n"))]
+        assert len(rows[0]) == 30 and rows[0] == rows[1]
+    curve = [[r.k_dist for r in neighbors.k_distance_curve(df, ["a", "b"], 4, c).orderBy("rank").collect()]
+             for c in ("id", "n")]
+    assert len(curve[0]) == 30 and np.allclose(*curve)
