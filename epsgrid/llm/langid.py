@@ -379,6 +379,7 @@ def entropies(rows: DataFrame, model: Languages) -> DataFrame:
     def run(batches):
         m = shared.value
         for batch in batches:
+            m.words.clear()  # words read backwards don't come again: keep the worker small
             s = m.texts([t.as_py() or "" for t in batch.column(1)])
             lang = np.array([m.langs.index(x) if x in m.langs else -1 for x in batch.column(0).to_pylist()])
             ok = (s[:, -1] >= 20) & (lang >= 0)
