@@ -1,16 +1,12 @@
 import os
 import sys
 
-import numpy as np
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from epsgrid.session import get_spark  # noqa: E402
 
-SF_SMALL = "/root/testdata/sf0.001"
-SF_MID = "/root/testdata/sf0.01"
-
 
 @pytest.fixture(scope="session")
 def spark():
@@ -25,19 +21,3 @@ def _clear_cache(spark):
     from epsgrid.plans import catalog
     catalog.release_all()
     spark.catalog.clearCache()
-
-
-def brute_labels(X: np.ndarray, eps: float, min_pts: int, inclusive: bool = False) -> list[str]:
-    """Reference definition by exhaustive pairwise distances (small inputs only)."""
-    X = np.asarray(X, dtype=float)
-    if len(X) == 0:
-        return []
-    d = np.sqrt(((X[:, None, :] - X[None, :, :]) ** 2).sum(-1))
-    near = d <= eps if inclusive else d < eps
-    core = near.sum(1) >= min_pts
-    has_core = (near & core[None, :]).any(1)
-    return ["core" if c else ("border" if h else "outlier") for c, h in zip(core, has_core)]
-
-
-def labels_of(det_labels, id_col="point_id"):
-    return {r[id_col]: r["label"] for r in det_labels.collect()}

@@ -4,7 +4,7 @@ import math
 import duckdb
 import pytest
 
-from conftest import SF_SMALL
+from helpers import SF_SMALL
 import __spark_entry__ as entry_mod
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "

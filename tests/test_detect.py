@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from conftest import SF_SMALL, brute_labels, labels_of
+from helpers import SF_SMALL, brute_labels, labels_of
 from epsgrid.operators.detect import dbscan_noise, detect, detect_outliers
 from epsgrid.operators import stats
 from epsgrid.plans import fixtures as fx

@@ -1,4 +1,4 @@
-from conftest import SF_SMALL
+from helpers import SF_SMALL
 from epsgrid.operators.detect import detect
 from epsgrid.plans import fixtures as fx
 from epsgrid.session import scratch_path

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from helpers import SF_SMALL
 from epsgrid.operators import baselines, dataset, evaluate, generate, neighbors
 from epsgrid.plans import fixtures as fx
 from epsgrid.session import scratch_path

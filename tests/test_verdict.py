@@ -6,7 +6,7 @@ from epsgrid import detect, label_points
 from epsgrid.operators import baselines
 from epsgrid.operators.neighbors import knn
 
-from conftest import brute_labels, labels_of
+from helpers import brute_labels, labels_of
 
 
 def test_knn_answers_every_query_from_a_tiny_radius(spark):
