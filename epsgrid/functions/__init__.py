@@ -55,12 +55,6 @@ def within(a: list, b: list, eps: float, inclusive: bool = False) -> Column:
     return d <= F.lit(float(eps)) if inclusive else d < F.lit(float(eps))
 
 
-def array_distance(a, b) -> Column:
-    """Euclidean distance between two array<double> columns of equal length."""
-    diffs = F.zip_with(_col(a), _col(b), lambda x, y: (x - y) * (x - y))
-    return F.sqrt(F.aggregate(diffs, F.lit(0.0), lambda acc, v: acc + v))
-
-
 def cell_min_sq_dist(a: list, b: list) -> Column:
     """Squared minimum distance between two cells, in units of eps^2.
 

@@ -51,7 +51,7 @@ def lof_scores(df: DataFrame, features: list[str], n_neighbors: int = 20,
     the k-NN table (n * k rows), keyed by point id.
     """
     pts, ids = ordered_points(df, features, id_col)
-    nn = knn_points(pts, len(features), n_neighbors, include_self=False, radius=radius)
+    nn = knn_points(pts, len(features), n_neighbors, include_self=False)
     kd = nn.groupBy("pid").agg(F.max("dist").alias("kdist"))
     reach = nn.join(kd.select(F.col("pid").alias("nbr_id"), F.col("kdist").alias("nbr_kdist")), "nbr_id") \
         .withColumn("rd", F.greatest(F.col("dist"), F.col("nbr_kdist")))
@@ -65,7 +65,7 @@ def lof_scores(df: DataFrame, features: list[str], n_neighbors: int = 20,
 def lof(df: DataFrame, features: list[str], contamination: float = 0.01, n_neighbors: int = 20,
         id_col: str | None = None, radius: float | None = None) -> DataFrame:
     idn = id_col or "point_id"
-    return _threshold(lof_scores(df, features, n_neighbors, id_col, radius), idn, contamination)
+    return _threshold(lof_scores(df, features, n_neighbors, id_col), idn, contamination)
 
 
 # ---------------------------------------------------------------- Mahalanobis

@@ -36,8 +36,8 @@ Strategies for the two distance joins (same results):
   is checked against ``max_broadcast_rows``; above it the shuffle join is used;
 * ``grouped``: the points of a (cell, salt) bucket are grouped into one array
   (at most about ``rows_per_task`` entries, thanks to the salt) and the tests
-  run as higher-order functions with an early exit (``exists``) or a capped
-  count;
+  run as higher-order functions: ``exists`` in the border test, which ends at the
+  first hit, and a count of all points in range in the core test;
 * ``auto``: broadcast when the check passes, else shuffle.
 """
 
@@ -46,12 +46,13 @@ from __future__ import annotations
 import logging
 import math
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import euclid_distance, within
+from ..functions import count_offsets, euclid_distance, within
 from ..session import checkpoint_dir
 from .grid import (DEFAULT_MAX_OFFSETS, assign_cells, ccols, cell_counts, cell_types,
                    explode_salts, fcols, neighbor_cells, number_points, salted_points,
@@ -203,6 +204,13 @@ class Detection:
                                  *[F.col(i).alias(n) for i, n in zip(self.I, names or self.I)])
         return df.join(ids, pid)
 
+    @property
+    def n_quarantined(self) -> int:
+        """Rows with a NULL, NaN or infinite coordinate; they are in no label and no other count."""
+        if "quarantined" not in self._cache:
+            self._cache["quarantined"] = self.quarantine.count()
+        return self._cache["quarantined"]
+
     def _within(self, a: list, b: list):
         return within(a, b, self.cfg.eps, self.cfg.inclusive)
 
@@ -246,12 +254,25 @@ class Detection:
     def nondense_cells(self) -> DataFrame:
         return self.cells.filter(F.col("n") < F.lit(self.cfg.min_pts))
 
+    def _adjacent(self, src: DataFrame, dst: DataFrame, dst_cols: tuple, src_cols: tuple = ()) -> DataFrame:
+        """Neighbour pairs of ``src`` and ``dst`` cells.  Where these come from the hierarchy of cells
+        (high dimensions), all pairs are found once, kept, and joined with either side."""
+        if count_offsets(self.cfg.dim, inclusive=self.cfg.inclusive) <= self.cfg.max_offsets:
+            return neighbor_cells(src, dst, self.cfg.dim, self.cfg.inclusive, dst_cols, self.cfg.max_offsets,
+                                  src_cols=src_cols)
+        if "adjacency" not in self._cache:
+            cells = self.cells.select(*self.C)
+            self._cache["adjacency"] = self._materialize(neighbor_cells(
+                cells, cells, self.cfg.dim, self.cfg.inclusive, max_offsets=self.cfg.max_offsets))
+        right = dst.select(*[F.col(c).alias(n) for c, n in zip(self.C, self.N)], *dst_cols)
+        return (self._cache["adjacency"].join(src.select(*self.C, *src_cols), self.C).join(right, self.N)
+                .select(*self.C, *src_cols, *self.N, *dst_cols))
+
     def nonempty_neighbors(self, src: DataFrame | None = None) -> DataFrame:
         """(cell, occupied neighbour cell, its n, its nb) for ``src`` cells (default all)."""
         src = self.cells if src is None else src
         dst = self.cells.select(*self.C, F.col("n").alias("n_nb"), F.col("nb").alias("nb_nb"))
-        return neighbor_cells(src, dst, self.cfg.dim, self.cfg.inclusive,
-                              ("n_nb", "nb_nb"), self.cfg.max_offsets)
+        return self._adjacent(src, dst, ("n_nb", "nb_nb"))
 
     # ------------------------------------------------------------- partial core
     def candidate_cells(self) -> DataFrame:
@@ -264,8 +285,7 @@ class Detection:
         if "cand" not in self._cache:
             src = self.nondense_cells.select(*self.C, F.col("nb").alias("nb_src"), F.col("n").alias("n_src"))
             dst = self.cells.select(*self.C, F.col("n").alias("n_nb"), F.col("nb").alias("nb_nb"))
-            adj = neighbor_cells(src, dst, self.cfg.dim, self.cfg.inclusive, ("n_nb", "nb_nb"),
-                                 self.cfg.max_offsets, src_cols=("nb_src", "n_src"))
+            adj = self._adjacent(src, dst, ("n_nb", "nb_nb"), src_cols=("nb_src", "n_src"))
             # the source's salt (a non-dense cell has one bucket) joins the window
             # key, so the window's shuffle already matches the points' (cell, salt)
             adj = explode_salts(adj, "nb_src")
@@ -279,8 +299,7 @@ class Detection:
             return self.candidate_cells()
         src = self.nondense_cells.select(*self.C, F.col("nb").alias("nb_src"), F.col("n").alias("n_src"))
         dst = self.cells.select(*self.C, F.col("n").alias("n_nb"), F.col("nb").alias("nb_nb"))
-        return neighbor_cells(src, dst, self.cfg.dim, self.cfg.inclusive, ("n_nb", "nb_nb"),
-                              self.cfg.max_offsets, src_cols=("nb_src", "n_src"))
+        return self._adjacent(src, dst, ("n_nb", "nb_nb"), src_cols=("nb_src", "n_src"))
 
     def query_pairs(self, prune: bool = True) -> DataFrame:
         """Query points of non-dense cells, one row per neighbour salt bucket.
@@ -375,8 +394,7 @@ class Detection:
         src = self.other_cells if src is None else src
         dst = self.typed_cells.filter(F.col("cell_type") != "OTHER").select(
             *self.C, F.col("cell_type").alias("type_nb"), F.col("nb").alias("nb_nb"))
-        return neighbor_cells(src, dst, self.cfg.dim, self.cfg.inclusive,
-                              ("type_nb", "nb_nb"), self.cfg.max_offsets, src_cols=src_cols)
+        return self._adjacent(src, dst, ("type_nb", "nb_nb"), src_cols=src_cols)
 
     @property
     def other_cells(self) -> DataFrame:
@@ -396,18 +414,23 @@ class Detection:
         return self.noncore_points.join(adj2.select(*self.C).distinct(), self.C, "left_anti")
 
     def near_core(self) -> DataFrame:
-        """Ids of non-core-cell points with at least one core point near them."""
+        """Ids of non-core-cell points with at least one core point near them, one row per point.
+
+        Semi joins with the distance as residual condition: a point's row for one
+        neighbour bucket ends at the first core point in reach, and no pair is built.
+        """
         if "near" not in self._cache:
             src = self.other_cells.select(*self.C, F.col("nb").alias("nb_src"), F.col("n").alias("n_src"))
             adj2 = self.core_neighbors(src, src_cols=("nb_src", "n_src"))
             qF = [f"q_{f}" for f in self.F]
             pF = [f"p_{f}" for f in self.F]
+            M = [f"m_{n}" for n in self.N]
             a = explode_salts(adj2, "nb_src").drop("nb_src", "n_src")
-            # points of OTHER cells x their core neighbour cells (small); each branch
-            # below reads it with its own neighbour type
-            rx = self.points.join(a, [*self.C, "salt"]).select(
-                F.col("pid").alias("q_pid"), *[F.col(f).alias(f"q_{f}") for f in self.F], *self.C,
-                *self.N, "type_nb", "nb_nb")
+            # points of OTHER cells x their core neighbour cells; two branches read it
+            rx = self._materialize(self.points.join(a, [*self.C, "salt"]).select(
+                F.col("pid").alias("q_pid"), *[F.col(f).alias(f"q_{f}") for f in self.F],
+                *self.N, "type_nb", "nb_nb"))
+            near = reduce(lambda x, y: x & y, [F.col(n) == F.col(m) for n, m in zip(self.N, M)]) & self._within(qF, pF)
             # neighbours in DENSE cells: every point there is core
             rd = explode_salts(rx.filter(F.col("type_nb") == "DENSE"), "nb_nb").drop("nb_nb", "type_nb")
             if self.cfg.strategy == "grouped":
@@ -417,19 +440,29 @@ class Detection:
                                                          self.cfg.eps, self.cfg.inclusive))
                 near_d = j.filter(hit).select("q_pid")
             else:
+                right = self._right().select(*pF, *[F.col(n).alias(m) for n, m in zip(self.N, M)], F.col("salt").alias("m_salt"))
+                on = near & (F.col("salt") == F.col("m_salt"))
                 if self._choose_broadcast(adj2.filter(F.col("type_nb") == "DENSE"), "border query"):
-                    rd = F.broadcast(rd)
-                near_d = rd.join(self._right(), [*self.N, "salt"]).filter(
-                    self._within(qF, pF)).select("q_pid")
+                    # the broadcast side is the small one: pairs with it, then one row per point
+                    near_d = F.broadcast(rd).join(right, on).select("q_pid")
+                else:
+                    near_d = rd.join(right, on, "left_semi").select("q_pid")
             # neighbours in CORE cells: only their partial core points count
             rc = rx.filter(F.col("type_nb") == "CORE").drop("type_nb", "nb_nb")
-            pc = self.partial_core.select(F.col("pid").alias("p_pid"),
-                                          *[F.col(f).alias(f"p_{f}") for f in self.F],
-                                          *[F.col(c).alias(n) for c, n in zip(self.C, self.N)])
-            near_c = rc.join(pc, self.N).filter(self._within(qF, pF)).select("q_pid")
-            self._cache["near"] = near_d.unionByName(near_c).withColumnRenamed("q_pid", "pid")
+            pc = self.partial_core.select(*[F.col(f).alias(f"p_{f}") for f in self.F],
+                                          *[F.col(c).alias(m) for c, m in zip(self.C, M)])
+            near_c = rc.join(pc, near, "left_semi").select("q_pid")
+            self._cache["near"] = near_d.unionByName(near_c).select(F.col("q_pid").alias("pid")).distinct()
         return self._cache["near"]
 
+    @property
+    def all_core_reject(self) -> DataFrame:
+        """Outliers that a distance test found: points with a core cell next to theirs, all of
+        whose core points are out of reach."""
+        beside = self._cells_salted(self.core_neighbors().select(*self.C).distinct())
+        tested = self.points.join(beside, [*self.C, "salt"], "left_semi").drop("salt")
+        return tested.join(self.near_core(), "pid", "left_anti")
+
     @property
     def outliers_internal(self) -> DataFrame:
         """(pid, f.., c..) of the outliers."""

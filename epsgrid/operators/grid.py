@@ -35,25 +35,6 @@ def validate_params(eps: float, min_pts: int, dim: int) -> None:
         raise ValueError("at least one feature column is required")
 
 
-def to_points(df: DataFrame, features: list[str], id_col: str | None = None,
-              id_name: str = "pid", prefix: str = "f") -> tuple[DataFrame, DataFrame]:
-    """Select ``(pid, f0..)`` as (bigint, double...) and split off bad rows.
-
-    Returns ``(points, quarantine)``: rows with a NULL, NaN or infinite
-    coordinate go to the quarantine frame (their neighbourhood is undefined).
-    Without ``id_col`` a unique id is generated with
-    ``monotonically_increasing_id`` (unique, not consecutive).
-    """
-    pid = F.col(id_col).cast("bigint") if id_col else F.monotonically_increasing_id()
-    sel = df.select(pid.alias(id_name),
-                    *[F.col(c).cast("double").alias(f"{prefix}{i}") for i, c in enumerate(features)])
-    ok = None
-    for i in range(len(features)):
-        t = is_finite(f"{prefix}{i}")
-        ok = t if ok is None else ok & t
-    return sel.filter(ok), sel.filter(~ok)
-
-
 def number_points(df: DataFrame, features: list[str], ids: list[str]) -> tuple[DataFrame, DataFrame]:
     """Points as ``(pid, f0.., id0..)`` and the rows with a NULL, NaN or infinite coordinate.
 
@@ -113,14 +94,67 @@ def salted_points(g: DataFrame, hot: DataFrame | None, dim: int) -> DataFrame:
     ).drop("nb")
 
 
-def adjacency_axes(dim: int, inclusive: bool, max_offsets: int) -> int:
-    """How many leading axes the offset expansion covers (the rest are filtered)."""
-    if count_offsets(dim, inclusive=inclusive) <= max_offsets:
-        return dim
-    k = 1
-    while k + 1 < dim and count_offsets(dim, k + 1, inclusive) <= max_offsets:
-        k += 1
-    return k
+def _shifts(width: int) -> list[int]:
+    """Bits by which cell coordinates are shortened per level, from the leaves to the level of one
+    cell: by one bit first, where most cells are, then by two."""
+    out = [0, 1]
+    while width >> out[-1]:
+        out.append(out[-1] + 2)
+    return out[:next(i for i, s in enumerate(out) if not width >> s) + 1]
+
+
+def candidate_pairs(src: DataFrame, dst: DataFrame, dim: int, inclusive: bool = False) -> DataFrame:
+    """Pairs of neighbour cells (``c0..`` of ``src``, ``n0..`` of ``dst``) from a hierarchy of
+    coarser cells, before the last check of their gap.
+
+    Coordinates are shortened by some bits per level until one cell is left.  From there
+    pairs of parents are joined with their children, level by level, and only pairs whose gap
+    is below eps go on.  The work follows the occupied neighbour pairs of each level, in
+    any dimension and whatever the axes hold.  An axis with one value tells nothing apart and
+    is left out; the others are compared by falling number of distinct values.  Levels grow
+    with the logarithm of the widest axis.
+    """
+    C, N = ccols(dim), ccols(dim, "n")
+    both = src.select(*C).unionByName(dst.select(*C))
+    r = both.agg(*[f(c).alias(f"{k}{c}") for c in C for k, f in
+                   (("lo", F.min), ("hi", F.max), ("nd", F.approx_count_distinct))]).first()
+    low = {c: int(r[f"lo{c}"] or 0) for c in C}
+    used = sorted((c for c in C if r[f"hi{c}"] is not None and r[f"hi{c}"] > low[c]), key=lambda c: -r[f"nd{c}"])
+    shifts = _shifts(max((int(r[f"hi{c}"]) - low[c] for c in used), default=0))
+    A, B = [f"a{i}" for i in range(len(used))], [f"b{i}" for i in range(len(used))]
+
+    def at(df, level, names, keep=()):
+        """The cells of a level under ``names`` and, as ``up_*``, their parents'; ``root`` is 0, computed
+        from the data so that it stays a join key."""
+        short = lambda c, n: F.shiftright(F.col(c) - F.lit(low[c]), shifts[n])
+        up = [short(c, min(level + 1, len(shifts) - 1)).alias(f"up_{x}") for c, x in zip(used, names)]
+        root = F.shiftright(F.col(C[0]) - F.lit(low[C[0]]), 63).alias("root")
+        return df.select(*keep, *[short(c, level).alias(x) for c, x in zip(used, names)], *up, root)
+
+    def near(df, level):
+        gap = F.lit(0)
+        for x, y in zip(A, B):
+            g = F.greatest(F.abs(F.col(x) - F.col(y)) - F.lit(1), F.lit(0)) * F.lit(1 << shifts[level])
+            gap = gap + F.least(g, F.lit(dim + 1)) * F.least(g, F.lit(dim + 1))
+        return df.filter(gap <= dim if inclusive else gap < dim)
+
+    pairs = None
+    for level in range(len(shifts) - 2, 0, -1):
+        a, b = at(src, level, A).distinct(), at(dst, level, B).distinct()
+        if pairs is None:
+            pairs = a.join(b, "root")
+        else:
+            pairs = pairs.toDF(*[f"up_{c}" for c in [*A, *B]]).join(a, [f"up_{c}" for c in A]).join(
+                b, [f"up_{c}" for c in B])
+        pairs = near(pairs, level).select(*A, *B)
+    a = at(src, 0, A, C)
+    b = at(dst.select(*C), 0, B, C)
+    b = b.select(*[F.col(c).alias(n) for c, n in zip(C, N)], *[c for c in b.columns if c not in C])
+    if pairs is None:
+        both = a.join(b, "root")
+    else:
+        both = pairs.toDF(*[f"up_{c}" for c in [*A, *B]]).join(a, [f"up_{c}" for c in A]).join(b, [f"up_{c}" for c in B])
+    return both.select(*C, *N)
 
 
 def neighbor_cells(src: DataFrame, dst: DataFrame, dim: int, inclusive: bool = False,
@@ -128,22 +162,24 @@ def neighbor_cells(src: DataFrame, dst: DataFrame, dim: int, inclusive: bool = F
                    src_cols: tuple = ()) -> DataFrame:
     """Pairs (cell of ``src``, occupied neighbour cell of ``dst``), self included.
 
-    ``src`` and ``dst`` carry cells as ``c0..``; the result has ``c0..`` (the
-    source cell), ``n0..`` (the neighbour) and ``dst_cols``.  Up to
-    ``max_offsets`` candidate offsets, each source cell is expanded axis by
-    axis (``explode(sequence(c - delta, c + delta))``, no join), keeping only
-    offsets whose running cell gap stays below eps, and equi-joined with
-    ``dst``.  In
-    higher dimensions only the leading axes are expanded; the join then
-    matches on those axes and the exact cell distance is checked afterwards.
-    Work is per cell, never per point.
+    ``src`` and ``dst`` carry cells as ``c0..``, each once; the result has ``c0..`` (the
+    source cell), ``n0..`` (the neighbour) and ``dst_cols``.  Up to ``max_offsets`` candidate
+    offsets, each source cell is expanded axis by axis (``explode(sequence(c - delta, c +
+    delta))``, no join), keeping only offsets whose running cell gap stays below eps, and
+    equi-joined with ``dst``.  In higher dimensions the pairs come from a hierarchy of coarser
+    cells (:func:`candidate_pairs`) and the exact cell gap is checked on them.  Work is per
+    cell, never per point.
     """
     C, N = ccols(dim), ccols(dim, "n")
-    k = adjacency_axes(dim, inclusive, max_offsets)
+    d = dst.select(*[F.col(f"c{i}").alias(f"n{i}") for i in range(dim)], *dst_cols)
+    if count_offsets(dim, inclusive=inclusive) > max_offsets:
+        gap = cell_min_sq_dist(C, N)
+        near = candidate_pairs(src, dst, dim, inclusive).filter(gap <= F.lit(1.0) if inclusive else gap < F.lit(1.0))
+        return near.join(src.select(*C, *src_cols), C).join(d, N).select(*C, *src_cols, *N, *dst_cols)
     delta = neighbor_delta(dim, inclusive)
     ex = src.select(*C, *src_cols)
     gap = None
-    for i in range(k):
+    for i in range(dim):
         # one explode per axis; the running gap prunes offsets as early as possible
         c = F.col(f"c{i}")
         ex = ex.withColumn(f"n{i}", F.explode(F.sequence(c - F.lit(delta), c + F.lit(delta))))
@@ -151,10 +187,4 @@ def neighbor_cells(src: DataFrame, dst: DataFrame, dim: int, inclusive: bool = F
         gap = g * g if gap is None else F.col("_gap") + g * g
         ex = ex.withColumn("_gap", gap)
         ex = ex.filter(F.col("_gap") <= F.lit(dim) if inclusive else F.col("_gap") < F.lit(dim))
-    ex = ex.drop("_gap")
-    d = dst.select(*[F.col(f"c{i}").alias(f"n{i}") for i in range(dim)], *dst_cols)
-    j = ex.join(d, N[:k])
-    if k < dim:
-        cond = cell_min_sq_dist(C, N)
-        j = j.filter(cond <= F.lit(1.0) if inclusive else cond < F.lit(1.0))
-    return j.select(*C, *src_cols, *N, *dst_cols)
+    return ex.drop("_gap").join(d, N).select(*C, *src_cols, *N, *dst_cols)

@@ -14,53 +14,134 @@ Plan:
    more copies are reduced to their ``cap`` smallest ids (a two-phase top-k:
    per hash bucket sized from the group's count, then per coordinate; no
    group is sorted whole in one task).  Their points are answered directly from that list; the other
-   queries see only the kept copies.  Pair work can then no longer be
-   quadratic in a pile of identical points.
-2. **Radius per density.** A density estimate gives a base radius ``r0``
-   (about ``k`` points per ``r0``-ball on average).  Cells of the ``r0`` grid
-   holding many more points start their queries at ``r0 / 2^level``, so the
-   candidate lists stay near ``k`` in dense regions too.
-3. **Rounds.** Round ``j`` uses radius ``r_j = r0 * 2^j``: a grid of side
-   ``r_j / sqrt(dim)``, the per-cell neighbour offsets, an equi-join with the
-   candidate points and the distance filter ``< r_j``.  A query with at least
-   ``k`` candidates is resolved exactly (anything unseen is ``>= r_j`` away).
-   Unresolved queries continue with a doubled radius; once the radius exceeds
-   the data's diameter every point is a candidate.  Each round's result and
-   the remaining queries are checkpointed to the shared checkpoint folder.
+   queries see only the kept copies.
+2. **Tree of cells.** Space is halved twice per axis and level; a cell with more
+   than ``leaf`` points has children, so every leaf holds at most ``leaf`` points
+   wherever the data is dense (down to 2^-48 of the widest axis).
+3. **Descent.** From the root down, each cell keeps the list of cells that can hold
+   neighbours of its points: those whose gap is at most the smallest reach within which
+   cells of its list hold ``cap`` points.  A dense cell in the list of a far outlier is
+   cut into children and pruned again, never joined whole.
+4. **Pairs.** The points of a leaf prune the leaf's list once more by their own
+   distances, and meet the points of what is left: at most ``leaf`` pairs per list
+   entry, whatever share of the points one region holds.  The ``k`` nearest are kept
+   by a window whose map side keeps ``k`` rows a query already.
+
+Each level of the tree and of the descent is checkpointed to the shared folder.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import euclid_distance, grid_coord
+from ..functions import euclid_distance
 from ..session import checkpoint_dir
 from .dataset import with_row_index
-from .grid import ccols, fcols, neighbor_cells, number_points
+from .grid import ccols, fcols, number_points
 
 ROWS_PER_TASK = 1 << 20        # most points of one coordinate ranked in one task
 MAX_BROADCAST_ROWS = 2_000_000  # bound on the hot-coordinate list
 
 
-def _initial_radius(pts: DataFrame, dim: int, k: int, n: int) -> tuple[float, float]:
-    aggs = []
-    for f in fcols(dim):
-        aggs += [F.min(f).alias(f"mn_{f}"), F.max(f).alias(f"mx_{f}")]
-    r = pts.agg(*aggs).first()
-    ranges = [float(r[f"mx_{f}"] - r[f"mn_{f}"]) for f in fcols(dim)]
-    diam = math.sqrt(sum(x * x for x in ranges))
-    pos = [x for x in ranges if x > 0]
-    if not pos:
-        return 1.0, 0.0
-    vol = 1.0
-    for x in ranges:
-        vol *= x if x > 0 else min(pos)
-    r0 = (max(k, 1) * vol / max(n, 1)) ** (1.0 / dim)
-    return max(r0, diam * 1e-9, 1e-12), diam
+DEPTH, BITS = 24, 2  # levels of the tree, bits of a coordinate per level
+PASS = 3             # levels counted in one pass over the points
+SLACK = 1e-9         # relative room for rounding in comparisons of cell distances
+
+
+def _cell(level: str, z: list[str], prefix: str) -> list:
+    """The cell of a level from the finest coordinates ``z``."""
+    return [F.expr(f"shiftright({c}, {BITS} * ({DEPTH} - {level}))").alias(f"{prefix}{i}") for i, c in enumerate(z)]
+
+
+def _tree(pts: DataFrame, dim: int, leaf: int, n: int) -> tuple[DataFrame, DataFrame]:
+    """``(nodes, points)``: cells ``(l, c0.., n, leaf)`` whose parent holds more than ``leaf``
+    points, and the points ``(pid, f0.., y0.., l, c0..)`` with their leaf; ``y`` are the
+    coordinates as shares of the widest axis."""
+    F_, C, Y, Z = fcols(dim), ccols(dim), fcols(dim, "y"), fcols(dim, "z")
+    r = pts.agg(*[g(f).alias(f"{k}{f}") for f in F_ for k, g in (("lo", F.min), ("hi", F.max))]).first()
+    span = max(float(r[f"hi{f}"] - r[f"lo{f}"]) for f in F_) * (1 + 2.0 ** -40) or 1.0
+    at = pts.withColumns({y: (F.col(f) - F.lit(float(r[f"lo{f}"]))) / F.lit(span) for y, f in zip(Y, F_)})
+    at = at.withColumns({z: F.floor(F.col(y) * F.lit(2.0 ** (BITS * DEPTH))) for z, y in zip(Z, Y)})
+    root = pts.sparkSession.range(1).select(F.lit(0).alias("l"), *[F.lit(0).cast("bigint").alias(c) for c in C],
+                                            F.lit(n).cast("bigint").alias("n"), F.lit(n <= leaf).alias("leaf"))
+    own = ["pid", *F_, *Y]
+    if n <= leaf:
+        return root, at.select(*own, F.lit(0).alias("l"), *[F.lit(0).cast("bigint").alias(c) for c in C])
+    nodes, done, active, base = [root], [], at, 0
+    while base < DEPTH:
+        ex = active.select(*own, *Z, F.explode(F.sequence(F.lit(base + 1), F.lit(base + PASS))).alias("l"))
+        ex = ex.select("*", *_cell("l", Z, "c"))
+        counts = ex.groupBy("l", *C).agg(F.count(F.lit(1)).alias("n")).checkpoint()
+        heavy = counts.filter(F.col("n") > leaf).select((F.col("l") + 1).alias("l"), *[F.col(c).alias(f"u{c}") for c in C])
+        up = counts.withColumns({f"u{c}": F.shiftright(c, BITS) for c in C})
+        kept = (up.filter(F.col("l") > base + 1).join(heavy, ["l", *[f"u{c}" for c in C]], "left_semi")
+                .unionByName(up.filter(F.col("l") == base + 1)).select("l", *C, "n")
+                .withColumn("leaf", (F.col("n") <= leaf) | (F.col("l") == DEPTH)).checkpoint())
+        nodes.append(kept)
+        last = kept.filter(F.col("leaf") | (F.col("l") == base + PASS)).select("l", *C, "leaf")
+        placed = ex.join(last, ["l", *C]).checkpoint()
+        done.append(placed.filter("leaf").select(*own, "l", *C))
+        active = placed.filter(~F.col("leaf")).select(*own, *Z)
+        base += PASS
+        if active.isEmpty():
+            break
+    both = lambda x: reduce(DataFrame.unionByName, x)
+    return both(nodes), both(done)
+
+
+def _pruned(pairs: DataFrame, key: list[str], near, far, cap: int) -> DataFrame:
+    """Rows whose least distance is at most the smallest greatest distance within which rows of
+    the same key hold ``cap`` points."""
+    w = Window.partitionBy(*key)
+    held = F.sum("n").over(w.orderBy("_far").rowsBetween(Window.unboundedPreceding, 0))
+    return (pairs.withColumn("_far", far).withColumn("_near", near).withColumn("_held", held)
+            .withColumn("_reach", F.min(F.when(F.col("_held") >= cap, F.col("_far"))).over(w))
+            .filter(F.col("_reach").isNull() | (F.col("_near") <= F.col("_reach") * (1 + SLACK) + 1e-15))
+            .drop("_far", "_near", "_held", "_reach"))
+
+
+def _box_distance(low: list, high: list, low2: list, high2: list) -> tuple:
+    """Least and greatest distance of two boxes."""
+    gap = [F.greatest(l2 - h1, l1 - h2, F.lit(0.0)) for l1, h1, l2, h2 in zip(low, high, low2, high2)]
+    far = [F.greatest(h2 - l1, h1 - l2) for l1, h1, l2, h2 in zip(low, high, low2, high2)]
+    norm = lambda xs: F.sqrt(reduce(lambda a, b: a + b, [x * x for x in xs]))
+    return norm(gap), norm(far)
+
+
+def _cell_lists(nodes: DataFrame, dim: int, cap: int) -> DataFrame:
+    """(ql, q0.., l, c0.., n): for every leaf the leaves that can hold one of the ``cap`` nearest
+    points of a point in it, by a descent of pairs of cells from the root."""
+    C, Q, P = ccols(dim), ccols(dim, "q"), ccols(dim, "u")
+    child = nodes.filter("l > 0").select((F.col("l") - 1).alias("ul"), *[F.shiftright(c, BITS).alias(p) for c, p in zip(C, P)],
+                                         "l", *C, "n", "leaf")
+    down = child.unionByName(nodes.filter("leaf").select(F.col("l").alias("ul"), *[F.col(c).alias(p) for c, p in zip(C, P)],
+                                                         "l", *C, "n", "leaf")).checkpoint()
+    q_down = down.select(F.col("ul").alias("uql"), *[F.col(p).alias(f"uq{i}") for i, p in enumerate(P)],
+                         F.col("l").alias("ql"), *[F.col(c).alias(q) for c, q in zip(C, Q)], F.col("leaf").alias("q_leaf"))
+    side = lambda lv: F.pow(F.lit(2.0), -F.col(lv) * BITS)
+    box = lambda lv, cs: ([F.col(c) * side(lv) for c in cs], [(F.col(c) + 1) * side(lv) for c in cs])
+    root = nodes.filter("l = 0")
+    todo = root.select(F.col("l").alias("ql"), *[F.col(c).alias(q) for c, q in zip(C, Q)], F.col("leaf").alias("q_leaf"),
+                       "l", *C, "n", "leaf")
+    done = []
+    while True:
+        ended = Window.partitionBy("ql", *Q)
+        todo = todo.withColumn("open", F.max((~F.col("leaf") | ~F.col("q_leaf")).cast("int")).over(ended)).checkpoint()
+        done.append(todo.filter("open = 0").select("ql", *Q, "l", *C, "n"))
+        todo = todo.filter("open = 1").drop("open")
+        if todo.isEmpty():
+            break
+        wide = todo.select(F.col("ql").alias("uql"), *[F.col(q).alias(f"uq{i}") for i, q in enumerate(Q)],
+                           F.col("l").alias("ul"), *[F.col(c).alias(p) for c, p in zip(C, P)])
+        wide = wide.join(q_down, ["uql", *[f"uq{i}" for i in range(dim)]]).join(down, ["ul", *P])
+        near, far = _box_distance(*box("ql", Q), *box("l", C))
+        todo = _pruned(wide.select("ql", *Q, "q_leaf", "l", *C, "n", "leaf"), ["ql", *Q], near, far, cap)
+    return reduce(DataFrame.unionByName, done)
 
 
 def _top_ids(points: DataFrame, groups: DataFrame, keys: list[str], cap: int, n: int) -> DataFrame:
@@ -108,33 +189,63 @@ def caller_ids(df: DataFrame, ids: DataFrame | None, **names: str) -> DataFrame:
 
 def knn(df: DataFrame, features: list[str], k: int, id_col: str | None = None,
         include_self: bool = True, radius: float | None = None) -> DataFrame:
-    """The ``k`` nearest neighbours of every point: ``(id, nbr_id, dist, rank)``, rank 1..k."""
+    """The ``k`` nearest neighbours of every point: ``(id, nbr_id, dist, rank)``, rank 1..k.
+
+    ``radius`` has no effect: the search needs no first radius any more.
+    """
     pts, ids = ordered_points(df, features, id_col)
-    nn = knn_points(pts, len(features), k, include_self, radius)
+    nn = knn_points(pts, len(features), k, include_self)
     return caller_ids(nn, ids, pid=id_col or "point_id", nbr_id="nbr_id")
 
 
-def knn_points(pts: DataFrame, dim: int, k: int, include_self: bool = True,
-               radius: float | None = None) -> DataFrame:
+def leaf_rows(cap: int) -> int:
+    """Most points of a leaf of the tree, for queries that look at ``cap`` points."""
+    return max(16, 2 * cap)
+
+
+def candidate_pairs(pts: DataFrame, queries: DataFrame, dim: int, cap: int, n: int) -> DataFrame:
+    """(pid, p_pid, dist): the pairs that hold the ``cap`` nearest of ``pts`` for every query;
+    ``queries`` are some of ``pts``, known by ``pid``."""
+    F_, C, Q, Y = fcols(dim), ccols(dim), ccols(dim, "q"), fcols(dim, "y")
+    nodes, placed = _tree(pts, dim, leaf_rows(cap), n)
+    lists = _cell_lists(nodes, dim, cap).checkpoint()
+    asked = placed.join(queries.select("pid"), "pid", "left_semi").select(
+        "pid", *F_, *Y, F.col("l").alias("ql"), *[F.col(c).alias(q) for c, q in zip(C, Q)])
+    side = F.pow(F.lit(2.0), -F.col("l") * BITS)
+    low, high = [F.col(c) * side for c in C], [(F.col(c) + 1) * side for c in C]
+    own = [F.col(y) for y in Y]
+    near, far = _box_distance(own, own, low, high)
+    rows = _pruned(asked.join(lists, ["ql", *Q]).select("pid", *F_, *Y, "l", *C, "n"), ["pid"], near, far, cap)
+    right = placed.select(F.col("pid").alias("p_pid"), *[F.col(f).alias(f"p_{f}") for f in F_], "l", *C)
+    return (rows.join(right, ["l", *C])
+            .select("pid", "p_pid", euclid_distance(F_, [f"p_{f}" for f in F_]).alias("dist")))
+
+
+def knn_points(pts: DataFrame, dim: int, k: int, include_self: bool = True) -> DataFrame:
     """k-NN of numbered points ``(pid, f0..)``: ``(pid, nbr_id, dist, rank)``."""
     if k < 1:
         raise ValueError("k must be >= 1")
     spark = pts.sparkSession
     checkpoint_dir(spark)
-    schema = "pid bigint, nbr_id bigint, dist double, rank int"
     pts = pts.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _knn(pts, dim, k, include_self)
+    finally:  # every part of the result is checkpointed
+        pts.unpersist()
+
+
+def _knn(pts: DataFrame, dim: int, k: int, include_self: bool) -> DataFrame:
     n = pts.count()
     if n == 0:
-        return spark.createDataFrame([], schema)
-    F_, C, N = fcols(dim), ccols(dim), ccols(dim, "n")
-    pF = [f"p_{f}" for f in F_]
+        return pts.sparkSession.createDataFrame([], "pid bigint, nbr_id bigint, dist double, rank int")
+    F_ = fcols(dim)
     cap = k if include_self else k + 1
-    parts: list[DataFrame] = []
-
     # 1. coordinates with more copies than any query can use
-    groups = pts.groupBy(*F_).agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > F.lit(cap))
-    heavy = groups.select(*F_)
-    if not heavy.isEmpty():
+    groups = pts.groupBy(*F_).agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > F.lit(cap)).checkpoint()
+    parts: list[DataFrame] = []
+    cand, queries = pts, pts
+    if not groups.isEmpty():
+        heavy = groups.select(*F_)
         hp = pts.join(heavy, F_, "left_semi")
         top = _top_ids(hp, groups, F_, cap, n).checkpoint()
         lists = top.groupBy(*F_).agg(F.array_sort(F.collect_list("pid")).alias("ids"))  # <= cap ids
@@ -143,72 +254,24 @@ def knn_points(pts: DataFrame, dim: int, k: int, include_self: bool = True,
         ans = ans.select("pid", F.posexplode(F.slice(ids, 1, k)).alias("_pos", "nbr_id"))
         parts.append(ans.select("pid", "nbr_id", F.lit(0.0).alias("dist"),
                                 (F.col("_pos") + 1).cast("int").alias("rank")).checkpoint())
-        cand_pts = pts.join(heavy, F_, "left_anti").unionByName(top.select("pid", *F_))
-        queries = pts.join(heavy, F_, "left_anti")
-    else:
-        cand_pts, queries = pts, pts
-    cand_pts = cand_pts.persist(StorageLevel.MEMORY_AND_DISK)
-
-    r0, diam = _initial_radius(pts, dim, k, n)
-    if radius is not None:
-        r0 = float(radius)
-
-    # 2. starting level per r0-cell: dense cells start with a smaller radius
-    g0 = cand_pts.withColumns({c: grid_coord(f, r0, dim) for c, f in zip(C, F_)})
-    lvl = g0.groupBy(*C).agg(F.count(F.lit(1)).alias("nc")).select(
-        *C, F.greatest(F.lit(0), F.ceil(F.log2(F.col("nc") / F.lit(float(k + 1))) / F.lit(float(dim))))
-        .cast("int").alias("level"))
-    queries = (queries.withColumns({c: grid_coord(f, r0, dim) for c, f in zip(C, F_)})
-               .join(lvl, C, "left").select("pid", *F_, F.coalesce("level", F.lit(0)).alias("level"))
-               .checkpoint())
-    max_level = queries.agg(F.max("level")).first()[0] or 0
-
-    # 3. rounds with a doubling radius
-    j = -int(max_level)
-    while True:  # ends once the radius passes the diameter or every query is answered
-        r = r0 * (2.0 ** j)
-        final = r > diam
-        active = queries.filter(F.col("level") >= F.lit(-j)) if j < 0 else queries
-        g = cand_pts.withColumns({c: grid_coord(f, r, dim) for c, f in zip(C, F_)})
-        q = active.withColumns({c: grid_coord(f, r, dim) for c, f in zip(C, F_)})
-        adj = neighbor_cells(q.select(*C).distinct(), g.select(*C).distinct(), dim)
-        cand = g.select(F.col("pid").alias("p_pid"), *[F.col(f).alias(p) for f, p in zip(F_, pF)],
-                        *[F.col(c).alias(m) for c, m in zip(C, N)])
-        pairs = (q.join(adj, C).join(cand, N)
-                 .withColumn("dist", euclid_distance(F_, pF))
-                 .filter(F.col("dist") < F.lit(r)))
-        if not include_self:
-            pairs = pairs.filter(F.col("p_pid") != F.col("pid"))
-        w = Window.partitionBy("pid")
-        ranked = (pairs.select("pid", "p_pid", "dist")
-                  .withColumn("cnt", F.count(F.lit(1)).over(w))
-                  .withColumn("rank", F.row_number().over(w.orderBy("dist", "p_pid"))))
-        done = ranked if final else ranked.filter(F.col("cnt") >= F.lit(k))
-        res = done.filter(F.col("rank") <= F.lit(k)).select(
-            "pid", F.col("p_pid").alias("nbr_id"), "dist",
-            F.col("rank").cast("int")).checkpoint()
-        parts.append(res)
-        if final:
-            break
-        resolved = res.select("pid").distinct()
-        queries = queries.join(resolved, "pid", "left_anti").checkpoint()
-        if queries.isEmpty():
-            break
-        j += 1
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    # every part is checkpointed: the working frames are no longer needed
-    cand_pts.unpersist()
-    pts.unpersist()
-    return out
+        queries = pts.join(heavy, F_, "left_anti").checkpoint()
+        cand = queries.unionByName(top.select("pid", *F_))
+        n = cand.count()
+    # 2. to 4. cells, lists, pairs
+    pairs = candidate_pairs(cand, queries, dim, cap, n)
+    if not include_self:
+        pairs = pairs.filter(F.col("p_pid") != F.col("pid"))
+    rank = F.row_number().over(Window.partitionBy("pid").orderBy("dist", "p_pid"))
+    parts.append(pairs.withColumn("rank", rank).filter(F.col("rank") <= k)
+                 .select("pid", F.col("p_pid").alias("nbr_id"), "dist", F.col("rank").cast("int").alias("rank")).checkpoint())
+    return reduce(DataFrame.unionByName, parts)
 
 
 def k_distance(df: DataFrame, features: list[str], k: int, id_col: str | None = None,
                include_self: bool = True, radius: float | None = None) -> DataFrame:
     """Distance of every point to its k-th nearest neighbour (self counts as the 1st)."""
     pts, ids = ordered_points(df, features, id_col)
-    nn = knn_points(pts, len(features), k, include_self, radius)
+    nn = knn_points(pts, len(features), k, include_self)
     return caller_ids(nn.groupBy("pid").agg(F.max("dist").alias("k_dist")), ids, pid=id_col or "point_id")
 
 
@@ -216,4 +279,4 @@ def k_distance_curve(df: DataFrame, features: list[str], k: int, id_col: str | N
                      radius: float | None = None) -> DataFrame:
     """The sorted k-distance curve used to choose eps: ``(rank, k_dist)`` ascending."""
     from .dataset import order_curve
-    return order_curve(k_distance(df, features, k, id_col, True, radius), "k_dist")
+    return order_curve(k_distance(df, features, k, id_col, True), "k_dist")

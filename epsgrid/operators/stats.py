@@ -64,7 +64,8 @@ def neighbors_per_cell_stats(det: Detection) -> DataFrame:
 
 
 def run_stats(det: Detection) -> DataFrame:
-    """The run report as one row (eps, min_pts, counts with percentages, cell distributions)."""
+    """The run report as one row (eps, min_pts, counts with percentages, cell distributions);
+    ``quarantined`` rows have no position and are not among the points."""
     t = cell_table(det)
     a = t.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("total_points"),
@@ -86,6 +87,7 @@ def run_stats(det: Detection) -> DataFrame:
     return a.select(
         F.lit(det.cfg.eps).alias("eps"), F.lit(det.cfg.min_pts).alias("min_pts"),
         F.col("total_points").cast("bigint").alias("total_points"),
+        F.lit(det.n_quarantined).cast("bigint").alias("quarantined"),
         F.col("core_points").cast("bigint").alias("core_points"),
         _pct(F.col("core_points"), tp).alias("core_pct"),
         F.col("border_points").cast("bigint").alias("border_points"),

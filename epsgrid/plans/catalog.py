@@ -12,11 +12,11 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import euclid_distance, grid_coord, label_to_sign, neighbor_offsets, offsets_column
-from ..operators import baselines, dataset, evaluate, generate, neighbors, stats
+from ..operators import baselines, dataset, evaluate, neighbors, stats
 from ..operators.detect import Detection, detect, label_points
 from ..session import scratch_path
 from ..sources import readers, writers
@@ -125,6 +125,34 @@ def q_row_index(spark, sf_dir):
     return dataset.with_row_index(ev, ["event_id"], "row_idx")
 
 
+def _events_in_order(spark, sf_dir) -> str:
+    """The events as CSV files whose lines are in order of event_id, over all files."""
+    df, _, _ = fx.events2d(spark, sf_dir)
+    path = scratch_path(spark, "events-in-order")
+    df.repartitionByRange(4, "event_id").sortWithinPartitions("event_id").select("x1", "x2", "event_id").write.csv(path)
+    return path
+
+
+@register("row_index_file_order", "SELECT row_number() OVER (ORDER BY event_id) - 1 AS row_idx, event_id FROM events")
+def q_row_index_file_order(spark, sf_dir):
+    lines = readers.read_indexed_lines(spark, _events_in_order(spark, sf_dir))
+    return lines.select("row_idx", F.get(F.split("line", ","), 2).cast("bigint").alias("event_id"))
+
+
+@register("read_rejects", "SELECT count(*) AS n_lines, count_if(event_type = 'error') AS n_rejects, "
+                          "count_if(event_type <> 'error') AS n_points FROM events")
+def q_read_rejects(spark, sf_dir):
+    """Lines that do not parse are counted by the read itself; errors lack their number here."""
+    ev = fx.table(spark, sf_dir, "events")
+    path = scratch_path(spark, "points-with-rejects")
+    ev.select(F.col("user_id").cast("string"), F.when(F.col("event_type") == "error", F.lit("?"))
+              .otherwise(F.col("value").cast("string"))).write.csv(path)
+    seen = Observation()
+    n = readers.read_points_csv(spark, path, 2, observation=seen).count()
+    got = seen.get
+    return spark.createDataFrame([(got["n_lines"], got["n_rejects"], n)], "n_lines long, n_rejects long, n_points long")
+
+
 @register("repartition_input", with_ctes(BF.ctes(), "SELECT event_id, x1, x2 FROM lab WHERE label = 'outlier'"))
 def q_repartition_input(spark, sf_dir):
     df, idc, feats = fx.events2d(spark, sf_dir)
@@ -362,15 +390,24 @@ def q_no_core_neighbor(spark, sf_dir):
     return ev_detection(spark, sf_dir).no_core_neighbor.select(F.col("id0").alias("event_id"))
 
 
-@register("merge_ids", with_ctes(BF.ctes() + [
-    "idx AS (SELECT event_id, x1, x2, row_number() OVER (ORDER BY event_id) - 1 AS row_idx FROM pts)"],
-    "SELECT i.row_idx, i.event_id, i.x1, i.x2 FROM idx i JOIN lab l ON i.event_id = l.event_id "
-    "WHERE l.label = 'outlier'"))
+IDX_CTE = "idx AS (SELECT event_id, x1, x2, row_number() OVER (ORDER BY event_id) - 1 AS row_idx FROM pts)"
+
+
+@register("merge_ids", with_ctes(BF.ctes() + [IDX_CTE],
+    "SELECT i.row_idx, i.x1, i.x2, i.event_id FROM idx i JOIN lab l ON i.event_id = l.event_id, "
+    "(SELECT unnest(range(2)) AS again) a WHERE l.label = 'outlier' AND (again = 0 OR i.row_idx % 2 = 0)"))
 def q_merge_ids(spark, sf_dir):
-    df, _, _ = fx.events2d(spark, sf_dir)
-    data = dataset.with_row_index(df, ["event_id"], "row_idx")
-    ids = data.join(ev_detection(spark, sf_dir).outliers.select("event_id"), "event_id").select("row_idx")
-    return dataset.merge_ids(ids, data).select("row_idx", "event_id", "x1", "x2")
+    """An id file, ids of even lines listed twice, merged with the data files it points into."""
+    data = _events_in_order(spark, sf_dir)
+    lines = readers.read_indexed_lines(spark, data)
+    key = F.get(F.split("line", ","), 2).cast("bigint").alias("event_id")
+    out = ev_detection(spark, sf_dir).outliers.select("event_id")
+    ids = lines.select("row_idx", key).join(out, "event_id").select(
+        F.explode(F.when(F.col("row_idx") % 2 == 0, F.array("row_idx", "row_idx")).otherwise(F.array("row_idx"))).alias("i"))
+    path = scratch_path(spark, "id-list")
+    ids.select(F.concat(F.col("i").cast("string"), F.lit(" outlier")).alias("value")).write.text(path)
+    merged = readers.merge_id_file(spark, path, data, 2)
+    return merged.select("row_idx", "x1", "x2", key)
 
 
 @register("tag_detected", with_ctes(BF.ctes(), "SELECT event_id, label = 'outlier' AS detected FROM lab"))
@@ -426,8 +463,7 @@ def q_core_cells(spark, sf_dir):
     "WHERE l.label = 'outlier'"))
 def q_all_core_reject(spark, sf_dir):
     det = ev_detection(spark, sf_dir)
-    tested = det.outliers_internal.join(det.no_core_neighbor.select("pid"), "pid", "left_anti")
-    return tested.select(F.col("id0").alias("event_id"))
+    return det.all_core_reject.select(F.col("id0").alias("event_id"))
 
 
 @register("distinct_cells", with_ctes(GRID, "SELECT c0, c1 FROM cells"))
@@ -477,6 +513,7 @@ RUN_STATS_SQL = with_ctes(GRID + [NPC, """rs AS (SELECT
   (SELECT min(n_neighbors) FROM npc) AS min_neighbors_per_cell,
   (SELECT CAST(sum(n_neighbors) AS DOUBLE) / count(*) FROM npc) AS avg_neighbors_per_cell)"""],
     f"""SELECT {num(EPS)} AS eps, {MIN_PTS} AS min_pts, total_points,
+  (SELECT count(*) FROM pts WHERE x1 IS NULL OR x2 IS NULL OR NOT isfinite(x1) OR NOT isfinite(x2)) AS quarantined,
   core_points, CAST(core_points AS DOUBLE) / total_points * 100.0 AS core_pct,
   border_points, CAST(border_points AS DOUBLE) / total_points * 100.0 AS border_pct,
   outliers, CAST(outliers AS DOUBLE) / total_points * 100.0 AS outlier_pct,
@@ -582,8 +619,7 @@ def q_union_core(spark, sf_dir):
 @register("union_outliers", OUTLIERS_SQL)
 def q_union_outliers(spark, sf_dir):
     det = ev_detection(spark, sf_dir)
-    tested = det.outliers_internal.join(det.no_core_neighbor.select("pid"), "pid", "left_anti")
-    return det._user(det.no_core_neighbor.unionByName(tested))
+    return det._user(det.no_core_neighbor.unionByName(det.all_core_reject))
 
 
 @register("diff_datasets", DIFF_SQL)
@@ -648,7 +684,7 @@ _fixture_query("label_points_orders2d", fx.orders2d, fx.ORDERS2D_SQL, ["o_orderk
 _fixture_query("label_points_lineitems3d", fx.lineitems3d, fx.LINEITEMS3D_SQL, fx.LINEITEM_KEY,
                ["x1", "x2", "x3"], 2.57, 5, fx.LINEITEM_KEY)
 _fixture_query("label_points_emb3d", lambda s, d: fx.emb(s, d, 3), fx.emb_sql(3), ["vec_id"],
-               ["x1", "x2", "x3"], 0.083, 5, ["vec_id"])
+               ["x1", "x2", "x3"], 0.3, 5, ["vec_id"])
 _fixture_query("label_points_parts2d_b", fx.parts2d, fx.PARTS2D_SQL, ["p_partkey"], ["x1", "x2"], 2.63, 8,
                ["p_partkey"])
 _fixture_query("label_points_lineitems3d_b", fx.lineitems3d, fx.LINEITEMS3D_SQL, fx.LINEITEM_KEY,
@@ -656,11 +692,13 @@ _fixture_query("label_points_lineitems3d_b", fx.lineitems3d, fx.LINEITEMS3D_SQL,
 _fixture_query("label_points_lineitems3d_c", fx.lineitems3d, fx.LINEITEMS3D_SQL, fx.LINEITEM_KEY,
                ["x1", "x2", "x3"], 3.13, 12, fx.LINEITEM_KEY)
 _fixture_query("label_points_emb3d_b", lambda s, d: fx.emb(s, d, 3), fx.emb_sql(3), ["vec_id"],
-               ["x1", "x2", "x3"], 0.061, 4, ["vec_id"])
+               ["x1", "x2", "x3"], 0.21, 4, ["vec_id"])
 _fixture_query("label_points_emb4d", lambda s, d: fx.emb(s, d, 4), fx.emb_sql(4), ["vec_id"],
-               ["x1", "x2", "x3", "x4"], 0.113, 5, ["vec_id"])
+               ["x1", "x2", "x3", "x4"], 0.45, 5, ["vec_id"])
 _fixture_query("label_points_emb5d", lambda s, d: fx.emb(s, d, 5), fx.emb_sql(5), ["vec_id"],
-               ["x1", "x2", "x3", "x4", "x5"], 0.137, 5, ["vec_id"])
+               ["x1", "x2", "x3", "x4", "x5"], 0.45, 5, ["vec_id"])
+_fixture_query("label_points_lineitems6d", fx.lineitems6d, fx.LINEITEMS6D_SQL, fx.LINEITEM6D_KEY,
+               ["x1", "x2", "x3", "x4", "x5", "x6"], 2.7, 6, fx.LINEITEM6D_KEY)
 
 
 @register("label_points", with_ctes(BF.ctes(), "SELECT event_id, label FROM lab"))
@@ -684,22 +722,22 @@ def q_predictions(spark, sf_dir):
     return predictions(spark, sf_dir)
 
 
-def _sweep_sql(params: list[tuple[str, float, float, int]]) -> str:
+def _sweep_sql(params: list[tuple[str, float, float, int]], repeats: int = 1) -> str:
     parts, ctes = [], []
     for i, (param, value, eps, mp) in enumerate(params):
         bf = BruteForce(fx.EVENTS2D_SQL, ["event_id"], ["x1", "x2"], eps, mp, prefix=f"s{i}_")
         ctes += bf.ctes()
-        parts.append(f"SELECT '{param}' AS param, {num(value)} AS value, {num(eps)} AS eps, {mp} AS min_pts, "
+        parts.append(f"SELECT '{param}' AS param, {num(value)} AS value, run, {num(eps)} AS eps, {mp} AS min_pts, "
                      f"count(*) AS total_points, count_if(label = 'core') AS core_points, "
                      f"count_if(label = 'border') AS border_points, count_if(label = 'outlier') AS outliers "
-                     f"FROM s{i}_lab")
+                     f"FROM s{i}_lab, (SELECT unnest(range({repeats}))::INTEGER AS run) GROUP BY run")
     return with_ctes(ctes, "\nUNION ALL\n".join(parts))
 
 
-@register("sweep_eps", _sweep_sql([("eps", 7.3, 7.3, 8), ("eps", 11.7, 11.7, 8), ("eps", 23.1, 23.1, 8)]))
+@register("sweep_eps", _sweep_sql([("eps", 7.3, 7.3, 8), ("eps", 11.7, 11.7, 8), ("eps", 23.1, 23.1, 8)], repeats=2))
 def q_sweep_eps(spark, sf_dir):
     df, idc, feats = fx.events2d(spark, sf_dir)
-    return sweep.counts_only(sweep.sweep_eps(df, feats, [7.3, 11.7, 23.1], 8, idc))
+    return sweep.counts_only(sweep.sweep_eps(df, feats, [7.3, 11.7, 23.1], 8, idc, repeats=2))
 
 
 @register("sweep_sample")
@@ -766,28 +804,3 @@ def q_robust_mahalanobis(spark, sf_dir):
 def q_isolation_forest(spark, sf_dir):
     df, idc, feats = fx.events2d(spark, sf_dir)
     return baselines.isolation_forest(df, feats, CONTAM, idc)
-
-
-# ================================================================ generators
-def _base(spark, sf_dir):
-    return fx.table(spark, sf_dir, "events").select(F.col("event_id").alias("id"))
-
-
-def q_gen_blobs(spark, sf_dir):
-    return generate.blobs(_base(spark, sf_dir))
-
-
-def q_gen_blobs_varied(spark, sf_dir):
-    return generate.blobs_varied(_base(spark, sf_dir))
-
-
-def q_gen_blobs_dim(spark, sf_dir):
-    return generate.blobs_dim(_base(spark, sf_dir), 5)
-
-
-def q_gen_circles(spark, sf_dir):
-    return generate.circles(_base(spark, sf_dir))
-
-
-def q_gen_moons(spark, sf_dir):
-    return generate.moons(_base(spark, sf_dir))

@@ -6,6 +6,8 @@ one is the same projection for DuckDB, used by the oracle queries.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,20 +78,40 @@ LINEITEMS3D_SQL = ("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_ext
                    "FROM lineitem")
 
 
+def lineitems6d(spark, sf_dir):
+    """All lineitems in six dimensions: line number, quantity, price (in thousands), discount and
+    tax (in percent), shipping year."""
+    df = table(spark, sf_dir, "lineitem").select(
+        *LINEITEM_KEY, "l_tax", "l_shipdate", F.col("l_quantity").alias("x1"),
+        (F.col("l_extendedprice") / F.lit(1000.0)).alias("x2"), (F.col("l_discount") * F.lit(100.0)).alias("x3"),
+        (F.col("l_tax") * F.lit(100.0)).alias("x4"), F.col("l_linenumber").cast("double").alias("x5"),
+        (F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', l_shipdate)") / F.lit(3.15576e13)).alias("x6"))
+    return df, LINEITEM6D_KEY, [f"x{i + 1}" for i in range(6)]
+
+
+LINEITEM6D_KEY = [*LINEITEM_KEY, "l_tax", "l_shipdate"]
+LINEITEMS6D_SQL = ("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_tax, l_shipdate, "
+                   "l_quantity AS x1, l_extendedprice / 1000.0 AS x2, l_discount * 100.0 AS x3, l_tax * 100.0 AS x4, "
+                   "CAST(l_linenumber AS DOUBLE) AS x5, epoch_us(l_shipdate) / 3.15576e13 AS x6 FROM lineitem")
+
+EMBEDDING = 64
+
+
+def _blocks(k: int) -> list[range]:
+    """The positions of a whole embedding in ``k`` blocks of (almost) equal length."""
+    cuts = [round(i * EMBEDDING / k) for i in range(k + 1)]
+    return [range(a, b) for a, b in zip(cuts, cuts[1:])]
+
+
 def emb(spark, sf_dir, k: int):
-    e = table(spark, sf_dir, "embeddings")
-    df = e.select(F.col("vec_id"), *[F.col("embedding")[i].cast("double").alias(f"x{i + 1}")
-                                     for i in range(k)])
+    """Whole embeddings folded into ``k`` numbers: the sums of ``k`` blocks of components."""
+    total = lambda r: reduce(lambda a, b: a + b, [F.col("embedding")[i].cast("double") for i in r])
+    df = table(spark, sf_dir, "embeddings").select(
+        "vec_id", *[total(r).alias(f"x{i + 1}") for i, r in enumerate(_blocks(k))])
     return df, "vec_id", [f"x{i + 1}" for i in range(k)]
 
 
 def emb_sql(k: int) -> str:
-    cols = ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS x{i + 1}" for i in range(k))
-    return f"SELECT vec_id, {cols} FROM embeddings"
-
-
-def emb_labeled(spark, sf_dir, k: int = 2):
-    """Embeddings with a ground-truth label column (label 0 counts as 'noise')."""
-    df, idc, feats = emb(spark, sf_dir, k)
-    lab = table(spark, sf_dir, "embeddings").select("vec_id", "label")
-    return df.join(lab, "vec_id"), idc, feats
+    total = lambda r: " + ".join(f"CAST(embedding[{i + 1}] AS DOUBLE)" for i in r)
+    return ("SELECT vec_id, " + ", ".join(f"{total(r)} AS x{i + 1}" for i, r in enumerate(_blocks(k)))
+            + " FROM embeddings")

@@ -1,7 +1,8 @@
 """Parameter sweeps: detection for several eps values, sample fractions or
-partition counts.  The loop runs over parameters (a handful), never over
-data; each run is a full distributed detection whose counts come back as one
-row.  Result rows carry the counts and the wall time of the run.
+partition counts.  All eps values come from one pass over the points; for samples and
+partition counts the loop runs over parameters (a handful), never over data, and each
+run is a full distributed detection whose counts come back as one row.  Result rows
+carry the counts and the wall time of the run.
 """
 
 from __future__ import annotations
@@ -9,9 +10,11 @@ from __future__ import annotations
 import time
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..operators.dataset import sample_by_hash, sample_points
 from ..operators.detect import detect
+from ..operators.neighbors import caller_ids, knn_points, ordered_points
 
 SWEEP_SCHEMA = ("param STRING, value DOUBLE, run INT, eps DOUBLE, min_pts INT, total_points BIGINT, "
                 "core_points BIGINT, border_points BIGINT, outliers BIGINT, seconds DOUBLE")
@@ -29,10 +32,43 @@ def _one(df, features, eps, min_pts, id_col, param, value, run, **kw):
             total - n_core - n_out, n_out, secs)
 
 
+def eps_profile(df: DataFrame, features: list[str], min_pts: int, id_col: str | None = None) -> DataFrame:
+    """``(id, core_at, reach_at)`` of every point, from which its label follows for every eps: core
+    if ``core_at < eps``, else border if ``reach_at < eps``, else outlier (``<=`` for the
+    inclusive definition).
+
+    ``core_at`` is the distance of the ``min_pts``-th nearest point, the point itself
+    included.  ``reach_at`` is the least ``max(distance, core_at of the other)``.  For an eps at
+    which the point is not core, fewer than ``min_pts`` points are near it, so the points that
+    decide are all among its ``min_pts`` nearest: one k-NN table serves every eps.
+    Infinite where there are too few points.
+    """
+    pts, ids = ordered_points(df, features, id_col)
+    nn = knn_points(pts, len(features), min_pts, include_self=True)
+    never = F.lit(float("inf"))
+    core = nn.groupBy("pid").agg(F.coalesce(F.max(F.when(F.col("rank") == min_pts, F.col("dist"))), never)
+                                 .alias("core_at")).checkpoint()
+    other = core.select(F.col("pid").alias("nbr_id"), F.col("core_at").alias("_other"))
+    reach = (nn.join(other, "nbr_id").groupBy("pid")
+             .agg(F.min(F.greatest("dist", "_other")).alias("reach_at")))
+    return caller_ids(core.join(reach, "pid"), ids, pid=id_col or "point_id")
+
+
 def sweep_eps(df: DataFrame, features: list[str], eps_values: list[float], min_pts: int,
-              id_col: str | None = None, repeats: int = 1, **kw) -> DataFrame:
-    rows = [_one(df, features, e, min_pts, id_col, "eps", e, r, **kw)
-            for e in eps_values for r in range(repeats)]
+              id_col: str | None = None, repeats: int = 1, inclusive: bool = False) -> DataFrame:
+    """Counts of every eps from one pass (:func:`eps_profile`) per repeat, a row for each eps and
+    repeat; ``seconds`` is the time of the whole pass, shared by its rows."""
+    rows = []
+    for run in range(repeats):
+        t = time.time()
+        p = eps_profile(df, features, min_pts, id_col)
+        hit = lambda c, e: F.col(c) <= F.lit(float(e)) if inclusive else F.col(c) < F.lit(float(e))
+        got = p.agg(F.count(F.lit(1)), *[F.count_if(x) for e in eps_values for x in
+                                         (hit("core_at", e), ~hit("core_at", e) & hit("reach_at", e))]).first()
+        secs = time.time() - t
+        for i, e in enumerate(eps_values):
+            core, border = got[1 + 2 * i], got[2 + 2 * i]
+            rows.append(("eps", float(e), run, float(e), int(min_pts), got[0], core, border, got[0] - core - border, secs))
     return df.sparkSession.createDataFrame(rows, SWEEP_SCHEMA)
 
 
@@ -60,5 +96,5 @@ def sweep_partitions(df: DataFrame, features: list[str], partitions: list[int],
 
 
 def counts_only(sweep: DataFrame) -> DataFrame:
-    """Drop the timing column (for comparisons)."""
-    return sweep.drop("seconds", "run").distinct()
+    """Without the timing column (for comparisons); repeats stay rows of their own."""
+    return sweep.drop("seconds")

@@ -5,7 +5,7 @@ import pytest
 
 from epsgrid.functions import (cell_min_sq_dist, count_offsets, grid_coord, neighbor_offsets,
                                uniform_hash)
-from epsgrid.operators.grid import adjacency_axes
+from epsgrid.operators.grid import _shifts
 
 
 @pytest.mark.parametrize("dim,kept", [(1, 3), (2, 21), (3, 117), (4, 609), (5, 3903), (6, 28197)])
@@ -25,11 +25,11 @@ def test_offsets_match_definition():
         assert (0,) * dim in want
 
 
-def test_projection_axes():
-    assert adjacency_axes(2, False, 1000) == 2
-    assert adjacency_axes(4, False, 1000) == 4
-    assert adjacency_axes(5, False, 1000) == 4
-    assert adjacency_axes(9, False, 1000) == 3
+@pytest.mark.parametrize("width", [0, 1, 3, 4, 5, 1000, 2 ** 40])
+def test_levels_end_at_one_cell(width):
+    shifts = _shifts(width)
+    assert shifts[0] == 0 and width >> shifts[-1] == 0
+    assert len(shifts) == 1 or width >> shifts[-2] > 0
 
 
 def test_grid_coord_floor_negative(spark):

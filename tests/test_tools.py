@@ -288,8 +288,8 @@ def test_array_features_feed_the_detector(spark):
     pts = readers.array_features(emb, "embedding", 3)
     assert pts.columns == ["vec_id", "x1", "x2", "x3"]
     a = detect(pts, ["x1", "x2", "x3"], 0.083, 5, "vec_id").labels.select("vec_id", "label").collect()
-    df, idc, feats = fx.emb(spark, SF_SMALL, 3)
-    b = detect(df, feats, 0.083, 5, idc).labels.select("vec_id", "label").collect()
+    df = emb.select("vec_id", *[emb.embedding[i].cast("double").alias(f"x{i + 1}") for i in range(3)])
+    b = detect(df, ["x1", "x2", "x3"], 0.083, 5, "vec_id").labels.select("vec_id", "label").collect()
     assert sorted(a) == sorted(b)
 
 
