@@ -22,7 +22,25 @@ def canonical(value) -> str:
             return {k: plain(v) for k, v in x.items()}
         return [plain(v) for v in x] if isinstance(x, list) else x
 
-    return json.dumps(plain(value), sort_keys=True, ensure_ascii=False, separators=(",", ":"))
+    text = json.dumps(plain(value), sort_keys=True, ensure_ascii=False, separators=(",", ":"), allow_nan=False)
+    return text.encode("utf-8", "replace").decode()  # half a surrogate pair is no character
+
+
+def parse(text: str):
+    """JSON text as a value; ValueError for numbers that are not finite and for nesting too deep."""
+
+    def finite(x):
+        v = float(x)
+        if v in (float("inf"), float("-inf")) or v != v:
+            raise ValueError(x)
+        return v
+
+    try:
+        value = json.loads(text, parse_constant=finite, parse_float=finite)
+        canonical(value)
+        return value
+    except RecursionError:
+        raise ValueError("nested too deep") from None
 
 
 TYPES = {"string": str, "boolean": bool, "object": dict, "array": list, "null": type(None)}
@@ -61,27 +79,52 @@ def problems(value, schema: dict, at: str = "$") -> list[str]:
 
 
 def depths(calls: DataFrame) -> DataFrame:
-    """(conv_id, call_id, depth) by pointer doubling over the ``after_id`` of each call: the
-    number of calls it waits for; null on a cycle or behind one.
-
-    Rounds grow with the logarithm of the longest chain; a conversation with a large share
-    of all calls is many keys, not one group.  An ``after_id`` that names no call is ignored.
+    """(conv_id, call_id, depth): the longest chain of calls that a call waits for; null on a cycle
+    or behind one.  ``calls`` has a row for every link (conv_id, call_id, after_id); an
+    ``after_id`` that names no call is ignored.
+
+    A call that waits for one other points at it, and pointer doubling takes it to the top of
+    its chain in rounds that grow with the logarithm of the chain: a call that waits for none
+    or for several.  The latter are then peeled level by level, each once all it waits for
+    is known.  A conversation with a large share of all calls is many keys, not one group.
     """
     key = ["conv_id", "call_id"]
-    node = calls.groupBy(*key).agg(F.min("after_id").alias("up"))
-    known = node.select("conv_id", F.col("call_id").alias("up"), F.lit(1).alias("dist"))
-    state = (node.join(known, ["conv_id", "up"], "left")
-             .select(*key, F.when(F.col("dist").isNotNull(), F.col("up")).alias("up"),
-                     F.coalesce("dist", F.lit(0)).cast("long").alias("dist")).checkpoint())
+    nodes = calls.select(*key).distinct()
+    known = nodes.select("conv_id", F.col("call_id").alias("after_id"))
+    edges = (calls.select(*key, "after_id").where(F.col("after_id").isNotNull()).distinct()
+             .join(known, ["conv_id", "after_id"], "left_semi").checkpoint())
+    waits = edges.groupBy(*key).agg(F.count(F.lit(1)).alias("links"), F.min("after_id").alias("up"))
+    one = F.col("links") == 1
+    state = (nodes.join(waits, key, "left")
+             .select(*key, F.when(one, F.col("up")).otherwise(F.col("call_id")).alias("top"),
+                     F.when(one, 1).otherwise(0).cast("long").alias("dist"), F.coalesce("links", F.lit(0)).alias("links"))
+             .withColumn("end", F.col("links") != 1).checkpoint())
     n, step = state.count(), 1
-    while step <= n and state.where("up IS NOT NULL").limit(1).count():
-        above = state.select("conv_id", F.col("call_id").alias("up"), F.col("up").alias("up2"),
-                             F.col("dist").alias("dist2"))
-        state = (state.join(above, ["conv_id", "up"], "left")
-                 .select(*key, F.col("up2").alias("up"), (F.col("dist") + F.coalesce("dist2", F.lit(0))).alias("dist"))
-                 .checkpoint())
+    ends = state.select("conv_id", F.col("call_id").alias("top"), F.col("end").alias("top_end"))
+    state = state.join(ends, ["conv_id", "top"]).checkpoint()
+    while step <= n and not state.where(~F.col("top_end")).isEmpty():
+        above = state.select("conv_id", F.col("call_id").alias("top"), F.col("top").alias("top2"),
+                             F.col("dist").alias("dist2"), F.col("top_end").alias("end2"))
+        state = (state.drop("top_end").join(above, ["conv_id", "top"])
+                 .select(*key, F.col("top2").alias("top"), (F.col("dist") + F.col("dist2")).alias("dist"), "links",
+                         "end", F.col("end2").alias("top_end")).checkpoint())
         step *= 2
-    return state.select(*key, F.when(F.col("up").isNull(), F.col("dist")).alias("depth"))
+    # calls that wait for several: links to the tops of the chains they wait for
+    several = state.where(F.col("links") > 1).select(*key)
+    top = state.select("conv_id", F.col("call_id").alias("after_id"), "top", (F.col("dist") + 1).alias("far"), "top_end")
+    left = edges.join(several, key, "left_semi").join(top, ["conv_id", "after_id"]).select(*key, "top", "far", "top_end").checkpoint()
+    depth = state.where(F.col("links") == 0).select("conv_id", F.col("call_id").alias("top"), F.lit(0).cast("long").alias("depth")).checkpoint()
+    while not left.isEmpty():
+        ready = (left.join(depth, ["conv_id", "top"], "left").groupBy(*key)
+                 .agg(F.max(F.col("far") + F.col("depth")).alias("depth"),
+                      F.count_if(F.col("depth").isNull() | ~F.col("top_end")).alias("open"))
+                 .where("open = 0").select("conv_id", F.col("call_id").alias("top"), "depth").checkpoint())
+        if ready.isEmpty():
+            break  # what is left waits for a cycle
+        depth = depth.unionByName(ready)
+        left = left.join(ready.select("conv_id", F.col("top").alias("call_id")), key, "left_anti").checkpoint()
+    return (state.join(depth, ["conv_id", "top"], "left")
+            .select(*key, F.when(F.col("top_end"), F.col("depth") + F.col("dist")).alias("depth")))
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
@@ -92,12 +135,14 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
     whose result it uses, or null); ``results`` has conv_id, call_id, turn, content.  They are
     hash-joined by (conv_id, call_id).  Ordering by (conv_id, depth, turn, call_id) puts
     every call after those it depends on.  ``status`` is ``ok``, ``invalid`` (arguments break
-    the schema, are no JSON, or the name is unknown), ``unanswered`` (no result), ``cycle``
+    the schema, are no JSON (numbers that are not finite and nesting too deep included), or the name
+    is unknown), ``unanswered`` (no result), ``cycle``
     (no order exists) - the worst of them, in the order cycle, invalid, unanswered - and ``json`` the
     canonical call with its first result.
 
     Several results of a call: the earliest turn counts (ties: the smallest content), all are
-    counted.  Repeated calls are linked row by row.  Calls with a null conv_id or call_id match
+    counted.  Repeated calls are linked row by row; a call waits for the after_id of every row of
+    it, and all its rows have the depth of the longest chain.  Calls with a null conv_id or call_id match
     no result and have depth 0; null arguments are ``{}``, a null name is unknown.  Results
     without a call are left out.  Other columns are ignored; empty tables work.
     """
@@ -119,7 +164,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
             out = {"status": [], "problems": [], "json": []}
             for r in batch.to_pylist():
                 try:
-                    args = json.loads(r["arguments"] or "{}")
+                    args = parse(r["arguments"] or "{}")
                     found = problems(args, schemas[r["name"]]) if r["name"] in schemas else ["name: unknown"]
                 except ValueError:
                     args, found = None, ["$: no JSON"]
