@@ -19,8 +19,9 @@ from epsgrid.llm.features import collect_features, flat, plain_words, scored, si
 
 SIZE = 1 << 18
 MAX_ROWS = 8000       # labelled rows that the model is fitted on
-MAX_SENTENCES = 4000  # labelled sentences that get a counterfactual twin
+MAX_SENTENCES = 4000  # counterfactual twins of labelled sentences
 PREFIX = 6            # bytes of a word's beginning
+WEIGHT = 20.0         # of the mean squared change of the score between twins, against the mean log loss
 
 # Terms that name groups of people, swapped for each other.
 IDENTITY = ("women", "men", "woman", "man", "girls", "boys", "gay", "straight", "lesbian", "transgender",
@@ -48,15 +49,16 @@ class CounterfactualModel:
         return float(sigmoid(self.b + self.w[idx].sum()))
 
     def fit(self, rows: list, y: np.ndarray, twins: list, steps: int = 400, l1: float = 4e-4, l2: float = 1e-4,
-            weight: float = 1.0, min_rows: int = 5) -> CounterfactualModel:
-        """Accelerated proximal gradient steps.  ``twins`` are pairs of feature rows that
-        must score alike; words in fewer than ``min_rows`` rows get no weight."""
+            weight: float = WEIGHT, min_rows: int = 5) -> CounterfactualModel:
+        """Accelerated proximal gradient steps on log loss, penalty and norms.  ``twins`` are pairs of
+        feature rows that must score alike; words in fewer than ``min_rows`` rows get no weight, but for those that a
+        twin changes."""
         if not len(rows):
             return self
         starts, row, idx, _ = flat(rows)
         used = np.bincount(idx, minlength=SIZE) >= min_rows
         for a, c in twins:
-            used[np.setxor1d(a[0], c[0])] &= True
+            used[np.setxor1d(a[0], c[0])] = True  # what a swap changes always has a weight to penalise
         ids = np.flatnonzero(used)
         at = np.full(SIZE, -1)
         at[ids] = np.arange(len(ids))
@@ -92,7 +94,9 @@ class CounterfactualModel:
             nw = zw - rate * g
             nw = np.sign(nw) * np.maximum(np.abs(nw) - rate * l1, 0)
             nb = zb - rate * gb
-            loss = -(wt * np.log(np.where(y > 0, p, 1 - p) + 1e-12)).sum() + l1 * np.abs(zw).sum()
+            loss = -(wt * np.log(np.where(y > 0, p, 1 - p) + 1e-12)).sum() + l1 * np.abs(zw).sum() + l2 / 2 * (zw ** 2).sum()
+            if m:
+                loss += weight * ((pa_ - pc) ** 2).mean()
             if loss > loss_before + 1e-3:  # too long a step: shorten it and restart the momentum
                 rate, t2, nw, nb = rate / 2, 1.0, w, b
                 loss_before = np.inf
@@ -106,8 +110,8 @@ class CounterfactualModel:
 def twin_sentences(rows: DataFrame, max_sentences: int) -> list:
     """Feature pairs of labelled sentences and their counterfactual twins.
 
-    A sentence with an identity term gets it swapped for the next term of the list; any
-    other sentence, chosen by a hash, gets one of its words replaced by two different
+    A sentence with an identity term gets it swapped for the next term of the list, and left
+    out; any other sentence, chosen by a hash, gets one of its words replaced by two different
     terms, so the pair differs in the term alone.
     """
     terms = [t.encode() for t in IDENTITY]
@@ -121,8 +125,9 @@ def twin_sentences(rows: DataFrame, max_sentences: int) -> list:
                     if len(words) < 3:
                         continue
                     h = crc32(f"{doc}:{k}".encode())
+                    twins = []
                     if any(w in swap for w in words):
-                        a, b = words, [swap.get(w, w) for w in words]
+                        twins = [(words, [swap.get(w, w) for w in words]), (words, [w for w in words if w not in swap])]
                     elif h % 8 == 0:
                         at, term = h % len(words), terms[h // 8 % len(terms)]
                         a, b = list(words), list(words)
@@ -130,26 +135,25 @@ def twin_sentences(rows: DataFrame, max_sentences: int) -> list:
                             a[at:at + 1], b[at:at + 1] = [term], []
                         else:
                             a[at], b[at] = term, swap[term]
-                    else:
-                        continue
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([h], pa.int64()), pa.array([features(a)[0].tolist()], pa.list_(pa.int32())),
-                         pa.array([features(b)[0].tolist()], pa.list_(pa.int32()))], ["h", "a", "b"])
+                        twins = [(a, b)]
+                    if twins:
+                        sides = [pa.array([features(x)[0].tolist() for x in side], pa.list_(pa.int32())) for side in zip(*twins)]
+                        yield pa.RecordBatch.from_arrays([pa.array([h] * len(twins), pa.int64()), *sides], ["h", "a", "b"])
 
     got = (map_arrow(rows.select("doc_id", "text"), run, "h long, a array<int>, b array<int>")
-           .orderBy("h").limit(max_sentences).toArrow())
+           .orderBy("h", "a", "b").limit(max_sentences).toArrow())
     as_row = lambda x: (np.array(x, dtype=np.int64), np.ones(len(x)))
     return [(as_row(a), as_row(b)) for a, b in zip(got.column("a").to_pylist(), got.column("b").to_pylist())]
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS,
-          max_sentences: int = MAX_SENTENCES) -> CounterfactualModel:
+          max_sentences: int = MAX_SENTENCES, weight: float = WEIGHT) -> CounterfactualModel:
     """Fit on at most ``max_rows`` labelled rows outside the held-out fold and at most
     ``max_sentences`` of their sentences; without labelled rows every score is 0.5."""
     prepare(docs.sparkSession)
     rows = training_rows(docs, labels, "toxic", max_rows).checkpoint()
     x, y = collect_features(rows, lambda t: features(plain_words(t)))
-    return CounterfactualModel().fit(x, y, twin_sentences(rows, max_sentences) if len(x) else [])
+    return CounterfactualModel().fit(x, y, twin_sentences(rows, max_sentences) if len(x) else [], weight=weight)
 
 
 def score_documents(docs: DataFrame, model: CounterfactualModel, threshold: float = 0.5) -> DataFrame:
