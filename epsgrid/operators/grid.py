@@ -96,8 +96,9 @@ def salted_points(g: DataFrame, hot: DataFrame | None, dim: int) -> DataFrame:
 
 def _shifts(width: int) -> list[int]:
     """Bits by which cell coordinates are shortened per level, from the leaves to the level of one
-    cell: by one bit first, where most cells are, then by two."""
-    out = [0, 1]
+    cell: by one bit at first, where most cells are and a step of two would multiply the pairs of
+    children, then by two."""
+    out = [0, 1, 2, 3, 4]
     while width >> out[-1]:
         out.append(out[-1] + 2)
     return out[:next(i for i, s in enumerate(out) if not width >> s) + 1]

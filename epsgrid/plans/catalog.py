@@ -697,8 +697,8 @@ _fixture_query("label_points_emb4d", lambda s, d: fx.emb(s, d, 4), fx.emb_sql(4)
                ["x1", "x2", "x3", "x4"], 0.45, 5, ["vec_id"])
 _fixture_query("label_points_emb5d", lambda s, d: fx.emb(s, d, 5), fx.emb_sql(5), ["vec_id"],
                ["x1", "x2", "x3", "x4", "x5"], 0.45, 5, ["vec_id"])
-_fixture_query("label_points_lineitems6d", fx.lineitems6d, fx.LINEITEMS6D_SQL, fx.LINEITEM6D_KEY,
-               ["x1", "x2", "x3", "x4", "x5", "x6"], 2.7, 6, fx.LINEITEM6D_KEY)
+_fixture_query("label_points_emb6d", lambda s, d: fx.emb(s, d, 6), fx.emb_sql(6), ["vec_id"],
+               ["x1", "x2", "x3", "x4", "x5", "x6"], 0.53, 5, ["vec_id"])
 
 
 @register("label_points", with_ctes(BF.ctes(), "SELECT event_id, label FROM lab"))

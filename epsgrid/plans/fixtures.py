@@ -78,22 +78,6 @@ LINEITEMS3D_SQL = ("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_ext
                    "FROM lineitem")
 
 
-def lineitems6d(spark, sf_dir):
-    """All lineitems in six dimensions: line number, quantity, price (in thousands), discount and
-    tax (in percent), shipping year."""
-    df = table(spark, sf_dir, "lineitem").select(
-        *LINEITEM_KEY, "l_tax", "l_shipdate", F.col("l_quantity").alias("x1"),
-        (F.col("l_extendedprice") / F.lit(1000.0)).alias("x2"), (F.col("l_discount") * F.lit(100.0)).alias("x3"),
-        (F.col("l_tax") * F.lit(100.0)).alias("x4"), F.col("l_linenumber").cast("double").alias("x5"),
-        (F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', l_shipdate)") / F.lit(3.15576e13)).alias("x6"))
-    return df, LINEITEM6D_KEY, [f"x{i + 1}" for i in range(6)]
-
-
-LINEITEM6D_KEY = [*LINEITEM_KEY, "l_tax", "l_shipdate"]
-LINEITEMS6D_SQL = ("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_tax, l_shipdate, "
-                   "l_quantity AS x1, l_extendedprice / 1000.0 AS x2, l_discount * 100.0 AS x3, l_tax * 100.0 AS x4, "
-                   "CAST(l_linenumber AS DOUBLE) AS x5, epoch_us(l_shipdate) / 3.15576e13 AS x6 FROM lineitem")
-
 EMBEDDING = 64
 
 
