@@ -134,6 +134,15 @@ def uniform_hash(key, seed: int) -> Column:
     return (F.pmod(h, F.lit(1 << 53)).cast("double") / F.lit(float(1 << 53)))
 
 
+def keyed_uniform(parts: list, seed: int) -> Column:
+    """A uniform double in [0, 1) from the md5 of the key's parts and ``seed`` as text: the first
+    52 bits of ``md5('part:part:seed')``, which any SQL engine can repeat.  NULL parts are
+    skipped.  Slower than :func:`uniform_hash`."""
+    text = F.concat_ws(":", *[_col(p).cast("string") for p in parts], F.lit(str(int(seed))))
+    bits = F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("bigint")
+    return bits.cast("double") / F.lit(float(1 << 52))
+
+
 def normal_hash(key, seed: int) -> Column:
     """A standard normal draw from two hashed uniforms (Box-Muller)."""
     u1 = uniform_hash(key, seed * 2 + 1)

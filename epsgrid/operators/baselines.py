@@ -16,11 +16,11 @@ import warnings
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import uniform_hash
-from ..session import ship_package
+from ..session import checkpoint_dir, ship_package
 from .dataset import exact_quantile
 from .grid import fcols, number_points
 from .neighbors import caller_ids, knn_points, ordered_points
@@ -28,7 +28,12 @@ from .neighbors import caller_ids, knn_points, ordered_points
 LRD_EPS = 1e-10  # added to the mean reachability distance, as in the usual LOF definition
 
 
-def _threshold(scored: DataFrame, idn: str, contamination: float) -> DataFrame:
+def _threshold(scored: DataFrame, idn: str, contamination: float, keep: bool = False) -> DataFrame:
+    """``prediction`` from the exact quantile of the scores, found by counting.  The scores are read
+    several times; with ``keep`` (they are dear to compute) they are written first."""
+    if keep:
+        checkpoint_dir(scored.sparkSession)
+        scored = scored.checkpoint()
     t = exact_quantile(scored, "score", contamination)
     pred = F.when(F.col("score") < F.lit(t), F.lit(-1)).otherwise(F.lit(1)) if t is not None else F.lit(1)
     return scored.select(idn, "score", pred.cast("int").alias("prediction"))
@@ -65,7 +70,7 @@ def lof_scores(df: DataFrame, features: list[str], n_neighbors: int = 20,
 def lof(df: DataFrame, features: list[str], contamination: float = 0.01, n_neighbors: int = 20,
         id_col: str | None = None, radius: float | None = None) -> DataFrame:
     idn = id_col or "point_id"
-    return _threshold(lof_scores(df, features, n_neighbors, id_col), idn, contamination)
+    return _threshold(lof_scores(df, features, n_neighbors, id_col), idn, contamination, keep=True)
 
 
 # ---------------------------------------------------------------- Mahalanobis
@@ -246,11 +251,14 @@ def robust_mahalanobis(df: DataFrame, features: list[str], contamination: float
     idn = id_col or "point_id"
     ship_package(df.sparkSession)
     pts, own = _points(df, features, id_col)
-    pts = pts.persist()
-    center, cov, n = _moments(pts, dim)
-    mean = np.asarray(center)
-    if n > 0:
-        mean, cov = _mcd(pts, dim, center, cov, n, n_starts, max_steps, seed)
+    kept = pts.persist()
+    try:
+        center, cov, n = _moments(kept, dim)
+        mean = np.asarray(center)
+        if n > 0:
+            mean, cov = _mcd(kept, dim, center, cov, n, n_starts, max_steps, seed)
+    finally:
+        kept.unpersist()
     scored = pts.select(F.col(own).alias(idn),
                         (-_sq_mahalanobis([float(m) for m in mean], _inverse(cov), dim)).alias("score"))
     return _threshold(scored, idn, contamination)
@@ -337,13 +345,46 @@ TREE_SCHEMA = ("tree long, node long, feature long, threshold double, left long,
                "size long, depth long")
 
 
+def _draw(pts: DataFrame, n_trees: int, p: float, seed: int) -> DataFrame:
+    """(row, tree) with each pair kept with probability ``p``, without a row per pair: one number
+    tells the first tree that takes a row, and only rows with such a tree look at the later ones."""
+    last = F.lit(n_trees - 1).cast("bigint")
+    if p >= 1:
+        return pts.withColumn("tree", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+    first = F.floor(F.log1p(-uniform_hash("pid", seed)) / F.lit(math.log1p(-p)))
+    some = pts.withColumn("tree0", first).filter(F.col("tree0") < n_trees)
+    later = F.when(F.col("tree0") < last, F.filter(
+        F.sequence(F.col("tree0") + 1, last),
+        lambda t: uniform_hash(F.struct(F.col("pid"), t), seed + 1) < F.lit(p))).otherwise(F.array().cast("array<bigint>"))
+    return some.withColumn("tree", F.explode(F.concat(F.array("tree0"), later))).drop("tree0")
+
+
+def forest_sample(pts: DataFrame, n: int, n_trees: int, max_samples: int, seed: int) -> DataFrame:
+    """Exactly ``min(max_samples, n)`` of the ``n`` rows for every tree: ``pts`` with ``tree``.
+
+    Rows are drawn with a little more than the probability needed, the least numbers of each tree
+    stay, and a tree that got too few (less than once in 10^9) has the draw repeated with
+    twice the probability.  About ``n_trees * (max_samples + 8 sqrt(max_samples))`` rows leave the scan.
+    """
+    psi = min(max_samples, n)
+    p = min(1.0, (psi + 8 * math.sqrt(psi) + 8) / max(n, 1))
+    w = Window.partitionBy("tree").orderBy(uniform_hash(F.struct("pid", "tree"), seed + 2), "pid")
+    checkpoint_dir(pts.sparkSession)
+    while True:
+        got = (_draw(pts, n_trees, p, seed).withColumn("_r", F.row_number().over(w))
+               .filter(F.col("_r") <= psi).drop("_r").checkpoint())
+        if p >= 1 or got.count() == psi * n_trees:
+            return got
+        p = min(1.0, 2 * p)
+
+
 def isolation_forest_scores(df: DataFrame, features: list[str], id_col: str | None = None,
                             n_trees: int = 100, max_samples: int = 256, seed: int = 100) -> DataFrame:
     """``(id, score)`` with score = -(anomaly score) in [-1, 0].
 
-    Trees: each tree draws its sample by a hash of the generated point number, so rows that
-    share an id are drawn one by one (about ``max_samples`` rows per tree); the trees are grown in
-    ``applyInPandas`` per tree id.  The forest is bounded by
+    Trees: each tree draws exactly ``min(max_samples, n)`` rows (:func:`forest_sample`) by hashes of
+    the generated point number, so rows that share an id are drawn one by one; the trees are
+    grown in ``applyInPandas`` per tree id.  The forest is bounded by
     ``n_trees * (2 * max_samples - 1)`` nodes, whatever the data size, and is
     shipped with the scoring function; rows are scored in Arrow batches with
     ``mapInArrow``.
@@ -355,10 +396,7 @@ def isolation_forest_scores(df: DataFrame, features: list[str], id_col: str | No
     n = pts.count()
     psi = max(1, min(max_samples, n))
     max_depth = int(math.ceil(math.log2(max(psi, 2))))
-    # every tree draws its own sample, by one rule at every size (rows in no sample stay narrow)
-    samp = (pts.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1)).cast("array<long>")))
-            .filter(uniform_hash(F.struct("pid", "tree"), seed) < F.lit(psi / max(n, 1))))
-    forest_df = samp.groupBy("tree").applyInPandas(
+    forest_df = forest_sample(pts, n, n_trees, max_samples, seed).groupBy("tree").applyInPandas(
         lambda pdf: _grow_tree(pdf, dim, max_depth, seed), TREE_SCHEMA)
     forest = forest_df.toPandas()  # bounded by n_trees * (2 * max_samples - 1) rows
     trees = []
@@ -395,4 +433,4 @@ def isolation_forest(df: DataFrame, features: list[str], contamination: float =
                      seed: int = 100) -> DataFrame:
     idn = id_col or "point_id"
     return _threshold(isolation_forest_scores(df, features, id_col, n_trees, max_samples, seed),
-                      idn, contamination)
+                      idn, contamination, keep=True)

@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import uniform_hash
+from ..functions import keyed_uniform
 from ..session import checkpoint_dir
 
 
@@ -35,23 +35,59 @@ def with_row_index(df: DataFrame, order_by: list, name: str = "row_idx") -> Data
     return out.drop("_part", "_mono", "_off")
 
 
+GATHER_VALUES = 10_000  # values sorted on the driver once the rank is bracketed this closely
+SKETCH = 10_000         # accuracy of the sketch that proposes the brackets
+
+
+def kth_smallest(vals: DataFrame, k: int) -> float:
+    """The exact ``k``-th smallest (from 0) of the non-NULL column ``v``, without a sort.
+
+    Each round takes two aggregations: a sketch of bounded size proposes two values around
+    the rank, and exact counts below, at and between them tell which of these parts holds it.
+    The part between leaves out its ends, so every round makes it smaller whatever the ties, and
+    it shrinks by about ``SKETCH`` / 4.  At most ``GATHER_VALUES`` values reach the driver.
+    """
+    v, left = F.col("v"), k
+    while True:
+        n = vals.count()
+        if n <= GATHER_VALUES:
+            return sorted(r[0] for r in vals.select("v").collect())[left]
+        at = [max(0.0, min(1.0, left / n + d)) for d in (-2 / SKETCH, 2 / SKETCH)]
+        lo, hi = vals.agg(F.percentile_approx("v", at, SKETCH)).first()[0]
+        below, at_lo, inside, at_hi = vals.agg(
+            F.count_if(v < lo), F.count_if(v == lo), F.count_if((v > lo) & (v < hi)),
+            F.count_if((v == hi) & (v > lo))).first()
+        if left < below:
+            vals = vals.filter(v < lo)
+        elif left < below + at_lo:
+            return lo
+        elif left < below + at_lo + inside:
+            vals, left = vals.filter((v > lo) & (v < hi)), left - below - at_lo
+        elif left < below + at_lo + inside + at_hi:
+            return hi
+        else:
+            vals, left = vals.filter(v > hi), left - below - at_lo - inside - at_hi
+
+
 def exact_quantile(df: DataFrame, col: str, q: float) -> float | None:
-    """Exact quantile with linear interpolation (numpy's default).
+    """Exact quantile with linear interpolation (numpy's default); NULL and NaN are left out.
 
-    Distributed selection: a range-partitioned sort plus row index, then
-    only the one or two rows at the target ranks reach the driver.  No
-    task ever holds all values (unlike the ``percentile`` aggregate).
+    Selection by counting (:func:`kth_smallest`): ``df`` is read a few times, so a frame that
+    is dear to compute should be checkpointed first.  ``None`` if there are no values.
     """
-    vals = df.select(F.col(col).alias("v")).filter(F.col("v").isNotNull())
+    v = F.col("v")
+    vals = df.select(F.col(col).cast("double").alias("v")).filter(v.isNotNull() & ~F.isnan(v))
     n = vals.count()
     if n == 0:
         return None
     pos = q * (n - 1)
-    lo, hi = int(pos // 1), min(int(pos // 1) + 1, n - 1)
-    idx = with_row_index(vals, ["v"], "_r")
-    got = {r["_r"]: r["v"] for r in idx.filter(F.col("_r").isin(lo, hi)).collect()}
-    a, b = got[lo], got[hi]
-    return a + (b - a) * (pos - lo)
+    k = int(pos // 1)
+    a = kth_smallest(vals, k)
+    if pos == k:
+        return a
+    upto, after = vals.agg(F.count_if(v <= a), F.min(F.when(v > a, v))).first()
+    b = a if upto > k + 1 else after
+    return a + (b - a) * (pos - k)
 
 
 def sample_points(df: DataFrame, fraction: float, seed: int = 0) -> DataFrame:
@@ -60,9 +96,10 @@ def sample_points(df: DataFrame, fraction: float, seed: int = 0) -> DataFrame:
 
 
 def sample_by_hash(df: DataFrame, fraction: float, key: str, seed: int = 0) -> DataFrame:
-    """Bernoulli sample decided by a hash of ``key``: the same rows whatever the
-    partitioning, and nested for growing fractions (a 0.2 sample contains the 0.1 one)."""
-    return df.filter(uniform_hash(key, seed) < F.lit(float(fraction)))
+    """Bernoulli sample decided by the md5 of ``key``: the same rows whatever the partitioning
+    or the engine, and nested for growing fractions (a 0.2 sample contains the 0.1 one).
+    Rows that share a key are kept or left together."""
+    return df.filter(keyed_uniform([key], seed) < F.lit(float(fraction)))
 
 
 def diff_datasets(a: DataFrame, b: DataFrame, cols: list[str] | None = None) -> DataFrame:
@@ -86,7 +123,7 @@ def expand_dataset(df: DataFrame, features: list[str], factor: int, delta: float
     """``factor`` jittered copies of every row: each coordinate moves by
     ``delta * U(-1, 1)``; the original row is not kept.
 
-    With ``key`` the noise is a hash of (key, copy, axis), so a recomputed
+    With ``key`` the noise comes from the md5 of (key, copy, axis), so a recomputed
     partition yields the same values; without it ``rand(seed)`` is used.
     """
     if factor < 1:
@@ -95,7 +132,7 @@ def expand_dataset(df: DataFrame, features: list[str], factor: int, delta: float
     out = {}
     for i, c in enumerate(features):
         if key:
-            u = uniform_hash(F.struct(F.col(key), F.col(copy_col), F.lit(i)), seed)
+            u = keyed_uniform([key, copy_col, F.lit(i)], seed)
         else:
             u = F.rand(seed * 1000 + i)
         out[c] = F.col(c) + F.lit(float(delta)) * (F.lit(2.0) * u - F.lit(1.0))
@@ -128,9 +165,32 @@ def rescale(df: DataFrame, features: list[str], factor: float) -> DataFrame:
     return df.withColumns({c: F.col(c) / F.lit(float(factor)) for c in features})
 
 
+CURVE_RUN = 1 << 20  # ranks of one value that a single row is expanded to
+
+
 def order_curve(df: DataFrame, col: str, rank_col: str = "rank") -> DataFrame:
-    """Values sorted ascending with their 0-based rank (a sorted curve)."""
-    return with_row_index(df.select(col), [col], rank_col).select(rank_col, col)
+    """Values sorted ascending (NULL first) with their 0-based rank (a sorted curve).
+
+    Only distinct values are sorted, with their counts; running sums give the first rank of
+    each, and its ranks follow in runs of at most ``CURVE_RUN``, spread over all tasks.  A value
+    that most rows share is therefore never one task's work.
+    """
+    counts = df.groupBy(F.col(col).alias("v")).agg(F.count(F.lit(1)).alias("cnt"))
+    checkpoint_dir(df.sparkSession)
+    s = (counts.orderBy("v").withColumn("_part", F.spark_partition_id())
+         .withColumn("_mono", F.monotonically_increasing_id()).checkpoint())
+    parts = s.groupBy("_part").agg(F.sum("cnt").alias("_cnt"))  # one row per partition
+    w = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select("_part", F.coalesce(F.sum("_cnt").over(w), F.lit(0)).alias("_off"))
+    before = Window.partitionBy("_part").orderBy("_mono").rowsBetween(Window.unboundedPreceding, -1)
+    first = s.withColumn("_in", F.coalesce(F.sum("cnt").over(before), F.lit(0))).join(F.broadcast(offsets), "_part")
+    runs = first.select("v", (F.col("_off") + F.col("_in")).alias("first"), "cnt",
+                        F.explode(F.sequence(F.lit(0), F.col("cnt") - 1, F.lit(CURVE_RUN))).alias("run"))
+    # a number of partitions given here is kept: these few bytes are about to grow, so they must not be merged
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    runs = runs.repartition(tasks, "v", "run").withColumn("last", F.least("cnt", F.col("run") + CURVE_RUN) - 1)
+    return runs.select(F.explode(F.sequence(F.col("first") + F.col("run"), F.col("first") + F.col("last"))).alias(rank_col),
+                       F.col("v").alias(col))
 
 
 def sign(c: Column | str) -> Column:

@@ -37,7 +37,8 @@ Strategies for the two distance joins (same results):
 * ``grouped``: the points of a (cell, salt) bucket are grouped into one array
   (at most about ``rows_per_task`` entries, thanks to the salt) and the tests
   run as higher-order functions: ``exists`` in the border test, which ends at the
-  first hit, and a count of all points in range in the core test;
+  first hit, and in the core test a count in runs of ``COUNT_RUN`` points that
+  stops testing distances once ``min_pts`` are found;
 * ``auto``: broadcast when the check passes, else shuffle.
 """
 
@@ -60,6 +61,7 @@ from .grid import (DEFAULT_MAX_OFFSETS, assign_cells, ccols, cell_counts, cell_t
 
 log = logging.getLogger(__name__)
 
+COUNT_RUN = 64  # points of a bucket that the grouped core test looks at before it asks if they suffice
 STRATEGIES = ("shuffle", "broadcast", "grouped", "auto")
 DEFAULT_ROWS_PER_TASK = 1 << 20
 DEFAULT_MAX_BROADCAST_ROWS = 2_000_000
@@ -335,7 +337,8 @@ class Detection:
         return pairs.filter(keep).select("q_pid", "p_pid", "dist")
 
     def neighbor_counts(self) -> DataFrame:
-        """Exact neighbour count (self included) of every candidate point of a non-dense cell."""
+        """Neighbour count (self included) of every candidate point of a non-dense cell: exact, or
+        with the grouped strategy capped at ``min_pts``."""
         if "counts" not in self._cache:
             qx = self.query_pairs()
             qF = [f"q_{f}" for f in self.F]
@@ -344,10 +347,14 @@ class Detection:
                 grp = self._groups()
                 j = qx.join(grp, [*self.N, "salt"])
                 qcols = [F.col(c) for c in qF]
-                hits = F.size(F.filter("pts", lambda p: within(
-                    qcols, [p[f] for f in pF], self.cfg.eps, self.cfg.inclusive)))
+                near = lambda p: within(qcols, [p[f] for f in pF], self.cfg.eps, self.cfg.inclusive)
+                enough = F.lit(self.cfg.min_pts)
+                # no run is cut out or tested any more once there are enough
+                more = lambda k, at: F.when(k >= enough, k).otherwise(
+                    k + F.size(F.filter(F.slice("pts", at, COUNT_RUN), near)))
+                hits = F.aggregate(F.sequence(F.lit(1), F.size("pts"), F.lit(COUNT_RUN)), F.lit(0), more)
                 per = j.select("q_pid", *qF, *self.C, hits.alias("k"))
-                counts = per.groupBy("q_pid", *qF, *self.C).agg(F.sum("k").alias("cnt"))
+                counts = per.groupBy("q_pid", *qF, *self.C).agg(F.least(F.sum("k"), enough).alias("cnt"))
             else:
                 right = self._right()
                 if self._choose_broadcast(self.candidate_cells(), "partial-core query"):

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import euclid_distance, grid_coord, label_to_sign, neighbor_offsets, offsets_column
 from ..operators import baselines, dataset, evaluate, neighbors, stats
 from ..operators.detect import Detection, detect, label_points
+from ..operators.grid import number_points
 from ..session import scratch_path
 from ..sources import readers, writers
 from . import fixtures as fx
@@ -375,7 +376,7 @@ def q_eps_join_broadcast(spark, sf_dir):
 def q_eps_join_grouped(spark, sf_dir):
     det = ev_detection(spark, sf_dir, strategy="grouped")
     return det.with_ids(det.neighbor_counts()).select(
-        F.col("id0").alias("q_id"), F.least(F.col("cnt"), F.lit(MIN_PTS)).cast("bigint").alias("capped_count"))
+        F.col("id0").alias("q_id"), F.col("cnt").cast("bigint").alias("capped_count"))
 
 
 NO_CORE_NB_SQL = with_ctes(GRID + [
@@ -602,7 +603,13 @@ def q_sample_points(spark, sf_dir):
     return dataset.sample_points(fx.table(spark, sf_dir, "events").select("event_id", "value"), 0.3, 0)
 
 
-@register("sample_by_hash")
+def _md5_number(seed: int, *parts: str) -> str:
+    """``functions.keyed_uniform`` in SQL."""
+    text = ":".join(["%s"] * len(parts) + [str(seed)])
+    return f"(('0x' || substr(md5(printf('{text}', {', '.join(parts)})), 1, 13))::BIGINT / {num(1 << 52)})"
+
+
+@register("sample_by_hash", f"SELECT event_id, value FROM events WHERE {_md5_number(0, 'event_id::VARCHAR')} < {num(0.3)}")
 def q_sample_by_hash(spark, sf_dir):
     return dataset.sample_by_hash(fx.table(spark, sf_dir, "events").select("event_id", "value"), 0.3, "event_id")
 
@@ -627,7 +634,13 @@ def q_diff_datasets(spark, sf_dir):
     return _diff(spark, sf_dir)
 
 
-@register("expand_dataset")
+def _jitter_sql(axis: int, delta: float) -> str:
+    u = _md5_number(7, "event_id::VARCHAR", "copy::VARCHAR", f"'{axis}'")
+    return f"x{axis + 1} + {num(delta)} * (2.0::DOUBLE * {u} - 1.0::DOUBLE) AS x{axis + 1}"
+
+
+@register("expand_dataset", f"SELECT event_id, {_jitter_sql(0, 0.5)}, {_jitter_sql(1, 0.5)}, copy FROM ({fx.EVENTS2D_SQL}) e, "
+          "(SELECT unnest([1, 2, 3])::INTEGER AS copy) c")
 def q_expand_dataset(spark, sf_dir):
     df, idc, feats = fx.events2d(spark, sf_dir)
     return dataset.expand_dataset(df, feats, 3, 0.5, key=idc, seed=7)
@@ -722,10 +735,10 @@ def q_predictions(spark, sf_dir):
     return predictions(spark, sf_dir)
 
 
-def _sweep_sql(params: list[tuple[str, float, float, int]], repeats: int = 1) -> str:
+def _sweep_sql(params: list[tuple[str, float, float, int]], repeats: int = 1, points=lambda value: fx.EVENTS2D_SQL) -> str:
     parts, ctes = [], []
     for i, (param, value, eps, mp) in enumerate(params):
-        bf = BruteForce(fx.EVENTS2D_SQL, ["event_id"], ["x1", "x2"], eps, mp, prefix=f"s{i}_")
+        bf = BruteForce(points(value), ["event_id"], ["x1", "x2"], eps, mp, prefix=f"s{i}_")
         ctes += bf.ctes()
         parts.append(f"SELECT '{param}' AS param, {num(value)} AS value, run, {num(eps)} AS eps, {mp} AS min_pts, "
                      f"count(*) AS total_points, count_if(label = 'core') AS core_points, "
@@ -740,10 +753,12 @@ def q_sweep_eps(spark, sf_dir):
     return sweep.counts_only(sweep.sweep_eps(df, feats, [7.3, 11.7, 23.1], 8, idc, repeats=2))
 
 
-@register("sweep_sample")
+@register("sweep_sample", _sweep_sql(
+    [("fraction", f, EPS, MIN_PTS) for f in (0.25, 0.5, 1.0)],
+    points=lambda f: f"SELECT * FROM ({fx.EVENTS2D_SQL}) e WHERE {_md5_number(0, 'event_id::VARCHAR')} < {num(f)}"))
 def q_sweep_sample(spark, sf_dir):
     df, idc, feats = fx.events2d(spark, sf_dir)
-    return sweep.sweep_sample(df, feats, [0.25, 0.5, 1.0], EPS, MIN_PTS, idc)
+    return sweep.counts_only(sweep.sweep_sample(df, feats, [0.25, 0.5, 1.0], EPS, MIN_PTS, idc))
 
 
 @register("sweep_partitions", _sweep_sql([("partitions", p, EPS, MIN_PTS) for p in (1, 3, 8)]))
@@ -804,3 +819,13 @@ def q_robust_mahalanobis(spark, sf_dir):
 def q_isolation_forest(spark, sf_dir):
     df, idc, feats = fx.events2d(spark, sf_dir)
     return baselines.isolation_forest(df, feats, CONTAM, idc)
+
+
+@register("forest_sample", "SELECT tree, least(256, (SELECT count(*) FROM events)) AS n_rows, "
+          "least(256, (SELECT count(*) FROM events)) AS n_points FROM (SELECT unnest(range(100)) AS tree)")
+def q_forest_sample(spark, sf_dir):
+    """The rows each tree of the forest grows from: how many, and how many different ones."""
+    df, idc, feats = fx.events2d(spark, sf_dir)
+    pts = number_points(df, feats, [idc])[0]
+    s = baselines.forest_sample(pts, pts.count(), 100, 256, 100)
+    return s.groupBy("tree").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("id0").alias("n_points"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from helpers import SF_SMALL
 from epsgrid.operators import baselines, dataset, evaluate, generate, neighbors
+from epsgrid.operators.detect import detect
 from epsgrid.plans import fixtures as fx
 from epsgrid.session import scratch_path
 from epsgrid.sources import readers, writers
@@ -318,3 +319,73 @@ def test_ids_are_payload(spark, ids):
     curve = [[r.k_dist for r in neighbors.k_distance_curve(df, ["a", "b"], 4, c).orderBy("rank").collect()]
              for c in ("id", "n")]
     assert len(curve[0]) == 30 and np.allclose(*curve)
+
+
+def test_exact_quantile_by_counting(spark, monkeypatch):
+    """The rounds of the selection, with ties, infinities, NULL and NaN; no sort in any plan."""
+    monkeypatch.setattr(dataset, "GATHER_VALUES", 5)
+    rng = np.random.default_rng(4)
+    for vals in (rng.normal(size=3000), np.repeat([1.0, 2.0, 5.0], [2700, 200, 100]), 2.0 ** rng.integers(-900, 900, 2000)):
+        df = spark.createDataFrame([(float(v),) for v in vals] + [(None,), (float("nan"),)], "v double")
+        for q in (0.0, 0.013, 0.9):
+            assert dataset.exact_quantile(df, "v", q) == pytest.approx(np.quantile(vals, q), rel=1e-12)
+    assert dataset.exact_quantile(spark.createDataFrame([(None,)], "v double"), "v", 0.5) is None
+    ends = spark.createDataFrame([(v,) for v in [float("-inf"), float("inf")] + [3.25] * 20], "v double")
+    assert [dataset.exact_quantile(ends, "v", q) for q in (0.0, 0.5, 1.0)] == [float("-inf"), 3.25, float("inf")]
+
+
+def test_order_curve_spreads_ties(spark, monkeypatch):
+    """Nine of ten rows share a value: ranks are whole, and no partition holds much more than its share."""
+    monkeypatch.setattr(dataset, "CURVE_RUN", 50)
+    vals = [7.0] * 18000 + [float(i) for i in range(2000)] + [None] * 3
+    got = dataset.order_curve(spark.createDataFrame([(v,) for v in vals], "v double").repartition(4), "v")
+    sizes = [r[0] for r in got.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert max(sizes) <= 2 * len(vals) / 4
+    rows = sorted((r["rank"], r["v"]) for r in got.collect())
+    assert [r for r, _ in rows] == list(range(len(vals)))
+    assert [v for _, v in rows] == [None] * 3 + sorted(v for v in vals if v is not None)
+
+
+@pytest.mark.parametrize("n, p", [(1, None), (100, None), (3000, None), (30000, None), (30000, 0.001)])
+def test_forest_sample_is_whole_and_even(spark, monkeypatch, n, p):
+    """Every tree has exactly min(max_samples, n) different rows, also when the first draw is too small."""
+    pts = spark.range(n).withColumnRenamed("id", "pid")
+    if p:
+        real = baselines._draw
+        monkeypatch.setattr(baselines, "_draw", lambda d, t, q, s: real(d, t, p if q < 0.02 else q, s))
+    s = baselines.forest_sample(pts, n, 20, 256, 5)
+    got = s.groupBy("tree").agg(F.count("pid").alias("n"), F.countDistinct("pid").alias("d"), F.avg("pid").alias("m")).collect()
+    assert sorted(r["tree"] for r in got) == list(range(20))
+    assert {(r["n"], r["d"]) for r in got} == {(min(256, n),) * 2}
+    mean = np.mean([r["m"] for r in got])
+    assert abs(mean - (n - 1) / 2) < 5 * n / np.sqrt(12 * 256 * 20) + 1e-9
+
+
+def test_forest_draw_keeps_few_rows(spark):
+    """Rows that leave the scan follow trees and samples, not the table; later trees are as likely as the first."""
+    got = baselines._draw(spark.range(200_000).withColumnRenamed("id", "pid"), 100, 0.002, 3).groupBy("tree").count().collect()
+    counts = {r["tree"]: r["count"] for r in got}
+    assert len(counts) == 100 and abs(sum(counts.values()) - 40_000) < 1200
+    early, late = (sum(counts[t] for t in r) for r in (range(10), range(90, 100)))
+    assert abs(early - 4000) < 400 and abs(late - 4000) < 400
+
+
+def test_grouped_core_count_stops(spark):
+    """Counts of the grouped strategy end at min_pts; the labels are those of the others."""
+    rows = [(i, float(x), 0.0) for i, x in enumerate([0.0, 5.0, 5.05, 5.06] + [1.0 + j / 1000 for j in range(300)])]
+    df = spark.createDataFrame(rows, "id int, a double, b double")
+    want = None
+    for strategy in ("shuffle", "grouped"):
+        with detect(df, ["a", "b"], 1.1, 6, "id", strategy=strategy) as det:
+            top = det.neighbor_counts().agg(F.max("cnt")).first()[0]
+            assert top == 6 if strategy == "grouped" else top > 50
+            lab = {r["id"]: r["label"] for r in det.labels.collect()}
+        want = want or lab
+        assert lab == want
+
+
+def test_robust_mahalanobis_leaves_no_cache(spark):
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    df = spark.createDataFrame([(i, float(i % 7), float(i % 5)) for i in range(60)], "id int, a double, b double")
+    baselines.robust_mahalanobis(df, ["a", "b"], 0.1, "id").collect()
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
