@@ -236,16 +236,15 @@ def robust_mahalanobis(df: DataFrame, features: list[str], contamination: float
     """Mahalanobis distance under a reweighted minimum-covariance-determinant fit.
 
     Concentration steps: from a fit, keep the ``h = (n + d + 1) // 2`` rows closest under
-    it, refit; the determinant never increases.  All starts, each the fit of ``d + 1`` rows
-    (more if these lie in a plane), take two steps together over all rows; the best ten are
-    stepped until none improves, and the smallest determinant wins.  Its covariance is
+    it, refit; the determinant never increases.  All starts take two steps together over all
+    rows; the best ten are stepped until none improves, and the smallest determinant wins.  Its covariance is
     scaled to the median distance, and the fit of the rows within the 97.5 % quantile of
     the chi-squared distribution gives the scores.
 
-    By default there are so many starts that, with 40 % contamination, one without outliers
-    is among them with a probability of 0.999 (at least 50).  ``max_steps`` ends the steps
-    early, with a warning.  Only counts, moments and at most ``GATHER_ROWS`` distances reach
-    the driver.
+    The starts are four robust fits of all rows (:func:`_robust_starts`), whatever the dimension;
+    ``n_starts`` adds that many random ones, each the fit of ``d + 1`` rows (more if these lie in a
+    plane).  ``max_steps`` ends the steps early, with a warning.  Only moments, at most
+    65,536 counts per start and ``GATHER_ROWS`` distances reach the driver.
     """
     dim = len(features)
     idn = id_col or "point_id"
@@ -264,9 +263,53 @@ def robust_mahalanobis(df: DataFrame, features: list[str], contamination: float
     return _threshold(scored, idn, contamination)
 
 
-def _mcd(pts: DataFrame, dim: int, center, cov, n: int, n_starts: int | None, max_steps: int | None, seed: int):
-    h = min((n + dim + 1) // 2, n)
-    n_starts = n_starts or max(50, math.ceil(math.log(0.001) / math.log1p(-0.6 ** (dim + 1))))
+MIDDLE = 10_000  # accuracy of the sketches behind the medians of the starts
+
+
+def _median_scale(df: DataFrame, cols: list[str], instead: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Median and scaled median deviation of each column (bounded sketches, two passes for all
+    columns); a deviation of zero, where half the rows are equal, is replaced by ``instead``."""
+    mid = df.agg(*[F.percentile_approx(c, 0.5, MIDDLE) for c in cols]).first()
+    far = df.agg(*[F.percentile_approx(F.abs(F.col(c) - F.lit(float(m))), 0.5, MIDDLE)
+                   for c, m in zip(cols, mid)]).first()
+    scale = 1.4826 * np.array(far, dtype=float)
+    return np.array(mid, dtype=float), np.where(scale > 0, scale, instead)
+
+
+def _robust_starts(pts: DataFrame, dim: int, cov: np.ndarray) -> list:
+    """Four deterministic fits that a large minority of outliers cannot carry away.
+
+    Each axis is centred by its median and divided by its median deviation.  Covariances of four
+    transforms (tanh, signs, directions, the half of the rows nearest to the centre) give axes;
+    along these, medians and median deviations of all rows give the centre and spread of a fit.
+    """
+    F_ = fcols(dim)
+    spread = np.sqrt(np.diag(cov))
+    mid, scale = _median_scale(pts, F_, np.where(spread > 0, spread, 1.0))
+    z = pts.select(*[((F.col(f) - F.lit(float(m))) / F.lit(float(s))).alias(f) for f, m, s in zip(F_, mid, scale)])
+    far = F.sqrt(sum((F.col(f) * F.col(f) for f in F_[1:]), F.col(F_[0]) * F.col(F_[0])))
+    z = z.withColumn("far", far)
+    half = z.agg(F.percentile_approx("far", 0.5, MIDDLE)).first()[0]
+    frames = [z.select(*[F.tanh(f).alias(f) for f in F_]), z.select(*[F.signum(f).alias(f) for f in F_]),
+              z.filter(F.col("far") > 0).select(*[(F.col(f) / F.col("far")).alias(f) for f in F_]),
+              z.filter(F.col("far") <= F.lit(half))]
+    axes = [np.linalg.eigh(_moments(frame, dim)[1])[1] for frame in frames]
+    names = [f"s{i}_{j}" for i in range(len(axes)) for j in range(dim)]
+    along = z.select(*[sum((F.col(f) * F.lit(float(w)) for f, w in zip(F_[1:], axes[i][1:, j])),
+                           F.col(F_[0]) * F.lit(float(axes[i][0, j]))).alias(f"s{i}_{j}")
+                       for i in range(len(axes)) for j in range(dim)])
+    at, wide = _median_scale(along, names, np.ones(len(names)))
+    fits = []
+    for i, E in enumerate(axes):
+        own = slice(i * dim, (i + 1) * dim)
+        back = scale[:, None] * E
+        fits.append((mid + back @ at[own], (back * wide[own] ** 2) @ back.T))
+    return fits
+
+
+def _random_starts(pts: DataFrame, dim: int, cov: np.ndarray, n_starts: int, seed: int) -> list:
+    if not n_starts:
+        return []
     rank = np.linalg.matrix_rank(cov)
     rows = pts.orderBy(uniform_hash("pid", seed), "pid").limit(n_starts * (dim + 1)).select(*fcols(dim)).toPandas()
     rows, rng, fits = rows.to_numpy(dtype=float), np.random.default_rng(seed), []
@@ -275,6 +318,12 @@ def _mcd(pts: DataFrame, dim: int, center, cov, n: int, n_starts: int | None, ma
         while m < len(rows) and np.linalg.matrix_rank(np.cov(rows[order[:m]].T, bias=True).reshape(dim, dim)) < rank:
             m += 1
         fits.append((rows[order[:m]].mean(0), np.cov(rows[order[:m]].T, bias=True).reshape(dim, dim)))
+    return fits
+
+
+def _mcd(pts: DataFrame, dim: int, center, cov, n: int, n_starts: int | None, max_steps: int | None, seed: int):
+    h = min((n + dim + 1) // 2, n)
+    fits = _robust_starts(pts, dim, cov) + _random_starts(pts, dim, cov, n_starts or 0, seed)
 
     def step(fits):
         inv = [(m, _inverse(c)) for m, c in fits]

@@ -389,3 +389,20 @@ def test_robust_mahalanobis_leaves_no_cache(spark):
     df = spark.createDataFrame([(i, float(i % 7), float(i % 5)) for i in range(60)], "id int, a double, b double")
     baselines.robust_mahalanobis(df, ["a", "b"], 0.1, "id").collect()
     assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
+
+
+@pytest.mark.parametrize("kind", ["cluster", "far", "constant_axis"])
+def test_robust_starts_in_ten_dimensions(spark, kind):
+    """40 % contamination in ten dimensions: the fit is that of the clean rows, from four starts."""
+    rng, d = np.random.default_rng(8), 10
+    clean = rng.normal(size=(900, d)) @ np.diag(np.linspace(1, 3, d))
+    # as wide as the clean rows: half the rows around a tight cluster would have the least determinant
+    bad = (rng.normal(size=(600, d)) @ np.diag(np.linspace(1, 3, d)) + 12.0 if kind == "cluster"
+           else rng.normal(size=(600, d)) * 0.3 + 500.0)
+    X = np.vstack([clean, bad])
+    if kind == "constant_axis":
+        X[:, 4] = 2.0
+    f = [f"a{i}" for i in range(d)]
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(X)], ["id", *f])
+    got = {r["id"]: r["prediction"] for r in baselines.robust_mahalanobis(df, f, 0.4, "id").collect()}
+    assert sum(got[i] == -1 for i in range(900, 1500)) >= 590
