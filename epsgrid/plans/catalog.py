@@ -2,9 +2,9 @@
 
 Each query takes ``(spark, sf_dir)``, reads the driver's tables (whole
 tables) and returns a DataFrame; ``ORACLE[key]`` is the same result in DuckDB
-SQL over the same tables, with identical column names.  Queries whose
-result is random (samples, jitter, generators, forests) have no SQL oracle
-and are checked by properties in the tests.
+SQL over the same tables, with identical column names.  Spark's own sampler, the
+robust fit and the forest's scores have no SQL oracle and are checked by
+properties in the tests.
 """
 
 from __future__ import annotations
