@@ -115,15 +115,6 @@ def count_offsets(dim: int, axes: int | None = None, inclusive: bool = False) ->
     return sum(c for s, c in dist.items() if (s <= dim if inclusive else s < dim))
 
 
-def offsets_column(offsets: list[tuple]) -> Column:
-    """A literal array of offset structs ``o0..o{k-1}``, for ``explode``."""
-    k = len(offsets[0]) if offsets else 0
-    return F.array(*[
-        F.struct(*[F.lit(int(v)).cast("bigint").alias(f"o{i}") for i, v in enumerate(off)])
-        for off in offsets
-    ]) if k else F.array()
-
-
 def uniform_hash(key, seed: int) -> Column:
     """A uniform double in [0, 1) from a hash of ``key`` and ``seed``.
 

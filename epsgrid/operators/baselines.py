@@ -23,7 +23,7 @@ from ..functions import uniform_hash
 from ..session import checkpoint_dir, ship_package
 from .dataset import exact_quantile
 from .grid import fcols, number_points
-from .neighbors import caller_ids, knn_points, ordered_points
+from .neighbors import caller_ids, knn_beside_piles, ordered_points
 
 LRD_EPS = 1e-10  # added to the mean reachability distance, as in the usual LOF definition
 
@@ -53,18 +53,25 @@ def lof_scores(df: DataFrame, features: list[str], n_neighbors: int = 20,
     k-NN without the point itself -> k-distance -> reachability distance
     ``max(k-dist(o), d(p, o))`` -> local reachability density ``1 / (mean + 1e-10)``
     -> LOF = mean of ``lrd(o) / lrd(p)`` over the neighbours.  Three joins on
-    the k-NN table (n * k rows), keyed by point id.
+    the k-NN table (at most n * k rows), keyed by point id.
+
+    A point that more than k others equal has only such neighbours, all at distance 0: its
+    k-distance is 0, its density ``1 / 1e-10``, its factor 1.  These piles, however large, take no
+    part in the joins; as neighbours of other points they count with these values.
     """
     pts, ids = ordered_points(df, features, id_col)
-    nn = knn_points(pts, len(features), n_neighbors, include_self=False)
+    piled, nn = knn_beside_piles(pts, len(features), n_neighbors)
     kd = nn.groupBy("pid").agg(F.max("dist").alias("kdist"))
-    reach = nn.join(kd.select(F.col("pid").alias("nbr_id"), F.col("kdist").alias("nbr_kdist")), "nbr_id") \
-        .withColumn("rd", F.greatest(F.col("dist"), F.col("nbr_kdist")))
+    # a neighbour that is no row of kd or lrd lies in a pile
+    reach = nn.join(kd.select(F.col("pid").alias("nbr_id"), F.col("kdist").alias("nbr_kdist")), "nbr_id", "left") \
+        .withColumn("rd", F.greatest(F.col("dist"), F.coalesce("nbr_kdist", F.lit(0.0))))
     lrd = reach.groupBy("pid").agg((F.lit(1.0) / (F.avg("rd") + F.lit(LRD_EPS))).alias("lrd"))
     ratio = (nn.join(lrd, "pid")
-             .join(lrd.select(F.col("pid").alias("nbr_id"), F.col("lrd").alias("nbr_lrd")), "nbr_id")
-             .withColumn("ratio", F.col("nbr_lrd") / F.col("lrd")))
-    return caller_ids(ratio.groupBy("pid").agg((-F.avg("ratio")).alias("score")), ids, pid=id_col or "point_id")
+             .join(lrd.select(F.col("pid").alias("nbr_id"), F.col("lrd").alias("nbr_lrd")), "nbr_id", "left")
+             .withColumn("ratio", F.coalesce("nbr_lrd", F.lit(1.0 / LRD_EPS)) / F.col("lrd")))
+    scores = ratio.groupBy("pid").agg((-F.avg("ratio")).alias("score"))
+    scores = scores.unionByName(piled.select("pid", F.lit(-1.0).alias("score")))
+    return caller_ids(scores, ids, pid=id_col or "point_id")
 
 
 def lof(df: DataFrame, features: list[str], contamination: float = 0.01, n_neighbors: int = 20,

@@ -12,21 +12,17 @@ from ..session import checkpoint_dir
 
 
 def with_row_index(df: DataFrame, order_by: list, name: str = "row_idx") -> DataFrame:
-    """Consecutive 0-based index following ``order_by`` (ties broken by the
-    remaining columns' order is not defined: pass a unique key).
+    """Consecutive 0-based index following ``order_by``; rows that tie keep the order of the scan.
 
     Two passes instead of a global window: a range-partitioned sort, then
     per-partition row counts (one row per partition, bounded by the
     partition count) turned into offsets that are broadcast back.  The
     sorted frame with its partition ids is checkpointed (shared checkpoint
     folder), so both passes see the same rows even if an executor is lost.
+    The place in the scan is the last sort key, so rows with one key, a third of the table or
+    all of it, are spread over the partitions like any others.
     """
-    checkpoint_dir(df.sparkSession)
-    cols = [F.col(c) if isinstance(c, str) else c for c in order_by]
-    s = (df.orderBy(*cols)
-         .withColumn("_part", F.spark_partition_id())
-         .withColumn("_mono", F.monotonically_increasing_id())
-         .checkpoint())
+    s = _sorted_parts(df, order_by)
     counts = s.groupBy("_part").agg(F.count(F.lit(1)).alias("_cnt"))
     w = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_part", F.coalesce(F.sum("_cnt").over(w), F.lit(0)).alias("_off"))
@@ -35,6 +31,16 @@ def with_row_index(df: DataFrame, order_by: list, name: str = "row_idx") -> Data
     return out.drop("_part", "_mono", "_off")
 
 
+def _sorted_parts(df: DataFrame, order_by: list) -> DataFrame:
+    """``df`` sorted, written, with the number of each row's partition and its place there."""
+    checkpoint_dir(df.sparkSession)
+    cols = [F.col(c) if isinstance(c, str) else c for c in order_by]
+    return (df.withColumn("_tie", F.monotonically_increasing_id()).orderBy(*cols, "_tie").drop("_tie")
+            .withColumn("_part", F.spark_partition_id())
+            .withColumn("_mono", F.monotonically_increasing_id())
+            .checkpoint())
+
+
 GATHER_VALUES = 10_000  # values sorted on the driver once the rank is bracketed this closely
 SKETCH = 10_000         # accuracy of the sketch that proposes the brackets
 

@@ -32,8 +32,9 @@ Plan (every step is a DataFrame join / aggregation; nothing is collected):
 Strategies for the two distance joins (same results):
 
 * ``shuffle``: hash joins on ``(cell, salt)``;
-* ``broadcast``: the replicated query side is broadcast after its row count
-  is checked against ``max_broadcast_rows``; above it the shuffle join is used;
+* ``broadcast``: the replicated query side is broadcast after its exact row count is checked
+  against ``max_broadcast_rows`` and its size against ``max_broadcast_bytes``; above either the
+  shuffle join is used.  The adjacency the count comes from is kept for the join;
 * ``grouped``: the points of a (cell, salt) bucket are grouped into one array
   (at most about ``rows_per_task`` entries, thanks to the salt) and the tests
   run as higher-order functions: ``exists`` in the border test, which ends at the
@@ -65,6 +66,8 @@ COUNT_RUN = 64  # points of a bucket that the grouped core test looks at before
 STRATEGIES = ("shuffle", "broadcast", "grouped", "auto")
 DEFAULT_ROWS_PER_TASK = 1 << 20
 DEFAULT_MAX_BROADCAST_ROWS = 2_000_000
+DEFAULT_MAX_BROADCAST_BYTES = 256 << 20
+ROW_OVERHEAD = 40  # bytes of a broadcast row beside its fields: null bits, lengths, hash table entry
 ROWS_PER_PARTITION = 4_000_000  # most points per partition of the persisted, salted point set
 MIN_ROWS_PER_PARTITION = 50_000  # below this, more partitions than cores only add overhead
 
@@ -80,6 +83,7 @@ class DetectConfig:
     rows_per_task: int = DEFAULT_ROWS_PER_TASK
     max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS
     max_offsets: int = DEFAULT_MAX_OFFSETS
+    max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES
     storage: StorageLevel = field(default_factory=lambda: StorageLevel.MEMORY_AND_DISK)
 
 
@@ -101,7 +105,7 @@ class Detection:
                  id_col: str | list[str] | None = None, strategy: str = "shuffle", inclusive: bool = False,
                  num_partitions: int | None = None, rows_per_task: int | None = None,
                  max_broadcast_rows: int | None = None, max_offsets: int | None = None,
-                 materialize: str = "persist"):
+                 materialize: str = "persist", max_broadcast_bytes: int | None = None):
         features = list(features)
         if materialize not in ("persist", "checkpoint"):
             raise ValueError("materialize must be 'persist' or 'checkpoint'")
@@ -121,7 +125,8 @@ class Detection:
             num_partitions=num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions")),
             rows_per_task=int(rows_per_task or DEFAULT_ROWS_PER_TASK),
             max_broadcast_rows=int(max_broadcast_rows or DEFAULT_MAX_BROADCAST_ROWS),
-            max_offsets=int(max_offsets or DEFAULT_MAX_OFFSETS))
+            max_offsets=int(max_offsets or DEFAULT_MAX_OFFSETS),
+            max_broadcast_bytes=int(max_broadcast_bytes or DEFAULT_MAX_BROADCAST_BYTES))
         cfg = self.cfg
         self.C, self.N, self.F = ccols(dim), ccols(dim, "n"), fcols(dim)
         self._persisted: list[DataFrame] = []
@@ -236,17 +241,30 @@ class Detection:
     def _choose_broadcast(self, adj: DataFrame, what: str) -> bool:
         """Broadcast the replicated query side only if its exact row count
         (from the cell tables: points of the source cell x salt buckets of the
-        neighbour, summed over adjacency rows) is within the limit."""
-        strat = self.cfg.strategy
-        if strat not in ("broadcast", "auto"):
+        neighbour, summed over adjacency rows) and its bytes are within the limits."""
+        if not self._may_broadcast:
             return False
         rows = adj.agg(F.coalesce(F.sum(F.col("n_src") * F.col("nb_nb")), F.lit(0))).first()[0]
-        ok = rows <= self.cfg.max_broadcast_rows
+        size = rows * self.broadcast_row_bytes
+        ok = rows <= self.cfg.max_broadcast_rows and size <= self.cfg.max_broadcast_bytes
         if not ok:
-            log.warning("%s side has %d rows > %d: using the shuffle join", what, rows,
-                        self.cfg.max_broadcast_rows)
+            log.warning("%s side has %d rows, %d bytes (limits %d, %d): using the shuffle join", what, rows, size,
+                        self.cfg.max_broadcast_rows, self.cfg.max_broadcast_bytes)
         return ok
 
+    @property
+    def _may_broadcast(self) -> bool:
+        return self.cfg.strategy in ("broadcast", "auto")
+
+    @property
+    def broadcast_row_bytes(self) -> int:
+        """Size of a row of the query side: the id, features, two cells and a salt, eight bytes each."""
+        return 8 * (2 + 3 * self.cfg.dim) + ROW_OVERHEAD
+
+    def _kept(self, adj: DataFrame) -> DataFrame:
+        """Adjacency rows, written down once where the size check and the join both read them."""
+        return self._materialize(adj) if self._may_broadcast else adj
+
     # ------------------------------------------------------------------ cells
     @property
     def dense_cells(self) -> DataFrame:
@@ -292,16 +310,18 @@ class Detection:
             # key, so the window's shuffle already matches the points' (cell, salt)
             adj = explode_salts(adj, "nb_src")
             ub = F.sum("n_nb").over(Window.partitionBy(*self.C, "salt"))
-            self._cache["cand"] = adj.withColumn("ub", ub).filter(
-                F.col("ub") >= F.lit(self.cfg.min_pts)).drop("ub")
+            self._cache["cand"] = self._kept(adj.withColumn("ub", ub).filter(
+                F.col("ub") >= F.lit(self.cfg.min_pts)).drop("ub"))
         return self._cache["cand"]
 
     def query_adjacency(self, prune: bool = True) -> DataFrame:
         if prune:
             return self.candidate_cells()
-        src = self.nondense_cells.select(*self.C, F.col("nb").alias("nb_src"), F.col("n").alias("n_src"))
-        dst = self.cells.select(*self.C, F.col("n").alias("n_nb"), F.col("nb").alias("nb_nb"))
-        return self._adjacent(src, dst, ("n_nb", "nb_nb"), src_cols=("nb_src", "n_src"))
+        if "all" not in self._cache:
+            src = self.nondense_cells.select(*self.C, F.col("nb").alias("nb_src"), F.col("n").alias("n_src"))
+            dst = self.cells.select(*self.C, F.col("n").alias("n_nb"), F.col("nb").alias("nb_nb"))
+            self._cache["all"] = self._kept(self._adjacent(src, dst, ("n_nb", "nb_nb"), src_cols=("nb_src", "n_src")))
+        return self._cache["all"]
 
     def query_pairs(self, prune: bool = True) -> DataFrame:
         """Query points of non-dense cells, one row per neighbour salt bucket.
@@ -428,7 +448,7 @@ class Detection:
         """
         if "near" not in self._cache:
             src = self.other_cells.select(*self.C, F.col("nb").alias("nb_src"), F.col("n").alias("n_src"))
-            adj2 = self.core_neighbors(src, src_cols=("nb_src", "n_src"))
+            adj2 = self._kept(self.core_neighbors(src, src_cols=("nb_src", "n_src")))
             qF = [f"q_{f}" for f in self.F]
             pF = [f"p_{f}" for f in self.F]
             M = [f"m_{n}" for n in self.N]

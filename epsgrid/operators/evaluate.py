@@ -5,6 +5,8 @@ All metrics are aggregations over the prediction table; nothing is collected.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +35,8 @@ def outlier_count(df: DataFrame, prediction: str = "prediction") -> DataFrame:
 
 
 def _comb2(c):
-    return (c * (c - F.lit(1)) / F.lit(2)).cast("double")
+    c = c.cast("double")  # the product of two counts may be beyond 64 bits
+    return c * (c - F.lit(1.0)) / F.lit(2.0)
 
 
 def adjusted_rand(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
@@ -60,6 +63,28 @@ def adjusted_rand(df: DataFrame, label: str = "label", prediction: str = "predic
                     .otherwise(F.coalesce(ari, F.lit(1.0))).alias("adjusted_rand"))
 
 
+def compare_detectors(runs: dict[str, DataFrame], label: str = "label", prediction: str = "prediction") -> DataFrame:
+    """One row per algorithm (key of ``runs``): confusion counts, number of outliers, F1 of the
+    outliers and adjusted Rand index; labels and predictions are 1 or -1.
+
+    All runs are counted in one aggregation to at most four rows an algorithm, from which
+    every figure follows.  A run without rows is missing in the result.
+    """
+    cells = [("data_found", 1, 1), ("data_not_found", 1, -1), ("outliers_found", -1, -1), ("outliers_not_found", -1, 1)]
+    rows = reduce(DataFrame.unionByName, [
+        df.select(F.lit(alg).alias("alg"), F.col(label).alias("_l"), F.col(prediction).alias("_p")) for alg, df in runs.items()])
+    t = rows.groupBy("alg").agg(*[F.count_if((F.col("_l") == a) & (F.col("_p") == b)).alias(name) for name, a, b in cells])
+    df_, dn, of, on = (F.col(name) for name, _, _ in cells)
+    pairs = _comb2(df_) + _comb2(dn) + _comb2(of) + _comb2(on)
+    by_label, by_pred = _comb2(df_ + dn) + _comb2(of + on), _comb2(df_ + on) + _comb2(of + dn)
+    expected = F.coalesce(F.try_divide(by_label * by_pred, _comb2(df_ + dn + of + on)), F.lit(0.0))
+    most = (by_label + by_pred) / F.lit(2.0)
+    den = (F.lit(2) * of + dn + on).cast("double")
+    return t.select("alg", *[name for name, _, _ in cells], (of + dn).alias("n_outliers"),
+                    F.coalesce(F.try_divide((F.lit(2) * of).cast("double"), den), F.lit(0.0)).alias("f1"),
+                    F.coalesce(F.try_divide(pairs - expected, most - expected), F.lit(1.0)).alias("adjusted_rand"))
+
+
 def timing_summary(df: DataFrame, alg: str = "alg", x: str = "x", y: str = "y") -> DataFrame:
     """Mean and sample standard deviation of running time per (algorithm, x)."""
     return df.groupBy(alg, x).agg(F.avg(y).alias("mean_time"), F.stddev_samp(y).alias("std_time"),

@@ -177,8 +177,14 @@ def neighbor_cells(src: DataFrame, dst: DataFrame, dim: int, inclusive: bool = F
         gap = cell_min_sq_dist(C, N)
         near = candidate_pairs(src, dst, dim, inclusive).filter(gap <= F.lit(1.0) if inclusive else gap < F.lit(1.0))
         return near.join(src.select(*C, *src_cols), C).join(d, N).select(*C, *src_cols, *N, *dst_cols)
+    return expand_offsets(src, dim, inclusive, src_cols).join(d, N).select(*C, *src_cols, *N, *dst_cols)
+
+
+def expand_offsets(src: DataFrame, dim: int, inclusive: bool = False, src_cols: tuple = ()) -> DataFrame:
+    """Every cell ``n0..`` (occupied or not, the cell itself included) that can hold a point within
+    eps of one in the cell ``c0..`` of ``src``: a row each, without a join."""
     delta = neighbor_delta(dim, inclusive)
-    ex = src.select(*C, *src_cols)
+    ex = src.select(*ccols(dim), *src_cols)
     gap = None
     for i in range(dim):
         # one explode per axis; the running gap prunes offsets as early as possible
@@ -188,4 +194,4 @@ def neighbor_cells(src: DataFrame, dst: DataFrame, dim: int, inclusive: bool = F
         gap = g * g if gap is None else F.col("_gap") + g * g
         ex = ex.withColumn("_gap", gap)
         ex = ex.filter(F.col("_gap") <= F.lit(dim) if inclusive else F.col("_gap") < F.lit(dim))
-    return ex.drop("_gap").join(d, N).select(*C, *src_cols, *N, *dst_cols)
+    return ex.drop("_gap")

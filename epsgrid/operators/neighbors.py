@@ -234,36 +234,71 @@ def knn_points(pts: DataFrame, dim: int, k: int, include_self: bool = True) -> D
         pts.unpersist()
 
 
+def knn_beside_piles(pts: DataFrame, dim: int, k: int) -> tuple[DataFrame, DataFrame]:
+    """``(piled, nn)``: the ``pid`` of points that more than ``k`` others equal, and the k-NN
+    (without the point itself) of all other points.  Of a pile only its first ``k`` + 1 points are
+    anyone's neighbours there."""
+    spark = pts.sparkSession
+    checkpoint_dir(spark)
+    pts = pts.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        n = pts.count()
+        if n == 0:
+            return pts.select("pid"), spark.createDataFrame([], NN_SCHEMA)
+        piles, cand, queries = _piles(pts, dim, k + 1, n)
+        piled = (pts.limit(0) if piles is None else piles[0]).select("pid").checkpoint()
+        n = n if piles is None else cand.count()
+        return piled, _nearest(candidate_pairs(cand, queries, dim, k + 1, n), k, False).checkpoint()
+    finally:  # both parts of the result are checkpointed
+        pts.unpersist()
+
+
+NN_SCHEMA = "pid bigint, nbr_id bigint, dist double, rank int"
+
+
+def _piles(pts: DataFrame, dim: int, cap: int, n: int) -> tuple[tuple | None, DataFrame, DataFrame]:
+    """``((members, kept), candidates, queries)``: the points of coordinates with more than ``cap``
+    copies, the ``cap`` smallest ids of each such coordinate, the points a query can have as
+    neighbours, and those that share no such coordinate; the first is None if there is none."""
+    F_ = fcols(dim)
+    groups = pts.groupBy(*F_).agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > F.lit(cap)).checkpoint()
+    if groups.isEmpty():
+        return None, pts, pts
+    heavy = groups.select(*F_)
+    members = pts.join(heavy, F_, "left_semi")
+    kept = _top_ids(members, groups, F_, cap, n).checkpoint()
+    queries = pts.join(heavy, F_, "left_anti").checkpoint()
+    return (members, kept), queries.unionByName(kept.select("pid", *F_)), queries
+
+
+def _nearest(pairs: DataFrame, k: int, include_self: bool) -> DataFrame:
+    if not include_self:
+        pairs = pairs.filter(F.col("p_pid") != F.col("pid"))
+    rank = F.row_number().over(Window.partitionBy("pid").orderBy("dist", "p_pid"))
+    return (pairs.withColumn("rank", rank).filter(F.col("rank") <= k)
+            .select("pid", F.col("p_pid").alias("nbr_id"), "dist", F.col("rank").cast("int").alias("rank")))
+
+
 def _knn(pts: DataFrame, dim: int, k: int, include_self: bool) -> DataFrame:
     n = pts.count()
     if n == 0:
-        return pts.sparkSession.createDataFrame([], "pid bigint, nbr_id bigint, dist double, rank int")
+        return pts.sparkSession.createDataFrame([], NN_SCHEMA)
     F_ = fcols(dim)
     cap = k if include_self else k + 1
     # 1. coordinates with more copies than any query can use
-    groups = pts.groupBy(*F_).agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > F.lit(cap)).checkpoint()
     parts: list[DataFrame] = []
-    cand, queries = pts, pts
-    if not groups.isEmpty():
-        heavy = groups.select(*F_)
-        hp = pts.join(heavy, F_, "left_semi")
-        top = _top_ids(hp, groups, F_, cap, n).checkpoint()
+    piles, cand, queries = _piles(pts, dim, cap, n)
+    if piles is not None:
+        hp, top = piles
         lists = top.groupBy(*F_).agg(F.array_sort(F.collect_list("pid")).alias("ids"))  # <= cap ids
         ans = hp.join(lists, F_)
         ids = F.col("ids") if include_self else F.filter("ids", lambda x: x != F.col("pid"))
         ans = ans.select("pid", F.posexplode(F.slice(ids, 1, k)).alias("_pos", "nbr_id"))
         parts.append(ans.select("pid", "nbr_id", F.lit(0.0).alias("dist"),
                                 (F.col("_pos") + 1).cast("int").alias("rank")).checkpoint())
-        queries = pts.join(heavy, F_, "left_anti").checkpoint()
-        cand = queries.unionByName(top.select("pid", *F_))
         n = cand.count()
     # 2. to 4. cells, lists, pairs
-    pairs = candidate_pairs(cand, queries, dim, cap, n)
-    if not include_self:
-        pairs = pairs.filter(F.col("p_pid") != F.col("pid"))
-    rank = F.row_number().over(Window.partitionBy("pid").orderBy("dist", "p_pid"))
-    parts.append(pairs.withColumn("rank", rank).filter(F.col("rank") <= k)
-                 .select("pid", F.col("p_pid").alias("nbr_id"), "dist", F.col("rank").cast("int").alias("rank")).checkpoint())
+    parts.append(_nearest(candidate_pairs(cand, queries, dim, cap, n), k, include_self).checkpoint())
     return reduce(DataFrame.unionByName, parts)
 
 

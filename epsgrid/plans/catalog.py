@@ -9,20 +9,21 @@ properties in the tests.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import euclid_distance, grid_coord, label_to_sign, neighbor_offsets, offsets_column
+from ..functions import euclid_distance, grid_coord, label_to_sign
 from ..operators import baselines, dataset, evaluate, neighbors, stats
 from ..operators.detect import Detection, detect, label_points
-from ..operators.grid import number_points
-from ..session import scratch_path
+from ..operators.grid import expand_offsets, number_points
+from ..session import checkpoint_dir, scratch_path
 from ..sources import readers, writers
+from . import compare, sweep
 from . import fixtures as fx
-from . import sweep
 from .oracle import BruteForce, num, with_ctes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,15 +31,27 @@ ORACLE: dict[str, str] = {}
 
 
 def register(key: str, sql: str | None = None):
+    """Register a query.  Detections it asks for end with it: its result is written to the
+    checkpoint folder and their caches are released, so no query sees another's."""
     def deco(fn):
-        QUERIES[key] = fn
+        @functools.wraps(fn)
+        def query(spark, sf_dir):
+            try:
+                out = fn(spark, sf_dir)
+                if _DETECTIONS:
+                    checkpoint_dir(spark)
+                    out = out.checkpoint()
+                return out
+            finally:
+                release_all()
+        QUERIES[key] = query
         if sql is not None:
             ORACLE[key] = sql
-        return fn
+        return query
     return deco
 
 
-# ---------------------------------------------------------------- shared runs
+# ---------------------------------------------------------------- detections of a query
 EPS, MIN_PTS = 7.3, 8          # events2d at sf0.01: brute force 8,509 core / 462 border / 1,029 outliers
 EPS_B, MIN_PTS_B = 11.7, 10    # second parameter pair of the same fixture
 _DETECTIONS: dict = {}
@@ -46,9 +59,8 @@ _DETECTIONS: dict = {}
 
 def ev_detection(spark: SparkSession, sf_dir: str, eps: float = EPS, min_pts: int = MIN_PTS,
                  strategy: str = "shuffle", inclusive: bool = False, **kw) -> Detection:
-    """One detection per (session, data, parameters), reused by the queries."""
-    key = (spark.sparkContext.applicationId, sf_dir, "events2d", eps, min_pts, strategy, inclusive,
-           tuple(sorted(kw.items())))
+    """The detection of these parameters, run once within a query."""
+    key = (sf_dir, eps, min_pts, strategy, inclusive, tuple(sorted(kw.items())))
     det = _DETECTIONS.get(key)
     if det is None:
         df, idc, feats = fx.events2d(spark, sf_dir)
@@ -315,8 +327,7 @@ BF3 = BruteForce(fx.LINEITEMS3D_SQL, fx.LINEITEM_KEY, ["x1", "x2", "x3"], 2.57,
 def q_neighbor_offsets(spark, sf_dir):
     df, _, feats = fx.lineitems3d(spark, sf_dir)
     cells = df.select(*[grid_coord(f, 2.57, 3).alias(f"c{i}") for i, f in enumerate(feats)]).distinct()
-    ex = cells.select("c0", "c1", "c2", F.explode(offsets_column(neighbor_offsets(3))).alias("o"))
-    return ex.groupBy("c0", "c1", "c2").agg(F.count(F.lit(1)).alias("n_offsets"))
+    return expand_offsets(cells, 3).groupBy("c0", "c1", "c2").agg(F.count(F.lit(1)).alias("n_offsets"))
 
 
 @register("rescale", f"SELECT event_id, x1 / 10.0 AS x1, x2 / 10.0 AS x2 FROM ({fx.EVENTS2D_SQL})")
@@ -791,18 +802,22 @@ def q_lof(spark, sf_dir):
     return r.select(idc, F.round("score", 6).alias("score"), "prediction")
 
 
-MAHA_SQL = f"""WITH p AS ({fx.EVENTS2D_SQL}),
+MAHA_ANY_SQL = f"""WITH p AS (POINTS),
 m AS (SELECT avg(x1) AS m0, avg(x2) AS m1, covar_pop(x1, x1) AS a, covar_pop(x1, x2) AS b,
              covar_pop(x2, x2) AS d FROM p),
 inv AS (SELECT m0, m1, d / (a * d - b * b) AS i00, -b / (a * d - b * b) AS i01, -b / (a * d - b * b) AS i10,
                a / (a * d - b * b) AS i11 FROM m),
-sc AS (SELECT event_id, -((x1 - m0) * i00 * (x1 - m0) + (x1 - m0) * i01 * (x2 - m1)
+sc AS (SELECT KEY, -((x1 - m0) * i00 * (x1 - m0) + (x1 - m0) * i01 * (x2 - m1)
               + (x2 - m1) * i10 * (x1 - m0) + (x2 - m1) * i11 * (x2 - m1)) AS score FROM p, inv),
 t AS (SELECT quantile_cont(score, {CONTAM}) AS thr FROM sc)
-SELECT event_id, round(score, 6) AS score, CASE WHEN score < thr THEN -1 ELSE 1 END AS prediction FROM sc, t"""
+SELECT KEY, round(score, 6) AS score, CASE WHEN score < thr THEN -1 ELSE 1 END AS prediction FROM sc, t"""
 
 
-@register("mahalanobis", MAHA_SQL)
+def _maha_sql(points: str, key: str) -> str:
+    return MAHA_ANY_SQL.replace("POINTS", points).replace("KEY", key)
+
+
+@register("mahalanobis", _maha_sql(fx.EVENTS2D_SQL, "event_id"))
 def q_mahalanobis(spark, sf_dir):
     df, idc, feats = fx.events2d(spark, sf_dir)
     r = baselines.mahalanobis(df, feats, CONTAM, idc)
@@ -829,3 +844,38 @@ def q_forest_sample(spark, sf_dir):
     pts = number_points(df, feats, [idc])[0]
     s = baselines.forest_sample(pts, pts.count(), 100, 256, 100)
     return s.groupBy("tree").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("id0").alias("n_points"))
+
+
+# ---------------------------------------------------------------- detectors side by side
+_NOISE = "p_type = 'PROMO'"  # stand-in for a ground truth
+_PARTS_BF = [BruteForce(fx.PARTS2D_SQL, ["p_partkey"], ["x1", "x2"], 3.37, 12, inclusive=i, prefix=f"{p}_")
+             for p, i in (("g", False), ("d", True))]
+_COMPARED = ("grid", "dbscan", "lof", "mahalanobis")
+
+
+@register("compare_detectors", with_ctes(_PARTS_BF[0].ctes() + _PARTS_BF[1].ctes() + [
+    f"truth AS (SELECT p_partkey, CASE WHEN {_NOISE} THEN -1 ELSE 1 END AS label FROM part)",
+    "found AS (SELECT 'grid' AS alg, p_partkey, CASE WHEN label = 'outlier' THEN -1 ELSE 1 END AS prediction FROM g_lab "
+    "UNION ALL SELECT 'dbscan', p_partkey, CASE WHEN label = 'outlier' THEN -1 ELSE 1 END FROM d_lab "
+    f"UNION ALL SELECT 'lof', p_partkey, prediction FROM ({LOF_SQL}) "
+    f"UNION ALL SELECT 'mahalanobis', p_partkey, prediction FROM ({_maha_sql(fx.PARTS2D_SQL, 'p_partkey')}))",
+    "pr AS (SELECT alg, label, prediction FROM found JOIN truth USING (p_partkey))",
+    "ct AS (SELECT alg, label, prediction, count(*)::DOUBLE AS nij FROM pr GROUP BY ALL)",
+    "pc AS (SELECT alg, sum(nij * (nij - 1) / 2) AS sij, sum(nij) * (sum(nij) - 1) / 2 AS total FROM ct GROUP BY alg)",
+    "pa AS (SELECT alg, sum(ai * (ai - 1) / 2) AS sa FROM (SELECT alg, sum(nij) AS ai FROM ct GROUP BY alg, label) GROUP BY alg)",
+    "pb AS (SELECT alg, sum(bj * (bj - 1) / 2) AS sb FROM (SELECT alg, sum(nij) AS bj FROM ct GROUP BY alg, prediction) GROUP BY alg)",
+    "ri AS (SELECT alg, sij, sa * sb / total AS expected, (sa + sb) / 2 AS mx FROM pc JOIN pa USING (alg) JOIN pb USING (alg))",
+    "cf AS (SELECT alg, count_if(label = 1 AND prediction = 1) AS data_found, "
+    "count_if(label = 1 AND prediction = -1) AS data_not_found, count_if(label = -1 AND prediction = -1) AS outliers_found, "
+    "count_if(label = -1 AND prediction = 1) AS outliers_not_found FROM pr GROUP BY alg)"],
+    "SELECT alg, data_found, data_not_found, outliers_found, outliers_not_found, outliers_found + data_not_found AS n_outliers, "
+    "CASE WHEN 2 * outliers_found + data_not_found + outliers_not_found = 0 THEN 0.0 ELSE round(CAST(2 * outliers_found AS DOUBLE) "
+    "/ (2 * outliers_found + data_not_found + outliers_not_found), 9) END AS f1, "
+    "CASE WHEN mx = expected THEN 1.0 ELSE round((sij - expected) / (mx - expected), 9) END AS adjusted_rand "
+    "FROM cf JOIN ri USING (alg)"))
+def q_compare_detectors(spark, sf_dir):
+    """The detector, DBSCAN's noise, LOF and Mahalanobis distances on the same parts."""
+    df, idc, feats = fx.parts2d(spark, sf_dir)
+    truth = fx.table(spark, sf_dir, "part").select(idc, F.when(F.expr(_NOISE), -1).otherwise(1).alias("label"))
+    t = compare.compare(df.join(truth, idc), feats, "label", 3.37, 12, CONTAM, LOF_K, _COMPARED)
+    return t.withColumns({c: F.round(c, 9) for c in ("f1", "adjusted_rand")})

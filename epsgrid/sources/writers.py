@@ -12,12 +12,6 @@ from pyspark.sql import functions as F
 from ..operators.dataset import with_row_index
 
 
-def write_points_csv(df: DataFrame, path: str, features: list[str], header: bool = False,
-                     mode: str = "overwrite") -> None:
-    """Features as ``a,b,c`` lines (the outlier-list format)."""
-    df.select(*features).write.mode(mode).option("header", header).csv(path)
-
-
 def write_outliers(outliers: DataFrame, path: str, features: list[str], keep_id: str | None = None,
                    fmt: str = "csv", mode: str = "overwrite") -> None:
     """Write an outlier list: features only as CSV text by default.

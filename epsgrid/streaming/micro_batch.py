@@ -13,7 +13,6 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.detect import detect
@@ -30,8 +29,8 @@ def detect_stream(stream: DataFrame, features: list[str], eps: float, min_pts: i
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         det = detect(batch, features, eps, min_pts, id_col, **kw)
         try:
-            (det.outliers.withColumn("batch_id", F.lit(batch_id))
-             .write.mode("overwrite").parquet(os.path.join(output_path, f"batch_id={batch_id}")))
+            # readers take batch_id from the folder's name
+            det.outliers.write.mode("overwrite").parquet(os.path.join(output_path, f"batch_id={batch_id}"))
         finally:
             det.release()
 

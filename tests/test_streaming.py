@@ -15,4 +15,5 @@ def test_stream_batches_match_batch_detection(spark):
     q.awaitTermination(300)
     got = spark.read.parquet(out)
     want = detect(df, feats, 23.1, 8, idc).outliers
+    assert sorted(got.columns) == sorted([*want.columns, "batch_id"])
     assert sorted(r[0] for r in got.select(idc).collect()) == sorted(r[0] for r in want.select(idc).collect())
