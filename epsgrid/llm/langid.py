@@ -22,11 +22,16 @@ from pyspark.sql import functions as F
 from epsgrid.llm.common import chunks, fold, held_out, map_arrow, pick, prepare
 from epsgrid.session import scratch_path
 
-BITS = 12                    # bits of one packed symbol; 0 is the word border
-SYMBOLS = (1 << BITS) - 1    # letters are hashed to 1 .. SYMBOLS by their code point
+BITS = 16                    # bits of one packed symbol; 0 is the word border
+SYMBOLS = (1 << BITS) - 1    # a letter is its code point; those beyond 16 bits share symbols with others
 WORDS_KEPT = 200_000         # words remembered by a worker
 
 
+def low_bits(n: int) -> int:
+    """Mask of the last ``n`` symbols of a packed n-gram (a 64-bit number with sign)."""
+    return -1 if BITS * n >= 64 else (1 << BITS * n) - 1
+
+
 def letter_runs(token: str) -> list[str]:
     if token.isalpha():
         return [token]
@@ -95,7 +100,7 @@ def kneser_ney(counts: DataFrame, order: int) -> DataFrame:
     """
     level = {order: counts}
     for n in range(order - 1, 0, -1):
-        level[n] = (level[n + 1].groupBy("lang", F.col("gram").bitwiseAND((1 << (BITS * n)) - 1).alias("gram"))
+        level[n] = (level[n + 1].groupBy("lang", F.col("gram").bitwiseAND(low_bits(n)).alias("gram"))
                     .agg(F.count("*").alias("c")))
     out = None
     for n, t in level.items():
@@ -103,7 +108,7 @@ def kneser_ney(counts: DataFrame, order: int) -> DataFrame:
                                       F.sum((F.col("c") == 2).cast("long")).alias("n2"))
                 .select("lang", F.when(F.col("n1") > 0, F.col("n1") / (F.col("n1") + 2 * F.col("n2")))
                         .otherwise(0.5).alias("d")))
-        t = t.join(F.broadcast(rich), "lang").withColumn("h", F.shiftright("gram", BITS))  # a row a language
+        t = t.join(F.broadcast(rich), "lang").withColumn("h", F.shiftrightunsigned("gram", BITS))  # a row a language
         ctx = t.groupBy("lang", "h").agg(F.sum("c").alias("total"), F.count("*").alias("types"),
                                          F.first("d").alias("d"))
         g = (t.drop("d").join(ctx, ["lang", "h"])
@@ -117,33 +122,6 @@ def kneser_ney(counts: DataFrame, order: int) -> DataFrame:
     return out
 
 
-def bounded(table: DataFrame, max_entries: int) -> DataFrame:
-    """The most counted entries of each (kind, n, lang), all tables together at most
-    ``max_entries``: a cut by classes of the count, so the bound is exact.  ``train`` does
-    not use it: cut tables lose probability mass."""
-    cls = F.floor(F.log2(F.col("c").cast("double")) * 8).cast("int")
-    hist = table.groupBy("kind", "n", "lang", cls.alias("cls")).agg(F.count("*").alias("m")).collect()
-    tables: dict = {}
-    for r in hist:
-        tables.setdefault((r.kind, r.n, r.lang), []).append((r.cls, r.m))
-    if sum(m for v in tables.values() for _, m in v) <= max_entries:
-        return table
-    share, keep = max_entries // len(tables), []
-    for (kind, n, lang), v in tables.items():
-        total, low = 0, None
-        for c, m in sorted(v, reverse=True):
-            total += m
-            if total > share:
-                break
-            low = c
-        if low is not None:
-            keep.append((kind, n, lang, low))
-    spark = table.sparkSession
-    cut = spark.createDataFrame(keep, "kind string, n int, lang string, low int")
-    return (table.withColumn("cls", cls).join(F.broadcast(cut), ["kind", "n", "lang"])
-            .where("cls >= low").drop("cls", "low"))
-
-
 class Languages:
     """The learned languages with their calibration, and the decision on summed scores."""
 
@@ -209,8 +187,8 @@ class Model(Languages):
         for i in range(len(self.langs)):
             p = np.full(len(uniq), 1.0 / (SYMBOLS + 1))
             for k in range(1, self.order + 1):
-                g = uniq & ((1 << (BITS * k)) - 1)
-                p = self._find("g", k, i, g, 0.0) + self._find("h", k, i, g >> BITS, 1.0) * p
+                g = uniq & low_bits(k)
+                p = self._find("g", k, i, g, 0.0) + self._find("h", k, i, g >> BITS & low_bits(k - 1), 1.0) * p
             out[:, i] = np.add.reduceat(-np.log(np.maximum(p, 1e-12))[inv], starts)
         out[:, -1] = sizes
         return out
@@ -294,11 +272,11 @@ class JoinedModel(Languages):
                .groupBy("gram").agg(F.sum("c").alias("c")).checkpoint())
         table = texts.sparkSession.read.parquet(self.path)
         for k in range(1, order + 1):
-            gram = F.col("gram").bitwiseAND((1 << (BITS * k)) - 1)
-            for kind, key, symbols in (("g", gram, k), ("h", F.shiftright(gram, BITS), k - 1)):
+            gram = F.col("gram").bitwiseAND(low_bits(k))
+            for kind, key, symbols in (("g", gram, k), ("h", F.shiftrightunsigned(gram, BITS), k - 1)):
                 t = (table.where((F.col("kind") == kind) & (F.col("n") == k))
                      .groupBy("key").agg(F.collect_list(F.struct("i", "value")).alias(f"{kind}{k}")))
-                t = F.broadcast(t) if symbols < 2 else t  # at most 4,096 keys, each in many n-grams
+                t = F.broadcast(t) if symbols < 2 else t  # at most 65,536 keys, each in many n-grams
                 out = out.withColumn("key", key).join(t, "key", "left").drop("key")
 
         def score(batches):
@@ -421,8 +399,11 @@ def train(docs: DataFrame, order: int = 4, max_entries: int = 2_000_000,
     calibration texts read backwards stand: mixed languages or codes in a text don't suffice.
 
     ``max_entries`` bounds what the driver collects and broadcasts: a larger model is written
-    and joined, with the same results up to the rounding of sums.
+    and joined, with the same results up to the rounding of sums.  An n-gram is one 64-bit
+    number, so ``order`` is at most 4.
     """
+    if not 2 <= order <= 64 // BITS:
+        raise ValueError(f"order must be from 2 to {64 // BITS}")
     prepare(docs.sparkSession)
     src = pick(docs, "doc_id", "text", "lang").where(
         ~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())

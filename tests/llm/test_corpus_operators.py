@@ -124,8 +124,22 @@ def test_kneser_ney_sums_to_one(spark, make_docs):
         g = ((a << langid.BITS) | seen) & ((1 << langid.BITS * k) - 1)
         p = m._find("g", k, 0, g, 0.0) + m._find("h", k, 0, g >> langid.BITS, 1.0) * p
     assert abs(p.sum() - 1) < 1e-9
-    small = langid.bounded(langid.kneser_ney(counts, 3), 12)
-    assert small.count() <= 12
+
+
+def test_letters_of_large_scripts_stay_apart(spark, make_docs):
+    """Letters 4,095 code points apart, and n-grams whose number has its sign bit set."""
+    han, far = "\u4e2d\u6587\u5b57", "".join(chr(ord(c) + 4095) for c in "\u4e2d\u6587\u5b57")
+    hangul = "\ud55c\uae00\ub9d0"
+    ids = range(0, 400, 2)
+    docs = make_docs([(i, f"{w} " * 12, lang) for j, (w, lang) in enumerate([(han, "a"), (far, "b"), (hangul, "c")])
+                      for i in range(1000 * j, 1000 * j + 200)])
+    assert langid.word_grams([hangul + "\uffdc"], 4)[0].min() < 0
+    whole, large = langid.train(docs), langid.train(docs, max_entries=10)
+    for model in (whole, large):
+        got = langid.identify(docs, model, keep=("lang",)).toPandas()
+        assert (got.lang == got.lang_pred).all() and not got.rejected.any() and len(got) == 600
+    with pytest.raises(ValueError):
+        langid.train(docs, order=5)
 
 
 def test_language_held_out_and_edges(spark, odd_docs):
