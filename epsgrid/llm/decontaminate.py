@@ -8,6 +8,8 @@ Myers' bit-parallel approximate matching.
 
 from __future__ import annotations
 
+import math
+
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -106,31 +108,30 @@ class Matcher:
         return sorted(out, key=lambda x: (x[0] is None, x[0]))
 
 
-def item_blocks(benchmark: DataFrame, block_chars: int) -> list[list[tuple[int, str]]]:
-    """The items in blocks of bounded size.  Items come to the driver one block's worth after
-    another; a benchmark is the stated query set that all rows are searched for."""
-    items = pick(benchmark, "item_id", "text").where(F.col("text").isNotNull()).distinct().orderBy("item_id", "text")
-    out, part, n = [], [], 0
-    for r in items.toLocalIterator():
-        if part and n + len(r.text) > block_chars:
-            out.append(part)
-            part, n = [], 0
-        part.append((r.item_id, r.text))
-        n += len(r.text)
-    return out + [part] if part else out
-
-
-def _search(docs: DataFrame, items: list, chars_per_edit: int, schema: str, rows_of) -> DataFrame:
-    """Map over documents with one broadcast block of items; ``rows_of(batch, found)`` makes
-    the output batch from the matches of each row."""
-    shared = docs.sparkSession.sparkContext.broadcast((items, chars_per_edit))
+def item_blocks(benchmark: DataFrame, block_chars: int) -> tuple[DataFrame, int]:
+    """(item_id, text, block), written, and the number of blocks: the distinct items dealt to blocks of
+    about ``block_chars`` characters by a hash.  The driver holds one block at a time."""
+    items = pick(benchmark, "item_id", "text").where(F.col("text").isNotNull()).distinct()
+    size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    n = math.ceil(size / block_chars)
+    block = F.pmod(F.xxhash64("item_id", "text", F.lit(8)), F.lit(max(n, 1))).cast("int")
+    return items.withColumn("block", block).checkpoint(), n
+
+
+def _search(docs: DataFrame, items: DataFrame, block: int, chars_per_edit: int, schema: str, rows_of) -> DataFrame:
+    """Map over documents with one broadcast block of items; ``rows_of(batch, found, ids)`` makes
+    the output batch from the matches of each row, whose items are places in ``ids``."""
+    part = items.where(F.col("block") == block).orderBy("item_id", "text").toArrow()
+    shared = docs.sparkSession.sparkContext.broadcast(
+        (part.column("item_id").combine_chunks(), part.column("text").to_pylist(), chars_per_edit))
     made: dict = {}
 
     def run(batches):
+        ids, texts, per_edit = shared.value
         if "m" not in made:
-            made["m"] = Matcher(*shared.value)
+            made["m"] = Matcher(list(enumerate(texts)), per_edit)
         for batch in batches:
-            yield rows_of(batch, [made["m"].matches(t.as_py() or "") for t in batch.column("text")])
+            yield rows_of(batch, [made["m"].matches(t.as_py() or "") for t in batch.column("text")], ids)
 
     return map_arrow(docs, run, schema)
 
@@ -153,28 +154,32 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, chars_per_edit: int
     schema = f"doc_id {ids}, item_id {pick(benchmark, 'item_id').schema[0].dataType.simpleString()}, " \
              "distance int, match_end long"
 
-    def rows_of(batch, found):
+    def rows_of(batch, found, items):
         at = [i for i, f in enumerate(found) for _ in f]
         flat = [x for f in found for x in f]
         return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id").take(pa.array(at, pa.int32())), pa.array([x[0] for x in flat], pa.int64()),
+            [batch.column("doc_id").take(pa.array(at, pa.int32())), items.take(pa.array([x[0] for x in flat], pa.int32())),
              pa.array([x[1] for x in flat], pa.int32()), pa.array([x[2] for x in flat], pa.int64())],
             ["doc_id", "item_id", "distance", "match_end"])
 
     out = spark.createDataFrame([], schema)
-    for items in item_blocks(benchmark, block_chars):
-        part = _search(src, items, chars_per_edit, schema, rows_of)
-        out = part if out.isLocal() else out.unionByName(part)
+    items, n = item_blocks(benchmark, block_chars)
+    for block in range(n):
+        part = _search(src, items, block, chars_per_edit, schema, rows_of)
+        out = part if not block else out.unionByName(part)
     return out
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, columns: tuple[str, ...],
                       chars_per_edit: int = CHARS_PER_EDIT, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The rows of ``docs`` that hold no item, with ``columns``; a map, row by row."""
+    """The rows of ``docs`` that hold no item, with ``columns``; a map, row by row.  What a block of
+    items leaves is written before the next one, so a worker holds one block at a time."""
     prepare(docs.sparkSession)
     out = pick(docs, *columns)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in out.schema.fields)
-    for items in item_blocks(benchmark, block_chars):
-        out = _search(out, items, chars_per_edit, schema,
-                      lambda batch, found: batch.filter(pa.array([not f for f in found], pa.bool_())))
+    items, n = item_blocks(benchmark, block_chars)
+    for block in range(n):
+        out = _search(out, items, block, chars_per_edit, schema,
+                      lambda batch, found, _: batch.filter(pa.array([not f for f in found], pa.bool_())))
+        out = out.checkpoint() if block + 1 < n else out
     return out
