@@ -8,6 +8,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from epsgrid.llm.common import map_arrow
@@ -58,20 +59,21 @@ def plain_words(text: str) -> list[bytes]:
 
 
 def collect_features(rows: DataFrame, feature) -> tuple[list, np.ndarray]:
-    """Features and labels of (doc_id, text, y) rows, ordered by id.  The rows are a bounded
-    sample and only their features come to the driver."""
+    """Features and labels of (doc_id, text, y) rows, ordered by id, which may be of any type that
+    sorts.  The rows are a bounded sample and only their features come to the driver."""
 
     def run(batches):
         for batch in batches:
             for i, text, y in zip(*[batch.column(k).to_pylist() for k in range(3)]):
                 idx, val = feature(text or "")
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([i]), pa.array([idx.tolist()], pa.list_(pa.int32())),
+                    [pa.array([i], batch.column(0).type), pa.array([idx.tolist()], pa.list_(pa.int32())),
                      pa.array([val.tolist()], pa.list_(pa.float32())), pa.array([float(y)])],
                     ["doc_id", "idx", "val", "y"])
 
-    table = map_arrow(rows, run, "doc_id long, idx array<int>, val array<float>, y double").toArrow()
-    order = np.argsort(table.column("doc_id").to_numpy(), kind="stable")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    table = map_arrow(rows, run, f"doc_id {kind}, idx array<int>, val array<float>, y double").toArrow()
+    order = pc.sort_indices(table.column("doc_id")).to_numpy()  # stable
     idx, val = table.column("idx").to_pylist(), table.column("val").to_pylist()
     y = table.column("y").to_numpy()
     return [(np.array(idx[i], dtype=np.int64), np.array(val[i])) for i in order], y[order]
