@@ -29,6 +29,10 @@ Plan (every step is a DataFrame join / aggregation; nothing is collected):
    core cells: if any is near, the point is border, otherwise an outlier
    (anti join; cells without core neighbours need no distance test).
 
+Where a cell has more than ``max_offsets`` candidate neighbours (five dimensions and more), the
+occupied neighbour pairs grow with the square of the points, so both tests run without them
+(:mod:`.reach`), whatever the strategy: points meet growing rounds of candidates until enough are near.
+
 Strategies for the two distance joins (same results):
 
 * ``shuffle``: hash joins on ``(cell, salt)``;
@@ -59,6 +63,7 @@ from ..session import checkpoint_dir
 from .grid import (DEFAULT_MAX_OFFSETS, assign_cells, ccols, cell_counts, cell_types,
                    explode_salts, fcols, neighbor_cells, number_points, salted_points,
                    validate_params, with_buckets)
+from .reach import reached
 
 log = logging.getLogger(__name__)
 
@@ -265,6 +270,15 @@ class Detection:
         """Adjacency rows, written down once where the size check and the join both read them."""
         return self._materialize(adj) if self._may_broadcast else adj
 
+    @property
+    def by_rounds(self) -> bool:
+        """Whether cells have too many candidate neighbours for a list of them."""
+        return count_offsets(self.cfg.dim, inclusive=self.cfg.inclusive) > self.cfg.max_offsets
+
+    def _reached(self, queries: DataFrame, targets: DataFrame, needed: int) -> DataFrame:
+        checkpoint_dir(self.spark)
+        return reached(queries, targets, self.cfg.dim, self.cfg.eps, needed, self.cfg.inclusive)
+
     # ------------------------------------------------------------------ cells
     @property
     def dense_cells(self) -> DataFrame:
@@ -277,7 +291,7 @@ class Detection:
     def _adjacent(self, src: DataFrame, dst: DataFrame, dst_cols: tuple, src_cols: tuple = ()) -> DataFrame:
         """Neighbour pairs of ``src`` and ``dst`` cells.  Where these come from the hierarchy of cells
         (high dimensions), all pairs are found once, kept, and joined with either side."""
-        if count_offsets(self.cfg.dim, inclusive=self.cfg.inclusive) <= self.cfg.max_offsets:
+        if not self.by_rounds:
             return neighbor_cells(src, dst, self.cfg.dim, self.cfg.inclusive, dst_cols, self.cfg.max_offsets,
                                   src_cols=src_cols)
         if "adjacency" not in self._cache:
@@ -399,8 +413,12 @@ class Detection:
     def partial_core(self) -> DataFrame:
         """Core points found inside non-dense cells: (pid, f.., c..)."""
         if "partial" not in self._cache:
-            self._cache["partial"] = self._materialize(self.neighbor_counts().filter(
-                F.col("cnt") >= F.lit(self.cfg.min_pts)).drop("cnt"))
+            if self.by_rounds:
+                core = self._reached(self.nondense_points, self.points, self.cfg.min_pts)
+                found = self.nondense_points.join(core, "pid", "left_semi").select("pid", *self.F, *self.C)
+            else:
+                found = self.neighbor_counts().filter(F.col("cnt") >= F.lit(self.cfg.min_pts)).drop("cnt")
+            self._cache["partial"] = self._materialize(found)
         return self._cache["partial"]
 
     # ------------------------------------------------------------- cell types
@@ -446,6 +464,8 @@ class Detection:
         Semi joins with the distance as residual condition: a point's row for one
         neighbour bucket ends at the first core point in reach, and no pair is built.
         """
+        if "near" not in self._cache and self.by_rounds:
+            self._cache["near"] = self._reached(self.noncore_points, self.core_points_internal, 1)
         if "near" not in self._cache:
             src = self.other_cells.select(*self.C, F.col("nb").alias("nb_src"), F.col("n").alias("n_src"))
             adj2 = self._kept(self.core_neighbors(src, src_cols=("nb_src", "n_src")))

@@ -17,19 +17,21 @@ from pyspark.sql import functions as F
 from ..functions import within
 from .grid import fcols
 
-FIRST_ROUND = 1 << 10      # candidates of the first round
-GROWTH = 4                 # each round brings the candidates seen to so many times those before
-AXES = 3                   # axes (the widest) of the coarse cells of a round's join
-TESTS_PER_TASK = 1 << 24   # distance tests of a coarse cell above which its candidates are split
-ROWS_PER_BUCKET = 1 << 20  # most candidates of a bucket of a coarse cell
+FIRST_ROUND = 1 << 10        # candidates of the first round
+GROWTH = 4                   # each round brings the candidates seen to so many times those before
+AXES = 3                     # axes (the widest) of the coarse cells of a round's join
+BLOCK = (1 << 13, 1 << 11)   # most points and candidates (about) of a coarse cell that meet under one key
+TESTS_PER_TASK = 1 << 25     # distance tests (about) of a task
 SHARES = 1 << 30
-WIDER = 1 + 2.0 ** -10     # coarse cells are wider than eps by this, so rounding moves no pair apart
+WIDER = 1 + 2.0 ** -10       # coarse cells are wider than eps by this, so rounding moves no pair apart
 
 
 def _hits(todo: DataFrame, part: DataFrame, axes: list[int], dim: int, eps: float, inclusive: bool,
           spread_queries: bool) -> DataFrame:
     """(pid, hits): the weights of the rows of ``part`` that are near each point, summed.  Of the two
-    sides the smaller is repeated to the coarse cells next to its own."""
+    sides the smaller is repeated to the coarse cells next to its own.  Within a coarse cell both
+    sides are dealt to blocks of bounded size and every pair of blocks is a key of its own, so a
+    region with any share of the rows is many tasks' work and a row travels once per block it meets."""
     A, Q, P = [f"a{i}" for i in axes], fcols(dim, "q_"), fcols(dim, "p_")
     cell = lambda i: F.floor(F.col(f"f{i}") / F.lit(eps * WIDER)).cast("bigint").alias(f"a{i}")
     q = todo.select("pid", *[F.col(f"f{i}").alias(c) for i, c in enumerate(Q)], *map(cell, axes))
@@ -41,25 +43,32 @@ def _hits(todo: DataFrame, part: DataFrame, axes: list[int], dim: int, eps: floa
         return df
 
     q, p = (beside(q), p) if spread_queries else (q, beside(p))
-    tests = (q.groupBy(*A).agg(F.count(F.lit(1)).alias("_q")).join(p.groupBy(*A).agg(F.count(F.lit(1)).alias("_p")), A)
-             .select(*A, (F.col("_q").cast("double") * F.col("_p")).alias("t"), F.ceil(F.greatest(
-                 F.col("_q").cast("double") * F.col("_p") / TESTS_PER_TASK, F.col("_p") / ROWS_PER_BUCKET)).cast("int").alias("nb"))
-             .checkpoint())
-    total = tests.agg(F.coalesce(F.sum("t"), F.lit(0.0))).first()[0]
+    held = lambda df, n: df.groupBy(*A).agg(F.count(F.lit(1)).alias(n))
+    blocks = lambda n, most: F.ceil(F.col(n) / F.lit(float(most))).cast("int")
+    cells = held(q, "_q").join(held(p, "_p"), A).select(
+        *A, (F.col("_q").cast("double") * F.col("_p")).alias("t"),
+        blocks("_q", BLOCK[0]).alias("qb"), blocks("_p", BLOCK[1]).alias("pb")).checkpoint()
+    total = cells.agg(F.coalesce(F.sum("t"), F.lit(0.0))).first()[0]
     # a number given here is kept: few bytes are many tests, so partitions must not be merged
     tasks = max(2 * todo.sparkSession.sparkContext.defaultParallelism, int(total / TESTS_PER_TASK))
-    q = q.join(tests.select(*A, "nb"), A).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).drop("nb")
-    p = p.join(tests.select(*A, "nb"), A).withColumn("salt", F.pmod(F.xxhash64(*P), F.col("nb")).cast("int")).drop("nb")
-    pairs = q.repartition(tasks, *A, "salt").join(p.repartition(tasks, *A, "salt"), [*A, "salt"])
+    own = lambda cols, n: F.pmod(F.xxhash64(*cols), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    at = cells.select(*A, "qb", "pb")
+    q = q.join(at, A).withColumn("sq", own(["pid"], "qb")).withColumn("sp", each("pb")).drop("qb", "pb")
+    p = p.join(at, A).withColumn("sp", own(P, "pb")).withColumn("sq", each("qb")).drop("qb", "pb")
+    key = [*A, "sq", "sp"]
+    pairs = q.repartition(tasks, *key).join(p.repartition(tasks, *key), key)
     return pairs.filter(within(Q, P, eps, inclusive)).groupBy("pid").agg(F.sum("w").alias("hits"))
 
 
-def reached(queries: DataFrame, targets: DataFrame, dim: int, eps: float, needed: int, inclusive: bool, keep) -> DataFrame:
+def reached(queries: DataFrame, targets: DataFrame, dim: int, eps: float, needed: int, inclusive: bool) -> DataFrame:
     """``pid`` of the points ``(pid, f0..)`` of ``queries`` that at least ``needed`` of ``targets`` are near.
-    Targets with equal coordinates are one candidate with a weight; ``keep`` computes a frame once."""
+    Targets with equal coordinates are one candidate with a weight.  Each round is
+    written to the checkpoint folder: a round on kept frames would carry the plans of all before it."""
     cols = fcols(dim)
-    t = keep(targets.groupBy(*cols).agg(F.count(F.lit(1)).alias("w")).withColumn("_u", F.pmod(F.xxhash64(*cols), F.lit(SHARES))))
-    todo = keep(queries.select("pid", *cols, F.lit(0).cast("bigint").alias("_n")))
+    t = (targets.groupBy(*cols).agg(F.count(F.lit(1)).alias("w"))
+         .withColumn("_u", F.pmod(F.xxhash64(*cols), F.lit(SHARES))).checkpoint())
+    todo = queries.select("pid", *cols, F.lit(0).cast("bigint").alias("_n")).checkpoint()
     r = t.agg(F.count(F.lit(1)).alias("n"), *[(F.max(f) - F.min(f)).alias(f) for f in cols]).first()
     n, left, found = r["n"], todo.count(), []
     axes = sorted(sorted(range(dim), key=lambda i: -(r[f"f{i}"] or 0.0))[:AXES])
@@ -68,8 +77,8 @@ def reached(queries: DataFrame, targets: DataFrame, dim: int, eps: float, needed
         high = SHARES if size >= n else max(low + 1, SHARES * size // n)
         part = t.filter((F.col("_u") >= low) & (F.col("_u") < high))
         hits = _hits(todo, part, axes, dim, eps, inclusive, left < n * (high - low) / SHARES)
-        seen = keep(todo.join(hits, "pid", "left").select(
-            "pid", *cols, (F.col("_n") + F.coalesce(F.col("hits"), F.lit(0))).alias("_n")))
+        seen = todo.join(hits, "pid", "left").select(
+            "pid", *cols, (F.col("_n") + F.coalesce(F.col("hits"), F.lit(0))).alias("_n")).checkpoint()
         found.append(seen.filter(F.col("_n") >= needed).select("pid"))
         todo = seen.filter(F.col("_n") < needed)
         left, low, size = todo.count(), high, size * GROWTH

@@ -5,7 +5,7 @@ from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from epsgrid import detect
-from epsgrid.operators import grid, neighbors
+from epsgrid.operators import grid, neighbors, reach
 from epsgrid.plans.sweep import counts_only, eps_profile, sweep_eps
 from epsgrid.session import checkpoint_dir, scratch_path
 from epsgrid.sources import readers
@@ -63,6 +63,20 @@ def test_labels_in_high_dimensions(spark, dim):
     det.release()
 
 
+@pytest.mark.parametrize("dim,inclusive", [(5, True), (6, False)])
+def test_labels_in_high_dimensions_without_pairs_of_cells(spark, monkeypatch, dim, inclusive):
+    """Many rounds, several blocks a coarse cell, piles of equal points; no table of neighbour cells."""
+    monkeypatch.setattr(reach, "FIRST_ROUND", 16)
+    monkeypatch.setattr(reach, "BLOCK", (32, 8))
+    rng = np.random.default_rng(dim)
+    X = np.concatenate([rng.normal(0, 1, (250, dim)), np.repeat(rng.normal(0, 2, (12, dim)), 5, 0), rng.integers(-4, 5, (60, dim))])
+    det = detect(frame(spark, X), feats(X), 2.0, 6, "id", inclusive=inclusive)
+    want = brute_labels(X, 2.0, 6, inclusive)
+    assert labels_of(det.labels, "id") == dict(enumerate(want)) and len(set(want)) == 3
+    assert "adjacency" not in det._cache
+    det.release()
+
+
 # ---------------------------------------------------------------- k-NN
 def brute_knn(X, k, include_self):
     d = np.sqrt(((X[:, None, :] - X[None, :, :]) ** 2).sum(-1))
