@@ -24,8 +24,12 @@ Plan:
    cut into children and pruned again, never joined whole.
 4. **Pairs.** The points of a leaf prune the leaf's list once more by their own
    distances, and meet the points of what is left: at most ``leaf`` pairs per list
-   entry, whatever share of the points one region holds.  The ``k`` nearest are kept
-   by a window whose map side keeps ``k`` rows a query already.
+   entry, whatever share of the points one region holds; pairs beyond the point's reach
+   are dropped on the spot.  The ``k`` nearest are kept by a window whose map side keeps
+   ``k`` rows a query already.
+
+The lists of both steps are pruned where the join has put them: the windows' keys begin with
+the join's, so the unpruned pairs are never shuffled.
 
 Each level of the tree and of the descent is checkpointed to the shared folder.
 """
@@ -50,6 +54,7 @@ MAX_BROADCAST_ROWS = 2_000_000  # bound on the hot-coordinate list
 
 DEPTH, BITS = 24, 2  # levels of the tree, bits of a coordinate per level
 PASS = 3             # levels counted in one pass over the points
+MAX_BROADCAST_CELLS = 200_000  # cells of a pass that are broadcast to the points
 SLACK = 1e-9         # relative room for rounding in comparisons of cell distances
 
 
@@ -58,24 +63,26 @@ def _cell(level: str, z: list[str], prefix: str) -> list:
     return [F.expr(f"shiftright({c}, {BITS} * ({DEPTH} - {level}))").alias(f"{prefix}{i}") for i, c in enumerate(z)]
 
 
-def _tree(pts: DataFrame, dim: int, leaf: int, n: int) -> tuple[DataFrame, DataFrame]:
-    """``(nodes, points)``: cells ``(l, c0.., n, leaf)`` whose parent holds more than ``leaf``
+def _tree(pts: DataFrame, dim: int, leaf: int, n: int) -> tuple[DataFrame, DataFrame, float]:
+    """``(nodes, points, span)``: cells ``(l, c0.., n, leaf)`` whose parent holds more than ``leaf``
     points, and the points ``(pid, f0.., y0.., l, c0..)`` with their leaf; ``y`` are the
-    coordinates as shares of the widest axis."""
+    coordinates as shares of the widest axis, ``span`` wide."""
     F_, C, Y, Z = fcols(dim), ccols(dim), fcols(dim, "y"), fcols(dim, "z")
     r = pts.agg(*[g(f).alias(f"{k}{f}") for f in F_ for k, g in (("lo", F.min), ("hi", F.max))]).first()
     span = max(float(r[f"hi{f}"] - r[f"lo{f}"]) for f in F_) * (1 + 2.0 ** -40) or 1.0
-    at = pts.withColumns({y: (F.col(f) - F.lit(float(r[f"lo{f}"]))) / F.lit(span) for y, f in zip(Y, F_)})
-    at = at.withColumns({z: F.floor(F.col(y) * F.lit(2.0 ** (BITS * DEPTH))) for z, y in zip(Z, Y)})
+    share = [(F.col(f) - F.lit(float(r[f"lo{f}"]))) / F.lit(span) for f in F_]
+    # both follow from the coordinates and are not written with them
+    with_y = lambda df: df.select("pid", *F_, *[y.alias(a) for y, a in zip(share, Y)], "l", *C)
+    with_z = lambda df: df.withColumns({z: F.floor(y * F.lit(2.0 ** (BITS * DEPTH))) for z, y in zip(Z, share)})
     root = pts.sparkSession.range(1).select(F.lit(0).alias("l"), *[F.lit(0).cast("bigint").alias(c) for c in C],
                                             F.lit(n).cast("bigint").alias("n"), F.lit(n <= leaf).alias("leaf"))
-    own = ["pid", *F_, *Y]
+    own = ["pid", *F_]
     if n <= leaf:
-        return root, at.select(*own, F.lit(0).alias("l"), *[F.lit(0).cast("bigint").alias(c) for c in C])
-    nodes, done, active, base = [root], [], at, 0
+        return root, with_y(pts.select(*own, F.lit(0).alias("l"), *[F.lit(0).cast("bigint").alias(c) for c in C])), span
+    nodes, done, active, base = [root], [], pts.select(*own), 0
     while base < DEPTH:
-        ex = active.select(*own, *Z, F.explode(F.sequence(F.lit(base + 1), F.lit(base + PASS))).alias("l"))
-        ex = ex.select("*", *_cell("l", Z, "c"))
+        ex = active.select(*own, F.explode(F.sequence(F.lit(base + 1), F.lit(base + PASS))).alias("l"))
+        ex = with_z(ex).select(*own, "l", *_cell("l", Z, "c"))
         counts = ex.groupBy("l", *C).agg(F.count(F.lit(1)).alias("n")).checkpoint()
         heavy = counts.filter(F.col("n") > leaf).select((F.col("l") + 1).alias("l"), *[F.col(c).alias(f"u{c}") for c in C])
         up = counts.withColumns({f"u{c}": F.shiftright(c, BITS) for c in C})
@@ -84,25 +91,29 @@ def _tree(pts: DataFrame, dim: int, leaf: int, n: int) -> tuple[DataFrame, DataF
                 .withColumn("leaf", (F.col("n") <= leaf) | (F.col("l") == DEPTH)).checkpoint())
         nodes.append(kept)
         last = kept.filter(F.col("leaf") | (F.col("l") == base + PASS)).select("l", *C, "leaf")
+        last = F.broadcast(last) if last.count() <= MAX_BROADCAST_CELLS else last
         placed = ex.join(last, ["l", *C]).checkpoint()
         done.append(placed.filter("leaf").select(*own, "l", *C))
-        active = placed.filter(~F.col("leaf")).select(*own, *Z)
+        active = placed.filter(~F.col("leaf")).select(*own)
         base += PASS
         if active.isEmpty():
             break
     both = lambda x: reduce(DataFrame.unionByName, x)
-    return both(nodes), both(done)
+    return both(nodes), with_y(both(done)), span
 
 
 def _pruned(pairs: DataFrame, key: list[str], near, far, cap: int) -> DataFrame:
-    """Rows whose least distance is at most the smallest greatest distance within which rows of
-    the same key hold ``cap`` points."""
+    """Rows whose least distance is at most ``reach``, the smallest greatest distance within which rows
+    of the same key hold ``cap`` points (infinite if they do not)."""
     w = Window.partitionBy(*key)
     held = F.sum("n").over(w.orderBy("_far").rowsBetween(Window.unboundedPreceding, 0))
     return (pairs.withColumn("_far", far).withColumn("_near", near).withColumn("_held", held)
-            .withColumn("_reach", F.min(F.when(F.col("_held") >= cap, F.col("_far"))).over(w))
-            .filter(F.col("_reach").isNull() | (F.col("_near") <= F.col("_reach") * (1 + SLACK) + 1e-15))
-            .drop("_far", "_near", "_held", "_reach"))
+            .withColumn("reach", F.coalesce(F.min(F.when(F.col("_held") >= cap, F.col("_far"))).over(w), F.lit(float("inf"))))
+            .filter(_in_reach(F.col("_near"), F.col("reach"))).drop("_far", "_near", "_held"))
+
+
+def _in_reach(distance, reach):
+    return distance <= reach * (1 + SLACK) + 1e-15
 
 
 def _box_distance(low: list, high: list, low2: list, high2: list) -> tuple:
@@ -114,7 +125,7 @@ def _box_distance(low: list, high: list, low2: list, high2: list) -> tuple:
 
 
 def _cell_lists(nodes: DataFrame, dim: int, cap: int) -> DataFrame:
-    """(ql, q0.., l, c0.., n): for every leaf the leaves that can hold one of the ``cap`` nearest
+    """(ql, q0.., l, c0.., n, reach): for every leaf the leaves that can hold one of the ``cap`` nearest
     points of a point in it, by a descent of pairs of cells from the root."""
     C, Q, P = ccols(dim), ccols(dim, "q"), ccols(dim, "u")
     child = nodes.filter("l > 0").select((F.col("l") - 1).alias("ul"), *[F.shiftright(c, BITS).alias(p) for c, p in zip(C, P)],
@@ -127,20 +138,23 @@ def _cell_lists(nodes: DataFrame, dim: int, cap: int) -> DataFrame:
     box = lambda lv, cs: ([F.col(c) * side(lv) for c in cs], [(F.col(c) + 1) * side(lv) for c in cs])
     root = nodes.filter("l = 0")
     todo = root.select(F.col("l").alias("ql"), *[F.col(c).alias(q) for c, q in zip(C, Q)], F.col("leaf").alias("q_leaf"),
-                       "l", *C, "n", "leaf")
-    done = []
+                       "l", *C, "n", "leaf", F.lit(float("inf")).alias("reach"), (~F.col("leaf")).cast("int").alias("open"))
+    done, up = [], ["uql", *[f"uq{i}" for i in range(dim)]]
+    near, far = _box_distance(*box("ql", Q), *box("l", C))
     while True:
-        ended = Window.partitionBy("ql", *Q)
-        todo = todo.withColumn("open", F.max((~F.col("leaf") | ~F.col("q_leaf")).cast("int")).over(ended)).checkpoint()
-        done.append(todo.filter("open = 0").select("ql", *Q, "l", *C, "n"))
-        todo = todo.filter("open = 1").drop("open")
+        todo = todo.checkpoint()
+        done.append(todo.filter("open = 0").select("ql", *Q, "l", *C, "n", "reach"))
+        todo = todo.filter("open = 1")
         if todo.isEmpty():
             break
         wide = todo.select(F.col("ql").alias("uql"), *[F.col(q).alias(f"uq{i}") for i, q in enumerate(Q)],
-                           F.col("l").alias("ul"), *[F.col(c).alias(p) for c, p in zip(C, P)])
-        wide = wide.join(q_down, ["uql", *[f"uq{i}" for i in range(dim)]]).join(down, ["ul", *P])
-        near, far = _box_distance(*box("ql", Q), *box("l", C))
-        todo = _pruned(wide.select("ql", *Q, "q_leaf", "l", *C, "n", "leaf"), ["ql", *Q], near, far, cap)
+                           F.col("l").alias("ul"), *[F.col(c).alias(p) for c, p in zip(C, P)], F.col("reach").alias("u_reach"))
+        # what holds for all points of the parent holds for those of the child
+        wide = wide.join(down, ["ul", *P]).join(q_down, up).filter(_in_reach(near, F.col("u_reach")))
+        own = [*up, "ql", *Q]
+        todo = _pruned(wide.select(*own, "q_leaf", "l", *C, "n", "leaf"), own, near, far, cap)
+        more = F.max((~F.col("leaf") | ~F.col("q_leaf")).cast("int")).over(Window.partitionBy(*own))
+        todo = todo.withColumn("open", more).drop(*up)
     return reduce(DataFrame.unionByName, done)
 
 
@@ -207,18 +221,20 @@ def candidate_pairs(pts: DataFrame, queries: DataFrame, dim: int, cap: int, n: i
     """(pid, p_pid, dist): the pairs that hold the ``cap`` nearest of ``pts`` for every query;
     ``queries`` are some of ``pts``, known by ``pid``."""
     F_, C, Q, Y = fcols(dim), ccols(dim), ccols(dim, "q"), fcols(dim, "y")
-    nodes, placed = _tree(pts, dim, leaf_rows(cap), n)
-    lists = _cell_lists(nodes, dim, cap).checkpoint()
+    nodes, placed, span = _tree(pts, dim, leaf_rows(cap), n)
+    lists = _cell_lists(nodes, dim, cap)
     asked = placed.join(queries.select("pid"), "pid", "left_semi").select(
         "pid", *F_, *Y, F.col("l").alias("ql"), *[F.col(c).alias(q) for c, q in zip(C, Q)])
     side = F.pow(F.lit(2.0), -F.col("l") * BITS)
     low, high = [F.col(c) * side for c in C], [(F.col(c) + 1) * side for c in C]
     own = [F.col(y) for y in Y]
     near, far = _box_distance(own, own, low, high)
-    rows = _pruned(asked.join(lists, ["ql", *Q]).select("pid", *F_, *Y, "l", *C, "n"), ["pid"], near, far, cap)
+    rows = asked.join(lists, ["ql", *Q]).filter(_in_reach(near, F.col("reach"))).drop("reach")
+    rows = _pruned(rows, ["ql", *Q, "pid"], near, far, cap).select("pid", *F_, "reach", "l", *C)
     right = placed.select(F.col("pid").alias("p_pid"), *[F.col(f).alias(f"p_{f}") for f in F_], "l", *C)
-    return (rows.join(right, ["l", *C])
-            .select("pid", "p_pid", euclid_distance(F_, [f"p_{f}" for f in F_]).alias("dist")))
+    dist = euclid_distance(F_, [f"p_{f}" for f in F_])
+    return (rows.join(right, ["l", *C]).filter(_in_reach(dist / F.lit(span), F.col("reach")))
+            .select("pid", "p_pid", dist.alias("dist")))
 
 
 def knn_points(pts: DataFrame, dim: int, k: int, include_self: bool = True) -> DataFrame:

@@ -109,6 +109,15 @@ def test_pairs_per_query_are_bounded_under_skew(spark):
     assert n == len(X) and most <= 30 * neighbors.leaf_rows(5) and mean < 5 * neighbors.leaf_rows(5)
 
 
+def test_pairs_beyond_the_reach_of_a_point_are_dropped(spark):
+    """Evenly spread points see a few times as many others as they ask for."""
+    checkpoint_dir(spark)
+    X = np.random.default_rng(2).uniform(0, 1, (3000, 2))
+    pts = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(X)], ["pid", "f0", "f1"])
+    pairs = neighbors.candidate_pairs(pts, pts, 2, 8, len(X))
+    assert 8 * len(X) <= pairs.count() < 6 * 8 * len(X)
+
+
 # ---------------------------------------------------------------- sweep
 @pytest.mark.parametrize("inclusive", [False, True])
 def test_one_profile_gives_the_labels_of_every_eps(spark, inclusive):
