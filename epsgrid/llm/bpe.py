@@ -14,7 +14,6 @@ agree on are emitted at once, so the lookahead is bounded by the longest token.
 from __future__ import annotations
 
 import base64
-import gc
 import hashlib
 import marshal
 import re
@@ -24,7 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from epsgrid.llm.common import map_arrow, pick, prepare
+from epsgrid.llm.common import keep_tables, map_arrow, pick, prepare
 
 # Letters, digits and white space below U+0250, for the same pattern in
 # the standard library's engine, which is twice as fast on such texts.
@@ -298,18 +297,10 @@ class Codec:
         return "".join(out) + utf.close()
 
 
-_CODECS: dict = {}
-
-
 def codec(raw: bytes, pattern: str, **limits) -> Codec:
-    """One codec a worker process, vocabulary and table sizes."""
+    """The codec of a worker process for this vocabulary and these table sizes."""
     key = (hash(raw), pattern, *sorted(limits.items()))
-    if key not in _CODECS:
-        _CODECS[key] = Codec(raw, pattern, **limits)
-        gc.collect()
-        gc.freeze()  # the tables live as long as the worker
-        gc.set_threshold(200_000, 20, 100)
-    return _CODECS[key]
+    return keep_tables(key, lambda: Codec(raw, pattern, **limits))
 
 
 def encode_documents(docs: DataFrame, vocab_path: str, pattern: str, with_ids: bool = False) -> DataFrame:
@@ -351,4 +342,4 @@ def encode_documents(docs: DataFrame, vocab_path: str, pattern: str, with_ids: b
     src = pick(docs, "doc_id", "text")
     kind = src.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return map_arrow(src, run, schema + (", ids array<int>" if with_ids else ""))
+    return map_arrow(src, run, schema + (", ids array<int>" if with_ids else ""), tables=True)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -46,10 +47,41 @@ def held_out(id_col: str = "doc_id") -> Column:
     return fold(id_col) == 0
 
 
+_TABLES: dict = {}  # of a worker process: tables that outlive a task
+_GC = gc.get_threshold()
+
+
+def keep_tables(key, make: Callable):
+    """``make()``, kept in this worker process for later tasks that ask for the same ``key``.  Only
+    one lives at a time, and only until a task of an operator without tables runs here: a
+    worker serves all operators of an application and would hold what each of them left."""
+    if key not in _TABLES:
+        drop_tables()
+        _TABLES[key] = make()
+        gc.collect()
+        gc.freeze()
+        gc.set_threshold(200_000, 20, 100)
+    return _TABLES[key]
+
+
+def drop_tables() -> None:
+    if _TABLES:
+        _TABLES.clear()
+        gc.unfreeze()  # states point at each other: only the collector frees them
+        gc.set_threshold(*_GC)
+        gc.collect()
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
-              schema: str) -> DataFrame:
+              schema: str, tables: bool = False) -> DataFrame:
+    """``fn`` over Arrow batches; ``tables``: it asks for :func:`keep_tables`."""
     prepare(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+
+    def run(batches):
+        drop_tables()
+        yield from fn(batches)
+
+    return df.mapInArrow(fn if tables else run, schema)
 
 
 def chunks(rows: Iterable, size: Callable, limit: int = CHARS_PER_CHUNK) -> Iterator[list]:

@@ -127,7 +127,7 @@ def build_trees(docs: DataFrame, vocab_path: str, pattern: str, leaf: int = LEAF
 
     src = pick(docs, "doc_id", "text")
     ids = src.schema["doc_id"].dataType.simpleString()
-    return map_arrow(src, run, f"doc_id {ids}, {STATE}")
+    return map_arrow(src, run, f"doc_id {ids}, {STATE}", tables=True)
 
 
 def edit_round(state: DataFrame, vocab_path: str, pattern: str) -> DataFrame:
@@ -155,7 +155,7 @@ def edit_round(state: DataFrame, vocab_path: str, pattern: str) -> DataFrame:
 
     ids = state.schema["doc_id"].dataType.simpleString()
     return map_arrow(state, run, f"doc_id {ids}, tokens_before long, text string, leaf_chars array<int>, "
-                                 "leaf_tokens array<int>, chars_encoded long, tokens_after long")
+                                 "leaf_tokens array<int>, chars_encoded long, tokens_after long", tables=True)
 
 
 def edit_and_count(docs: DataFrame, edits: DataFrame, vocab_path: str, pattern: str,
