@@ -3,7 +3,7 @@
 Strict patterns give the base spans.  Broader, high-recall generators propose further,
 overlapping candidates (national phone numbers, spaced or dotted digit groups, obfuscated
 mail addresses).  Boosted trees over format and context features score each candidate;
-they are fitted on a bounded sample and become one SQL expression.  Positive examples are
+they are fitted on all candidates, by sums that Spark aggregates, and become one SQL expression.  Positive examples are
 candidates that touch a base span and others with evidence of their own: a mail address once
 its obfuscation is undone, a checksum, a cue word before the number.  A threshold per
 generator, calibrated for precision, selects the additional spans.
@@ -39,6 +39,7 @@ BROAD = {
     "phone": r"(?<![0-9+])(?:\+|00|\()?[0-9]{2,5}\)?(?:[\x20()./-]{1,3}[0-9]{2,5}){2,5}(?![0-9])",
 }
 NEEDS = {"email": "(?:@|[(\\[]at[)\\]])", "ip": "[0-9]", "card": "[0-9]", "phone": "[0-9]"}
+QUANTILES = np.linspace(0, 1, 33)  # of a feature, between which the trees cut
 CONTEXT = 24  # characters before a candidate that the context features see
 # Words that announce personal data.
 CUES = ("mail", "tel", "phone", "call", "fax", "mobil", "card", "visa", "ip", "addr", "contact", "kontakt", "host")
@@ -161,41 +162,81 @@ class Trees:
         self.bias, self.trees, self.threshold = 0.0, [], {}
 
     @staticmethod
-    def _split(x, g, h, bins, reg=5.0):
-        """Best (gain, feature, cut) by sums of gradients in each bin."""
-        best = (0.0, 0, 0.0)
-        total = g.sum() ** 2 / (h.sum() + reg)
-        for f in range(x.shape[1]):
-            at = np.searchsorted(bins[f], x[:, f], side="left")
-            gs = np.cumsum(np.bincount(at, weights=g, minlength=len(bins[f]) + 1))[:-1]
-            hs = np.cumsum(np.bincount(at, weights=h, minlength=len(bins[f]) + 1))[:-1]
-            gain = gs ** 2 / (hs + reg) + (g.sum() - gs) ** 2 / (h.sum() - hs + reg) - total
+    def _split(g, h, bins, reg=5.0):
+        """Best (gain, feature, place of the cut) by sums of gradients in each bin, a row a feature."""
+        best = (0.0, 0, 0)
+        for f, edges in enumerate(bins):
+            gs, hs = np.cumsum(g[f])[:len(edges)], np.cumsum(h[f])[:len(edges)]
+            g_all, h_all = g[f].sum(), h[f].sum()
+            gain = gs ** 2 / (hs + reg) + (g_all - gs) ** 2 / (h_all - hs + reg) - g_all ** 2 / (h_all + reg)
             if len(gain) and gain.max() > best[0] + 1e-9:
-                best = (gain.max(), f, bins[f][int(gain.argmax())])
+                best = (gain.max(), f, int(gain.argmax()))
         return best
 
-    def fit(self, x: np.ndarray, y: np.ndarray, rounds: int = 25, rate: float = 0.3, reg: float = 5.0) -> Trees:
-        rate_y = min(max(y.mean(), 1e-3), 1 - 1e-3)
-        self.bias = float(np.log(rate_y / (1 - rate_y)))
-        s = np.full(len(y), self.bias)
-        bins = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, 33)))[:-1] for f in range(x.shape[1])]
+    def grow(self, bins: list, share: float, sums, rounds: int = 25, rate: float = 0.3, reg: float = 5.0) -> Trees:
+        """Add trees.  ``bins``: the possible cuts of each feature; ``share`` of the rows is positive.
+        ``sums(split)`` are the sums (g, h) of the rows' gradients under the trees so far by side
+        of ``split`` (feature, cut; None: one side), feature and bin.  Only these sums are seen here."""
+        share = min(max(share, 1e-3), 1 - 1e-3)
+        self.bias = float(np.log(share / (1 - share)))
         for _ in range(rounds):
-            p = 1 / (1 + np.exp(-s))
-            g, h = p - y, p * (1 - p)
-            gain, f, cut = self._split(x, g, h, bins)
+            (g,), (h,) = sums(None)
+            gain, f, k = self._split(g, h, bins, reg)
             if gain <= 0:
                 break
-            left, tree = x[:, f] <= cut, [f, float(cut)]
-            for side in (left, ~left):
-                gain2, f2, cut2 = self._split(x[side], g[side], h[side], bins) if side.any() else (0, 0, 0.0)
-                leaf = x[:, f2] <= cut2
-                values = [float(-rate * g[side & part].sum() / (h[side & part].sum() + reg)) for part in (leaf, ~leaf)]
-                s[side & leaf] += values[0]
-                s[side & ~leaf] += values[1]
-                tree.append((f2, float(cut2), *values))
+            tree = [f, float(bins[f][k])]
+            for g, h in zip(*sums((f, tree[1]))):
+                _, f2, k2 = self._split(g, h, bins, reg)
+                cut2, k2 = (float(bins[f2][k2]), k2 + 1) if len(bins[f2]) else (0.0, 0)
+                tree.append((f2, cut2, *[float(-rate * g[f2][part].sum() / (h[f2][part].sum() + reg))
+                                         for part in (slice(k2), slice(k2, None))]))
             self.trees.append(tree)
         return self
 
+    def fit(self, x: np.ndarray, y: np.ndarray, **params) -> Trees:
+        """Fit on rows in memory."""
+        bins = [np.unique(np.quantile(x[:, f], QUANTILES))[:-1] for f in range(x.shape[1])]
+        at = [np.searchsorted(b, x[:, f], side="left") for f, b in enumerate(bins)]
+
+        def sums(split):
+            p = 1 / (1 + np.exp(-self.raw(x)))
+            left = x[:, split[0]] <= split[1] if split else None
+            sides = [left, ~left] if split else [np.ones(len(x), dtype=bool)]
+            return [[[np.bincount(a[side], weights=v[side], minlength=len(QUANTILES)) for a in at] for side in sides]
+                    for v in (p - y, p * (1 - p))]
+
+        return self.grow(bins, y.mean(), sums, **params)
+
+    def fit_table(self, rows: DataFrame, **params) -> Trees:
+        """Fit on all rows (``f_*``, ``e``: 1 is positive) of a table.  The cuts are exact quantiles of all
+        rows.  Rows that fall into the same bins behave alike, so they become one with a weight;
+        the sums of a round are an aggregation, and only these reach the driver."""
+        cols = [f"f_{c}" for c in NUMERIC]
+        marks = F.array(*[F.lit(float(q)) for q in QUANTILES])
+        got = rows.agg(F.avg("e").alias("share"), *[F.percentile(c, marks).alias(c) for c in cols]).first()
+        if got["share"] is None:
+            return self
+        bins = [np.unique(got[c])[:-1] for c in cols]
+        edges = lambda b: F.array(*[F.lit(float(v)) for v in b]) if len(b) else F.array().cast("array<double>")
+        at = lambda c, b: F.size(F.filter(edges(b), lambda v: v < F.col(c))).alias(c)
+        cells = (rows.select("e", *[at(c, b) for c, b in zip(cols, bins)]).groupBy("e", *cols)
+                 .agg(F.count(F.lit(1)).alias("n")).checkpoint())
+        place = lambda f, cut: int(np.searchsorted(bins[f], cut))
+
+        def sums(split):
+            p = 1 / (1 + F.exp(-self.column(place)))
+            side = (F.col(cols[split[0]]) > place(*split)).cast("int") if split else F.lit(0)
+            each = F.posexplode(F.array(*cols)).alias("f", "bin")
+            part = (cells.withColumn("p", p).select(side.alias("side"), (F.col("n") * (F.col("p") - F.col("e"))).alias("g"),
+                                                    (F.col("n") * F.col("p") * (1 - F.col("p"))).alias("h"), each)
+                    .groupBy("side", "f", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h")))
+            out = np.zeros((2, 2 if split else 1, len(cols), len(QUANTILES)))
+            for r in part.collect():  # at most two rows a feature and bin
+                out[:, r["side"], r["f"], r["bin"]] = r["g"], r["h"]
+            return out
+
+        return self.grow(bins, got["share"], sums, **params)
+
     def raw(self, x: np.ndarray) -> np.ndarray:
         out = np.full(len(x), self.bias)
         for f, cut, a, b in self.trees:
@@ -224,39 +265,44 @@ class Trees:
                 self.threshold[k] = float(score[good[-1]])
         return self
 
-    def column(self) -> Column:
-        """The sum of trees as one SQL expression."""
+    def calibrate_table(self, rows: DataFrame, precision: float, prior: float = 1.0) -> Trees:
+        """:meth:`calibrate` on all rows of a table; rows of equal scores are one row of the window."""
+        rate = rows.agg(F.avg("e")).first()[0] or 0.0
+        score = self.column().alias("score")
+        scores = (rows.select(F.col("f_kind").cast("int").alias("kind"), score, "e").groupBy("kind", "score")
+                  .agg(F.count(F.lit(1)).alias("n"), F.sum("e").alias("hit")))
+        over = Window.partitionBy("kind").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+        share = (F.sum("hit").over(over) + prior * rate) / (F.sum("n").over(over) + prior)
+        good = scores.withColumn("share", share).where(F.col("share") >= precision)
+        self.threshold |= {r["kind"]: r["cut"] for r in good.groupBy("kind").agg(F.min("score").alias("cut")).collect()}
+        return self
+
+    def column(self, place=lambda f, cut: cut) -> Column:
+        """The sum of trees as one SQL expression; ``place(feature, cut)`` is the cut in the units of
+        the ``f_*`` columns."""
         out = F.lit(self.bias)
-        f = lambda i: F.col(f"f_{NUMERIC[i]}")
+        under = lambda f, cut: F.col(f"f_{NUMERIC[f]}") <= place(f, cut)
         for i, cut, a, b in self.trees:
-            side = [F.when(f(t[0]) <= t[1], t[2]).otherwise(t[3]) for t in (a, b)]
-            out = out + F.when(f(i) <= cut, side[0]).otherwise(side[1])
+            side = [F.when(under(t[0], t[1]), t[2]).otherwise(t[3]) for t in (a, b)]
+            out = out + F.when(under(i, cut), side[0]).otherwise(side[1])
         return out
 
 
-def train(found: DataFrame, max_rows: int = 6000, precision: float = 0.98) -> Trees:
-    """Fit on at most ``max_rows`` broad candidates, chosen by a hash of their text and place
-    in the document; a fifth of them calibrates.  Only feature rows reach the driver."""
+def train(found: DataFrame, precision: float = 0.98) -> Trees:
+    """Fit on all broad candidates; a fifth of them, by a hash of their text and place in the
+    document, calibrates instead."""
     key = F.xxhash64("m", "before", "after")
-    broad = found.where(~F.col("base") & F.col("m").isNotNull()).withColumn("u", F.pmod(key, F.lit(1_000_000)))
-    n = broad.count()
-    share = 1_000_000 if n <= max_rows else int(970_000 * max_rows / n)
+    broad = found.where(~F.col("base") & F.col("m").isNotNull()).withColumn("rest", F.pmod(key, F.lit(5)) == 0)
     shown = F.coalesce(_evidence(F.col("kind"), F.col("m"), F.col("before")), F.lit(False))
-    rows = (with_features(broad.where(F.col("u") < share)).withColumn("e", F.greatest("y", shown.cast("int")))
-            .select("u", "e", *[f"f_{c}" for c in NUMERIC])
-            .orderBy("u", "e", *[f"f_{c}" for c in NUMERIC]).limit(max_rows).collect())
-    model = Trees()
-    if not rows:
-        return model
-    data = np.array([tuple(r) for r in rows], dtype=np.float64)
-    rest = data[:, 0] % 5 == 0
-    if rest.all() or not rest.any():
+    rows = (with_features(broad).withColumn("e", F.greatest("y", shown.cast("int")))
+            .select("rest", "e", *[f"f_{c}" for c in NUMERIC]).checkpoint())
+    model, sizes = Trees(), dict(map(tuple, rows.groupBy("rest").count().collect()))
+    if len(sizes) < 2:
         return model
-    x, y = data[:, 2:], data[:, 1]
-    return model.fit(x[~rest], y[~rest]).calibrate(x[rest], y[rest], precision)
+    return model.fit_table(rows.where(~F.col("rest"))).calibrate_table(rows.where("rest"), precision)
 
 
-def find_spans(docs: DataFrame, max_rows: int = 6000, precision: float = 0.98) -> DataFrame:
+def find_spans(docs: DataFrame, precision: float = 0.98) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added), one row per input
     row; counts are of base spans, ``spans`` has base and added ones as kind:start:end.
 
@@ -267,7 +313,7 @@ def find_spans(docs: DataFrame, max_rows: int = 6000, precision: float = 0.98) -
     """
     prepare(docs.sparkSession)
     found = candidates(docs).checkpoint()
-    model = train(found, max_rows, precision)
+    model = train(found, precision)
     kind = F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.col("kind") + 1)
     if model.threshold:
         cut = F.lit(None).cast("double")
