@@ -20,6 +20,20 @@ from ..session import checkpoint_dir
 DEFAULT_HEADER_PREFIX = "x"
 
 
+LISTING = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+
+
+def _tree(spark: SparkSession, path, glob: str | None, recursive: bool) -> DataFrame:
+    """Text files, listed by a few tasks a core.  Spark's default is a task for each directory (up to
+    10,000), whose start takes longer than its listing."""
+    before = spark.conf.get(LISTING)
+    spark.conf.set(LISTING, str(min(int(before), 4 * spark.sparkContext.defaultParallelism)))
+    try:
+        return spark.read.text(path, pathGlobFilter=glob, recursiveFileLookup=recursive)
+    finally:
+        spark.conf.set(LISTING, before)
+
+
 def _text(spark: SparkSession, path, num_partitions: int = 0) -> DataFrame:
     df = spark.read.text(path)
     return df.repartition(num_partitions) if num_partitions else df
@@ -144,7 +158,7 @@ def read_indexed_lines(spark: SparkSession, path, name: str = "row_idx", glob: s
     a row for some 128 MB of text, is numbered and joined back.
     """
     checkpoint_dir(spark)
-    raw = spark.read.text(path, pathGlobFilter=glob, recursiveFileLookup=recursive).select(
+    raw = _tree(spark, path, glob, recursive).select(
         F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
     blocks = raw.groupBy("file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first")).checkpoint()
