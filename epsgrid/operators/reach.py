@@ -22,17 +22,22 @@ GROWTH = 4                   # each round brings the candidates seen to so many
 AXES = 3                     # axes (the widest) of the coarse cells of a round's join
 BLOCK = (1 << 13, 1 << 11)   # most points and candidates (about) of a coarse cell that meet under one key
 TESTS_PER_TASK = 1 << 25     # distance tests (about) of a task
+MOST_CELLS = 1 << 16         # most rows of a table of coarse cells that is broadcast (some 100 bytes each)
 SHARES = 1 << 30
 WIDER = 1 + 2.0 ** -10       # coarse cells are wider than eps by this, so rounding moves no pair apart
 
 
 def _hits(todo: DataFrame, part: DataFrame, axes: list[int], dim: int, eps: float, inclusive: bool,
           spread_queries: bool) -> DataFrame:
-    """(pid, hits): the weights of the rows of ``part`` that are near each point, summed.  Of the two
-    sides the smaller is repeated to the coarse cells next to its own.  Within a coarse cell both
-    sides are dealt to blocks of bounded size and every pair of blocks is a key of its own, so a
-    region with any share of the rows is many tasks' work and a row travels once per block it meets."""
+    """(pid, hits): the weights of the rows of ``part`` that are near each point, summed.  Points meet
+    in the coarse cells of one side; those of the other, the smaller, go there from the cells next to
+    it.  Counts and keys are spread to the cells around, points are not, and what is broadcast is
+    counted before: Spark's estimate of a frame leaves out what ``explode`` adds, so spread points
+    would pass for a frame small enough to broadcast.  Within a coarse cell both sides are dealt to blocks of bounded size and every pair of blocks is a
+    key of its own, so a region with any share of the rows is many tasks' work and a row travels once
+    per block it meets."""
     A, Q, P = [f"a{i}" for i in axes], fcols(dim, "q_"), fcols(dim, "p_")
+    M = [f"m{i}" for i in axes]
     cell = lambda i: F.floor(F.col(f"f{i}") / F.lit(eps * WIDER)).cast("bigint").alias(f"a{i}")
     q = todo.select("pid", *[F.col(f"f{i}").alias(c) for i, c in enumerate(Q)], *map(cell, axes))
     p = part.select("w", *[F.col(f"f{i}").alias(c) for i, c in enumerate(P)], *map(cell, axes))
@@ -42,21 +47,31 @@ def _hits(todo: DataFrame, part: DataFrame, axes: list[int], dim: int, eps: floa
             df = df.withColumn(a, F.explode(F.sequence(F.col(a) - 1, F.col(a) + 1)))
         return df
 
-    q, p = (beside(q), p) if spread_queries else (q, beside(p))
-    held = lambda df, n: df.groupBy(*A).agg(F.count(F.lit(1)).alias(n))
+    def held(df, n, spread):
+        """Rows of ``df`` that meet in each coarse cell."""
+        per = df.groupBy(*A).agg(F.count(F.lit(1)).alias(n))
+        return beside(per).groupBy(*A).agg(F.sum(n).alias(n)) if spread else per
+
     blocks = lambda n, most: F.ceil(F.col(n) / F.lit(float(most))).cast("int")
-    cells = held(q, "_q").join(held(p, "_p"), A).select(
+    cells = held(q, "_q", spread_queries).join(held(p, "_p", not spread_queries), A).select(
         *A, (F.col("_q").cast("double") * F.col("_p")).alias("t"),
         blocks("_q", BLOCK[0]).alias("qb"), blocks("_p", BLOCK[1]).alias("pb")).checkpoint()
-    total = cells.agg(F.coalesce(F.sum("t"), F.lit(0.0))).first()[0]
+    total, n_cells = cells.agg(F.coalesce(F.sum("t"), F.lit(0.0)), F.count(F.lit(1))).first()
     # a number given here is kept: few bytes are many tests, so partitions must not be merged
     tasks = max(2 * todo.sparkSession.sparkContext.defaultParallelism, int(total / TESTS_PER_TASK))
     own = lambda cols, n: F.pmod(F.xxhash64(*cols), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    at = cells.select(*A, "qb", "pb")
-    q = q.join(at, A).withColumn("sq", own(["pid"], "qb")).withColumn("sp", each("pb")).drop("qb", "pb")
-    p = p.join(at, A).withColumn("sp", own(P, "pb")).withColumn("sq", each("qb")).drop("qb", "pb")
-    key = [*A, "sq", "sp"]
+    at = cells.select(*A, *[F.col(a).alias(m) for a, m in zip(A, M)], "qb", "pb")
+
+    def placed(df, spread):
+        """Rows of ``df``, one for each coarse cell they meet others in (``m0..``)."""
+        to, n = (beside(at), n_cells * 3 ** len(A)) if spread else (at, n_cells)
+        return df.join(F.broadcast(to) if n <= MOST_CELLS else to.hint("merge"), A).drop(*A)
+
+    q, p = placed(q, spread_queries), placed(p, not spread_queries)
+    q = q.withColumn("sq", own(["pid"], "qb")).withColumn("sp", each("pb")).drop("qb", "pb")
+    p = p.withColumn("sp", own(P, "pb")).withColumn("sq", each("qb")).drop("qb", "pb")
+    key = [*M, "sq", "sp"]
     pairs = q.repartition(tasks, *key).join(p.repartition(tasks, *key), key)
     return pairs.filter(within(Q, P, eps, inclusive)).groupBy("pid").agg(F.sum("w").alias("hits"))
 

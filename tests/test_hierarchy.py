@@ -77,6 +77,42 @@ def test_labels_in_high_dimensions_without_pairs_of_cells(spark, monkeypatch, di
     det.release()
 
 
+def broadcast_rows(node):
+    """Rows of every broadcast of a plan that ran."""
+    name = node.getClass().getSimpleName()
+    inner = {"AdaptiveSparkPlanExec": "executedPlan", "BroadcastQueryStageExec": "plan", "ShuffleQueryStageExec": "plan",
+             "ResultQueryStageExec": "plan", "ReusedExchangeExec": "child"}.get(name)
+    if name == "BroadcastExchangeExec":
+        yield node.metrics().apply("numOutputRows").value()
+    kids = [getattr(node, inner)()] if inner else [node.children().apply(i) for i in range(node.children().size())]
+    for kid in kids:
+        yield from broadcast_rows(kid)
+
+
+@pytest.mark.parametrize("spread_queries,most_cells", [(False, reach.MOST_CELLS), (True, reach.MOST_CELLS), (False, 0)])
+def test_points_are_not_spread_before_they_are_broadcast(spark, tmp_path, monkeypatch, spread_queries, most_cells):
+    """A side that Spark takes for small is broadcast as it is, not once for each coarse cell beside its own."""
+    checkpoint_dir(spark)
+    monkeypatch.setattr(reach, "MOST_CELLS", most_cells)
+    X = np.random.default_rng(7).uniform(0, 3, (2000, 5))
+    for name, n in (("few", 700), ("many", len(X))):  # files have a size, so Spark has an estimate
+        rows = [(i, *map(float, x)) for i, x in enumerate(X[:n])]
+        spark.createDataFrame(rows, ["pid", *grid.fcols(5)]).write.parquet(str(tmp_path / name))
+    few, many = (spark.read.parquet(str(tmp_path / name)) for name in ("few", "many"))
+    todo, part = (few, many) if spread_queries else (many, few)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1m")
+    try:
+        hits = reach._hits(todo, part.withColumn("w", F.lit(1).cast("bigint")), [0, 1, 2], 5, 1.0, False, spread_queries)
+        got = {r.pid: r.hits for r in hits.collect()}
+        most = max(broadcast_rows(hits._jdf.queryExecution().executedPlan()), default=0)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    a, b = (X[:700], X) if spread_queries else (X, X[:700])
+    near = (((a[:, None] - b[None]) ** 2).sum(-1) < 1.0).sum(1)
+    assert got == {i: int(k) for i, k in enumerate(near) if k}
+    assert most <= len(X)
+
+
 # ---------------------------------------------------------------- k-NN
 def brute_knn(X, k, include_self):
     d = np.sqrt(((X[:, None, :] - X[None, :, :]) ** 2).sum(-1))
