@@ -9,16 +9,21 @@ from __future__ import annotations
 
 import time
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.classes import MAX_INDEX, eps_classes
 from ..operators.dataset import sample_by_hash, sample_points
 from ..operators.detect import detect
+from ..operators.grid import fcols, number_points
 from ..operators.neighbors import caller_ids, knn_points, ordered_points
 
 SWEEP_SCHEMA = ("param STRING, value DOUBLE, run INT, eps DOUBLE, min_pts INT, total_points BIGINT, "
                 "core_points BIGINT, border_points BIGINT, outliers BIGINT, seconds DOUBLE")
 
+MAX_BROADCAST_CLASSES = 500_000  # coordinates with a class of their own that are broadcast to the points
+
 
 def _one(df, features, eps, min_pts, id_col, param, value, run, **kw):
     t = time.time()
@@ -32,7 +37,8 @@ def _one(df, features, eps, min_pts, id_col, param, value, run, **kw):
             total - n_core - n_out, n_out, secs)
 
 
-def eps_profile(df: DataFrame, features: list[str], min_pts: int, id_col: str | None = None) -> DataFrame:
+def eps_profile(df: DataFrame, features: list[str], min_pts: int, id_col: str | None = None,
+                eps_values: list[float] | None = None, inclusive: bool = False) -> DataFrame:
     """``(id, core_at, reach_at)`` of every point, from which its label follows for every eps: core
     if ``core_at < eps``, else border if ``reach_at < eps``, else outlier (``<=`` for the
     inclusive definition).
@@ -42,7 +48,13 @@ def eps_profile(df: DataFrame, features: list[str], min_pts: int, id_col: str |
     which the point is not core, fewer than ``min_pts`` points are near it, so the points that
     decide are all among its ``min_pts`` nearest: one k-NN table serves every eps.
     Infinite where there are too few points.
+
+    With ``eps_values``, both are the least of these at which the point is core, or has a core point
+    near (``core_at <= eps`` then, whatever the definition), which takes no k-NN table
+    (:mod:`..operators.classes`).
     """
+    if eps_values:
+        return _class_profile(df, features, min_pts, id_col, sorted(set(map(float, eps_values))), inclusive)
     pts, ids = ordered_points(df, features, id_col)
     nn = knn_points(pts, len(features), min_pts, include_self=True)
     never = F.lit(float("inf"))
@@ -54,15 +66,38 @@ def eps_profile(df: DataFrame, features: list[str], min_pts: int, id_col: str |
     return caller_ids(core.join(reach, "pid"), ids, pid=id_col or "point_id")
 
 
+def _class_profile(df: DataFrame, features: list[str], min_pts: int, id_col: str | None, eps_values: list[float],
+                   inclusive: bool) -> DataFrame:
+    if min_pts < 1:
+        raise ValueError("min_pts must be >= 1")
+    F_, name = fcols(len(features)), id_col or "point_id"
+    pts, _ = number_points(df, features, [id_col] if id_col else [])
+    xs = pts.select(*F_).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        far = max((v or 0.0 for v in xs.agg(*[F.max(F.abs(f)) for f in F_]).first()))
+        if not 0 < eps_values[0] <= eps_values[-1] < float("inf") or far > MAX_INDEX * eps_values[0]:
+            # values that make no cells
+            least = lambda c: F.coalesce(*[F.when(F.col(c) <= F.lit(e) if inclusive else F.col(c) < F.lit(e), F.lit(e))
+                                           for e in eps_values], F.lit(float("inf"))).alias(c)
+            return eps_profile(df, features, min_pts, id_col).select(name, least("core_at"), least("reach_at"))
+        classes = eps_classes(xs, len(features), eps_values, min_pts, inclusive)
+    finally:  # the classes are checkpointed
+        xs.unpersist()
+    few = classes.count() <= MAX_BROADCAST_CLASSES
+    at = lambda c: F.coalesce(c, F.lit(eps_values[0])).alias(c)
+    return (pts.join(F.broadcast(classes) if few else classes.hint("merge"), F_, "left")
+            .select(F.col("id0" if id_col else "pid").alias(name), at("core_at"), at("reach_at")))
+
+
 def sweep_eps(df: DataFrame, features: list[str], eps_values: list[float], min_pts: int,
               id_col: str | None = None, repeats: int = 1, inclusive: bool = False) -> DataFrame:
     """Counts of every eps from one pass (:func:`eps_profile`) per repeat, a row for each eps and
     repeat; ``seconds`` is the time of the whole pass, shared by its rows."""
     rows = []
-    for run in range(repeats):
+    for run in range(repeats if eps_values else 0):
         t = time.time()
-        p = eps_profile(df, features, min_pts, id_col)
-        hit = lambda c, e: F.col(c) <= F.lit(float(e)) if inclusive else F.col(c) < F.lit(float(e))
+        p = eps_profile(df, features, min_pts, id_col, eps_values, inclusive)
+        hit = lambda c, e: F.col(c) <= F.lit(float(e))
         got = p.agg(F.count(F.lit(1)), *[F.count_if(x) for e in eps_values for x in
                                          (hit("core_at", e), ~hit("core_at", e) & hit("reach_at", e))]).first()
         secs = time.time() - t
