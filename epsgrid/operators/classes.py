@@ -19,6 +19,7 @@ diagonal allows and neighbours a little wider, so rounding at cell edges moves n
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark import StorageLevel
@@ -32,6 +33,7 @@ from .grid import (DEFAULT_MAX_OFFSETS, assign_cells, ccols, cell_counts, explod
 from .reach import reached
 
 SHRINK = 1 - 2.0 ** -10        # diagonal of a cell in eps
+WIDER = 1 + 2.0 ** -10         # reach of a point in eps when whole cells are left out
 MAX_INDEX = 2.0 ** 36          # largest coordinate in eps at which rounding is less than what SHRINK leaves
 ROWS_PER_TASK = 1 << 20        # most points of a cell that meet others under one key
 MAX_BROADCAST_CELLS = 500_000  # cells that are broadcast to the points (some 100 bytes each)
@@ -125,10 +127,13 @@ def _targets(g: DataFrame, near: DataFrame, dim: int) -> DataFrame:
             .withColumn("salt", F.pmod(F.xxhash64(*F_), F.col("nb")).cast("int")).drop("nb"))
 
 
-def _spread(asked: DataFrame, adj: DataFrame, dim: int) -> DataFrame:
-    """(q_f0.., n0.., salt): the points ``asked``, a row for each bucket of a neighbour cell."""
+def _spread(asked: DataFrame, adj: DataFrame, dim: int, eps: float) -> DataFrame:
+    """(q_f0.., n0.., salt): the points ``asked``, a row for each bucket of a neighbour cell within their reach."""
     F_, C, N = fcols(dim), ccols(dim), ccols(dim, "n")
-    q = asked.select(*[F.col(f).alias(f"q_{f}") for f in F_], *C).join(adj.select(*C, *N, "nb_nb"), C).drop(*C)
+    side = F.lit(eps * SHRINK / math.sqrt(dim))
+    gap = [F.greatest(F.col(n) * side - F.col(f"q_{f}"), F.col(f"q_{f}") - (F.col(n) + 1) * side, F.lit(0.0)) for f, n in zip(F_, N)]
+    q = (asked.select(*[F.col(f).alias(f"q_{f}") for f in F_], *C).join(adj.select(*C, *N, "nb_nb"), C).drop(*C)
+         .filter(reduce(lambda a, b: a + b, [x * x for x in gap]) <= F.lit((eps * WIDER) ** 2)))
     # the hint: Spark's estimate leaves out what the rows are multiplied by, and they would be broadcast
     return explode_salts(q, "nb_nb").drop("nb_nb").hint("merge")
 
@@ -137,7 +142,7 @@ def _pairs(targets: DataFrame, asked: DataFrame, adj: DataFrame, dim: int, eps:
     """(f0.., hits): how many points are near each point of ``asked`` that has one."""
     F_, N = fcols(dim), ccols(dim, "n")
     Q = [f"q_{f}" for f in F_]
-    return (targets.join(_spread(asked, adj, dim), [*N, "salt"]).filter(within(Q, F_, eps, inclusive))
+    return (targets.join(_spread(asked, adj, dim, eps), [*N, "salt"]).filter(within(Q, F_, eps, inclusive))
             .groupBy(*Q).agg(F.sum("w").alias("hits")).select(*[F.col(q).alias(f) for q, f in zip(Q, F_)], "hits"))
 
 
@@ -145,7 +150,7 @@ def _touched(targets: DataFrame, asked: DataFrame, adj: DataFrame, dim: int, eps
     """(f0..) of the points of ``asked`` with one of ``targets`` near."""
     F_, N = fcols(dim), ccols(dim, "n")
     Q, T = [f"q_{f}" for f in F_], [f"t_{c}" for c in (*F_, *N, "salt")]
-    q, t = _spread(asked, adj, dim), targets.drop("w").select(*[F.col(c).alias(f"t_{c}") for c in (*F_, *N, "salt")])
+    q, t = _spread(asked, adj, dim, eps), targets.drop("w").select(*[F.col(c).alias(f"t_{c}") for c in (*F_, *N, "salt")])
     same = [F.col(c) == F.col(f"t_{c}") for c in (*N, "salt")]
     near = reduce(lambda a, b: a & b, same) & within(Q, T[:dim], eps, inclusive)
     return q.join(t, near, "left_semi").select(*[F.col(c).alias(f) for c, f in zip(Q, F_)]).distinct()
